@@ -8,25 +8,92 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import scan_pii
+
+    return scan_pii(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontamination import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.warc import archive_pages
 
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op7_warc, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_licenses, op3_pii, op4_line_dedup, op5_mixing, op6_decontamination, op7_warc, op8_ngram_join, op9_html_text, op10_quality)}
+
+
+def _license_sql() -> str:
+    """The templates as rows, and the blocks as they are cut; the join without its filters, which drop no pair that meets the threshold."""
+    from tidemark.llm.licenses import BLOCK, NOTICES, PHRASES, STRIDE
+
+    rows = [(t.label, t.words, t.need, t in PHRASES) for t in (*PHRASES, *NOTICES)]
+    values = ", ".join(f"('{label}', {list(found)!r}, {need}, {base})" for label, found, need, base in rows)
+    return rf"""
+WITH docs AS (SELECT doc_id, md5(coalesce(text, '')) AS h, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+templates(label, words, need, base) AS (VALUES {values}),
+cut AS (SELECT DISTINCT doc_id, h, unnest(range(0, len(words), {STRIDE})) AS spot, words FROM docs WHERE len(words) > 0),
+blocks AS (SELECT doc_id, h, spot, words[spot + 1 : spot + {BLOCK}] AS part FROM cut),
+pairs AS (SELECT b.*, t.label, t.base, t.words AS phrase, len(list_intersect(list_distinct(part), list_distinct(t.words))) AS overlap, len(list_distinct(t.words)) AS size
+  FROM blocks b, templates t WHERE len(list_intersect(list_distinct(part), list_distinct(t.words))) >= t.need),
+placed AS (SELECT *, CASE WHEN base THEN list_filter(range(0, {STRIDE}), lambda i: part[i + 1 : i + len(phrase)] = phrase) ELSE [] END AS starts FROM pairs),
+found AS (SELECT doc_id, h, sum(len(starts)) AS n_base, min(spot + list_min(starts)) AS first_word, max(spot + list_max(starts)) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels,
+  max(overlap / size) AS score, count(*) FILTER (WHERE NOT base) AS blocks
+  FROM placed WHERE NOT base OR len(starts) > 0 GROUP BY doc_id, h)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score, coalesce(blocks, 0) AS blocks
+FROM docs d LEFT JOIN found f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.h = f.h
+"""
+
 
 ORACLES = {
     "op5_mixing": r"""
@@ -60,4 +127,17 @@ kinds AS (SELECT *, payload_bytes >= 1000 AND n > 1 AND first IS NOT NULL AND pa
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN again THEN first END AS refers_to, url FROM kinds
 """,
+    "op6_decontamination": r"""
+WITH docs AS (SELECT doc_id, md5(coalesce(text, '')) AS h, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item_id, words[i + 1 : i + 10] AS win FROM (SELECT *, unnest(range(0, greatest(len(words) - 10, 0) + 1)) AS i FROM items WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS k FROM windows),
+places AS (SELECT DISTINCT doc_id, h, spot, k, words[spot + 1 : spot + k] AS win FROM (SELECT doc_id, h, words, k, unnest(range(0, greatest(len(words) - k + 1, 0))) AS spot FROM docs, sizes)),
+hits AS (SELECT p.doc_id, p.h, p.spot, p.k, w.item_id FROM places p JOIN windows w ON p.win = w.win),
+covered AS (SELECT doc_id, h, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, h, unnest(range(spot, spot + k)) AS pos FROM hits) GROUP BY ALL),
+named AS (SELECT doc_id, h, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS ids FROM hits GROUP BY ALL)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.h = c.h LEFT JOIN named n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.h = n.h
+""",
+    "op2_licenses": _license_sql(),
 }
