@@ -89,8 +89,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: i
     return checked.filter(F.levenshtein("line", "other", 1).between(0, 1)).select(*LINE).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
-    """doc_id, text (what stays of it), n_lines, n_equal, n_near (lines dropped for an equal or a near one), n_long (lines of min_chars that stay)."""
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (what stays of it), n_lines, n_equal, n_near (lines dropped for an equal or a near one), n_long (lines of min_chars that stay), and the columns of docs named in keep."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     scratch = Scratch(docs.sparkSession, "lines")
@@ -110,7 +110,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1)
     seen = seen.withColumn("equal", ~is_first).filter("equal OR near")
     drops = seen.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "equal")).alias("drops"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-null-")).alias("_id")
-    texts = docs.select("doc_id", "text", key, F.xxhash64("text").alias("text_hash")).join(drops.select(key, "text_hash", "drops"), ["_id", "text_hash"], "left")
+    texts = docs.select("doc_id", "text", F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"), key, F.xxhash64("text").alias("text_hash")).join(drops.select(key, "text_hash", "drops"), ["_id", "text_hash"], "left")
     texts = texts.withColumns({"_lines": F.split("text", "\n"), "_drop": F.col("drops.pos")})
     kept = F.filter("_lines", lambda x, i: ~F.array_contains("_drop", i))
     texts = texts.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
@@ -124,4 +124,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1)
         dropped(True).alias("n_equal"),
         dropped(False).alias("n_near"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(count(long_lines)).cast("long").alias("n_long"),
+        *(F.col(f"_keep.{c}") for c in keep),
     )

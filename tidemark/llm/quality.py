@@ -28,13 +28,13 @@ STATISTICS = ("upper", "digit", "symbol", "exclaim", "distinct", "again", "word_
 
 
 def with_statistics(df: DataFrame) -> DataFrame:
-    """df with the numbers that a rule may use, by the names of STATISTICS; all of the whole text, all zero for an empty one.
+    """df with the numbers that a rule may use, columns _q_ and the names of STATISTICS; all of the whole text, all zero for an empty one.
 
     Words and lines are columns of their own first, so that each is made once a row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = df.withColumns({"_words": tokens(text), "_lines": F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")})
-    chars, found, lines = F.length(text), F.col("_words"), F.col("_lines")
+    df = df.withColumns({"_q_words": tokens(text), "_q_lines": F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")})
+    chars, found, lines = F.length(text), F.col("_q_words"), F.col("_q_lines")
     share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
     of = lambda pattern: share(chars - F.length(F.regexp_replace(text, pattern, "")), chars)
     again = F.size(F.filter(found, lambda x, i: (i > 0) & (x == F.get(found, i - 1))))
@@ -50,7 +50,7 @@ def with_statistics(df: DataFrame) -> DataFrame:
         share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
         F.log1p(F.size(found).cast("double")),
     )
-    return df.withColumns(dict(zip(STATISTICS, values, strict=True))).drop("_words", "_lines")
+    return df.withColumns({f"_q_{n}": v for n, v in zip(STATISTICS, values, strict=True)}).drop("_q_words", "_q_lines")
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, above, threshold), all of which hold
@@ -67,7 +67,7 @@ class RuleModel:
         for weight, rule in self.rules:
             holds = F.lit(True)
             for name, above, limit in rule:
-                holds = holds & (F.col(name) > limit if above else F.col(name) <= limit)
+                holds = holds & (F.col(f"_q_{name}") > limit if above else F.col(f"_q_{name}") <= limit)
             total = total + F.when(holds, float(weight)).otherwise(0.0)
         return 1.0 / (1.0 + F.exp(-total))
 
@@ -137,19 +137,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Fitted on the statistics of at most sample_rows labelled rows outside fold 0, which are all that reaches the driver."""
     chosen = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter(F.col("y").isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("y", *STATISTICS)
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("y", *(F.col(f"_q_{n}").alias(n) for n in STATISTICS))
     found = rows.limit(2 * sample_rows).toPandas().sort_values(["y", *STATISTICS])  # the same order each time, so the same model
     return fit_rules(found[list(STATISTICS)].to_numpy(float), found["y"].to_numpy(float), list(STATISTICS))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, cut: float = 0.3) -> DataFrame:
-    """doc_id, text, score and predicted of every row; rows keep no other column."""
-    scored = with_statistics(docs.select("doc_id", "text")).withColumn("score", model.score())
-    return scored.select("doc_id", "text", "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    """docs with score and predicted, which take the place of columns of these names."""
+    scored = with_statistics(docs.drop("score", "predicted")).withColumn("score", model.score())
+    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int")).drop(*(f"_q_{n}" for n in STATISTICS))
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = fit_quality(docs, labels, sample_rows)
-    scored = score_quality(docs, model, cut)
+    scored = score_quality(docs.select("doc_id", "text"), model, cut)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
