@@ -51,7 +51,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window
     sizes = [r["q"] for r in wins.select("q").distinct().collect()]  # at most as many as a shingle has words
     vocabulary = scratch.save(wins.select(F.explode("parts").alias("s")).distinct(), "vocabulary")
     hashed = hashed_words(docs)
-    runs = [hashed.select(*DOC, F.posexplode(shingles("h", q)).alias("pos", "s")) for q in sizes]
+    # outer, as an inner explode would make the shingles once more to see if there are any
+    runs = [hashed.select(*DOC, F.posexplode_outer(shingles("h", q)).alias("pos", "s")).filter("s IS NOT NULL") for q in sizes]
     found = scratch.save(_union(runs, docs).join(small(vocabulary), "s").select(*DOC, "pos", "s").distinct(), "found")
 
     rarity = found.groupBy("s").agg(F.count("*").alias("n"))
