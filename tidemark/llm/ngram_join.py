@@ -6,11 +6,11 @@ sets A and B share at least n - n div 5 of A's n shingles, all sieves are necess
 1. Sieve: of the shingles in five sixteenths of the hash range, those that only one class has are at most n div 5.
 2. Among the classes left, shingles get their exact count. A class with more than n div 5 that no other has is out;
    the rest keep their shared shingles only, rarest first, and of these the prefix that any link must meet.
-3. Each class is verified against one class with which it shares a prefix shingle (the smallest of its size band), so
-   that groups of near copies fall together along stars instead of pairs.
+3. Star rounds: each class is verified against one class of another component with which it shares most prefix
+   shingles, taken among the smallest of their tiles, so that groups of near copies fall together along stars.
 4. Prefix shingles that still join several components go to tiles: classes of two neighbouring size bands, in blocks
    of a bounded number of rows, two blocks to a tile. Hashed bitmaps bound the overlap of a pair from above by bit
-   counts; what passes is intersected exactly, unless the tile has linked both by then.
+   counts; the pairs of different components that pass are intersected exactly.
 
 Defined results: null and empty texts have no set, link with nothing and are their own component; repeated rows share
 a component; a document with a null doc_id counts in its component but is not its name, unless all are null; an empty
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +30,16 @@ from tidemark.llm.shared import Scratch, ascii_lower, small, tokens
 
 SHINGLE = 5
 BLOCK_ROWS = 256
+SMALL_TILE = 24
+STAR_ROUNDS = 2
 
 
-def with_set(docs: DataFrame) -> DataFrame:
-    """doc_id, arr: the sorted distinct shingle hashes."""
-    rows = docs.select("doc_id", F.transform(tokens(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
+def with_set(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns named in keep, arr: the sorted distinct shingle hashes."""
+    rows = docs.select("doc_id", *keep, F.transform(tokens(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w)).alias("h"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("h") - SHINGLE, F.lit(0)))
     runs = F.transform(starts, lambda i: F.xxhash64(*(F.get("h", i + j) for j in range(SHINGLE))))
-    return rows.select("doc_id", F.when(F.size("h") > 0, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<long>")).alias("arr"))
+    return rows.select("doc_id", *keep, F.when(F.size("h") > 0, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<long>")).alias("arr"))
 
 
 def may_miss(n: str = "n") -> Column:
@@ -54,33 +57,44 @@ def linked(common: Column, n_a: Column, n_b: Column) -> Column:
     return 9 * common >= 4 * (n_a + n_b)
 
 
-def sieve(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+def sieve(members: DataFrame, scratch: Scratch) -> DataFrame:
     """sid, doc_id: classes that may link with another, and the document that stands for each."""
-    classes = members.filter("n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("times"), F.first("part").alias("part"))
+    classes = members.filter("n > 0").groupBy("sid", "n").agg(F.min(_key()).alias("id"), F.count("*").alias("times"), F.max(F.size("part")).alias("part"))
     classes = scratch.save(classes, "classes")
-    copies = members.join(classes.filter("times > 1").select("sid", F.col("doc_id").alias("keep")), "sid").filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
-    copies = scratch.save(copies.select("doc_id").distinct(), "copies")
-    total = members.agg(F.sum("part")).first()[0] or 1
-    mask = (1 << min(62, max(24, int(total).bit_length() + 8))) - 1  # enough bits that few shingles meet by chance, which only lets more pass
-    rows = with_set(docs).join(small(copies), "doc_id", "left_anti")
-    rows = rows.select(F.xxhash64("arr").alias("sid"), F.explode(_part()).alias("s")).withColumn("s", F.shiftright("s", 4).bitwiseAND(F.lit(mask)))
+    copies = members.select("sid", _key().alias("id")).join(classes.filter("times > 1").select("sid", F.col("id").alias("keep")), "sid").filter("id <> keep")
+    copies = scratch.save(copies.select("id", "sid").distinct(), "copies")
+    total = classes.agg(F.sum("part")).first()[0] or 1
+    mask = (1 << min(59, max(24, int(total).bit_length() + 8))) - 1  # enough bits that few shingles meet by chance, which only lets more pass
+    rows = members.select(_key().alias("id"), "sid", "part").join(small(copies), ["id", "sid"], "left_anti")
+    rows = _exploded(rows, "part", "sid").withColumn("s", F.col("s").bitwiseAND(F.lit(mask)))
     again = rows.groupBy("s").count().filter("count > 1").select("s")
     met = rows.join(again, "s").groupBy("sid", "s").agg(F.lit(1).alias("one")).groupBy("sid").agg(F.count("*").alias("met"))
     left = classes.join(met, "sid", "left").filter(F.coalesce("met", F.lit(0)) >= F.col("part") - may_miss())
-    return scratch.save(left.select("sid", "doc_id"), "left")
+    return scratch.save(left.select("sid", "id"), "left")
+
+
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("-null-"))
+
+
+def _exploded(df: DataFrame, array: str, *keep: str) -> DataFrame:
+    """keep and s, for each s of the array. Outer, as an inner explode would make the array once more to see if it is empty."""
+    return df.select(*keep, F.explode_outer(array).alias("s")).filter("s IS NOT NULL")
 
 
 def _part() -> Column:
-    return F.filter("arr", lambda s: s.bitwiseAND(F.lit(15)) < 5)
+    """Five sixteenths of the set, without the bits that tell which."""
+    return F.transform(F.filter("arr", lambda s: s.bitwiseAND(F.lit(15)) < 5), lambda s: F.shiftrightunsigned(s, 4))
 
 
 def shared_sets(docs: DataFrame, left: DataFrame, scratch: Scratch) -> DataFrame:
     """sid, n, arr (its shared shingles, sorted), prefix: of the classes that may still link."""
-    chosen = left.withColumnRenamed("doc_id", "keep")
-    full = with_set(docs).withColumn("sid", F.xxhash64("arr")).join(small(chosen), "sid").filter(F.col("doc_id").eqNullSafe(F.col("keep")))
-    full = scratch.save(full.select("sid", F.size("arr").alias("n"), "arr").dropDuplicates(["sid"]), "full")
-    rows = full.select("sid", "n", F.explode("arr").alias("s"))
-    counts = full.select(F.explode("arr").alias("s")).groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    texts = docs.select("doc_id", "text", _key().alias("id")).join(small(left), "id")
+    # written before its hash is compared: a filter on it would be pushed below and make the sets' parts over and over
+    full = scratch.save(with_set(texts.select("doc_id", "text", "sid"), "sid").select("sid", F.size("arr").alias("n"), "arr", F.xxhash64("arr").alias("own")), "candidates")
+    full = scratch.save(full.filter("own = sid").select("sid", "n", "arr").dropDuplicates(["sid"]), "full")
+    rows = _exploded(full, "arr", "sid", "n")
+    counts = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     lists = rows.join(counts, "s").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("r"))
     need = F.col("n") - may_miss()
     lists = lists.filter(F.size("r") >= need)
@@ -88,81 +102,133 @@ def shared_sets(docs: DataFrame, left: DataFrame, scratch: Scratch) -> DataFrame
     return scratch.save(lists, "shared")
 
 
-def star_links(sets: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """a, b: verified links of classes with the smallest class of a shared prefix shingle and size band."""
-    pivots = prefixes.groupBy("s", "band").agg(F.min("sid").alias("pivot"), F.count("*").alias("rows")).filter("rows > 1")
-    pairs = prefixes.join(pivots, ["s", "band"]).filter("pivot <> sid").groupBy("sid").agg(F.min("pivot").alias("pivot"))
-    a, b = (sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("arr").alias(f"arr_{k}")) for k in ("sid", "pivot"))
-    pairs = pairs.join(a, "sid").join(b, "pivot")
-    return pairs.filter(linked(F.size(F.array_intersect("arr_sid", "arr_pivot")), F.col("n_sid"), F.col("n_pivot"))).select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
+def tiles(prefixes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """s, tile, high, sid, comp: a class lies in the tile of its size band, and as high in that of the band below."""
+    rows = prefixes.withColumn("comp", F.col("sid"))
+    if labels is not None:
+        rows = prefixes.join(labels.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    places = F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("high")), F.struct((F.col("band") - 1).alias("tile"), F.lit(True).alias("high")))
+    return rows.select("s", "sid", "comp", F.explode(places).alias("t")).select("s", "t.tile", "t.high", "sid", "comp")
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link."""
+    a, b = (sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("arr").alias(f"arr_{k}")) for k in ("a", "b"))
+    pairs = pairs.select("a", "b").join(a, "a").join(b, "b")
+    return pairs.filter(linked(F.size(F.array_intersect("arr_a", "arr_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def star_pairs(tiled: DataFrame) -> DataFrame:
+    """a, b: each class with the class of another component that it meets most often among the first of its tiles."""
+    first = tiled.groupBy("s", "tile").agg(F.min(F.struct("comp", "sid")).alias("first"), F.max("comp").alias("last")).filter("first.comp <> last")
+    met = tiled.join(first, ["s", "tile"]).filter("comp <> first.comp").groupBy("sid", F.col("first.sid").alias("pivot")).agg(F.count("*").alias("shared"))
+    return met.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("shared", "pivot")).alias("best")).select("a", F.col("best.pivot").alias("b"))
+
+
+def with_bitmaps(sets: DataFrame) -> DataFrame:
+    """sid, n, count, bitmap: hashed bits of each set, at least twice as many as it has elements."""
 
+    def sign(batches):
+        for batch in batches:
+            arrays = [np.asarray(a.values.to_numpy(zero_copy_only=False), np.int64) for a in batch.column(2)]
+            maps = [bitmap(a) for a in arrays]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, arrays), pa.int64()), pa.array(maps, pa.binary())], names=["sid", "n", "count", "bitmap"])
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(sets), bits), bool)
-    for i, s in enumerate(sets):
-        out[i, (s.view(np.uint64) >> np.uint64(7)) % np.uint64(bits)] = True
-    return np.packbits(out, axis=1).view(np.uint64)
+    return sets.select("sid", F.col("n").cast("long"), "arr").mapInArrow(sign, "sid long, n long, count long, bitmap binary")
 
 
-def tile_links(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between classes of a tile whose components differ: sid, n, comp, high (band), block, arr."""
+def bitmap(values: np.ndarray) -> bytes:
+    bits = 64 << max(2, int(len(values) // 32).bit_length())
+    out = np.zeros(bits, bool)
+    out[(values.view(np.uint64) >> np.uint64(7)) % np.uint64(bits)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of one width, the smallest: halves of a wider one are put on each other."""
+    width, out = min(map(len, maps)) // 8, []
+    for m in maps:
+        words = np.frombuffer(m, np.uint64)
+        while len(words) > width:
+            words = words[: len(words) // 2] | words[len(words) // 2 :]
+        out.append(words)
+    return np.array(out)
+
+
+def tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components in a tile whose bitmaps leave room for a link."""
     rows = rows.drop_duplicates("sid").sort_values("n")
-    sets, n = [np.asarray(a, np.int64) for a in rows["arr"]], rows["n"].to_numpy(np.int64)
-    high, block = rows["high"].to_numpy(), rows["block"].to_numpy()
-    several = rows["first_block"].iat[0] != rows["last_block"].iat[0] if len(rows) else False
-    _, comp = np.unique(rows["comp"], return_inverse=True)
-    sid, found = rows["sid"].to_numpy(), []
-    bits = 64 * max(4, 1 << int(max(1, max(map(len, sets), default=1) // 16)).bit_length())
-    maps = bitmaps(sets, bits)
-    counts = np.array([len(s) for s in sets])
+    n, count, comp, high, block, sid = (rows[c].to_numpy() for c in ("n", "count", "comp", "high", "block", "sid"))
+    several = len(rows) > 0 and rows["first_block"].iat[0] != rows["last_block"].iat[0]
+    maps, found = folded(list(rows["bitmap"])), []
     for x in range(1, len(rows)):
         could = (5 * n[:x] >= 4 * n[x]) & (comp[:x] != comp[x]) & ~(high[:x] & high[x])
         if several:
             could &= block[:x] != block[x]
         ys = np.flatnonzero(could)
-        if not len(ys):
-            continue
-        apart = np.bitwise_count(maps[ys] ^ maps[x]).sum(1, dtype=np.int64)
-        most = (counts[ys] + counts[x] - apart) // 2
-        for y in ys[9 * most >= 4 * (n[ys] + n[x])]:
-            if comp[y] == comp[x]:
-                continue
-            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 9 * common >= 4 * (n[x] + n[y]):
-                found.append((sid[x], sid[y]))
-                comp[comp == comp[x]] = comp[y]
+        most = (count[ys] + count[x] - np.bitwise_count(maps[ys] ^ maps[x]).sum(1, dtype=np.int64)) // 2
+        ys = ys[9 * most >= 4 * (n[ys] + n[x])]
+        found += [(min(sid[x], sid[y]), max(sid[x], sid[y])) for y in ys]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def residual_links(sets: DataFrame, prefixes: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: links that join what the stars left apart."""
-    rows = prefixes.join(labels.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    # a tile is named by its lower band; a class lies in its own band's tile, and as high in the one below
-    tiled = rows.select("s", "sid", "comp", "n", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(False).alias("high")), F.struct((F.col("band") - 1).alias("tile"), F.lit(True).alias("high")))).alias("t")).select("*", "t.*").drop("t")
+def small_tile_pairs(signs: DataFrame, tiled: DataFrame) -> DataFrame:
+    """a, b: as tile_pairs, for tiles of at most SMALL_TILE rows, whose few pairs are made once for all tiles that share them."""
+    x, y = (tiled.select("s", "tile", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "comp", "high"))) for k in "ab")
+    pairs = x.join(y, ["s", "tile"]).filter("sid_a < sid_b AND comp_a <> comp_b AND NOT (high_a AND high_b)").select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
+    x, y = (signs.select(F.col("sid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "count", "bitmap"))) for k in "ab")
+
+    def bound(batches):
+        for batch in batches:
+            n_a, n_b, count_a, count_b = (batch.column(f"{c}_{k}").to_numpy() for c in ("n", "count") for k in "ab")
+            apart = np.array([int(np.bitwise_count(np.bitwise_xor(*folded([m.as_py(), o.as_py()]))).sum()) for m, o in zip(batch.column("bitmap_a"), batch.column("bitmap_b"), strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(9 * ((count_a + count_b - apart) // 2) >= 4 * (n_a + n_b)))
+
+    return pairs.join(x, "a").join(y, "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").mapInArrow(bound, "a long, b long")
+
+
+def residual_pairs(signs: DataFrame, tiled: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: pairs that the bitmaps let pass, of components that the stars left apart."""
     open_tiles = tiled.groupBy("s", "tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows"), F.count_if(~F.col("high")).alias("low")).filter("x <> y AND low > 0")
-    tiled = tiled.join(open_tiles.select("s", "tile", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")), ["s", "tile"])
+    tiled = scratch.save(tiled.join(open_tiles.select("s", "tile", "rows"), ["s", "tile"]), "open-tiles")
+    few = small_tile_pairs(signs, tiled.filter(F.col("rows") <= SMALL_TILE))
+    tiled = tiled.filter(F.col("rows") > SMALL_TILE).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
     tiled = tiled.withColumn("block", F.pmod(F.hash("sid"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     # with several blocks, a pair within one is met in the tile of the block with itself
-    tiled = tiled.select("*", other).withColumns({"first_block": F.least("block", "other"), "last_block": F.greatest("block", "other")}).drop("other", "blocks")
-    tiled = tiled.drop("n").join(sets.select("sid", "n", "arr"), "sid")
-    return tiled.groupBy("s", "tile", "first_block", "last_block").applyInPandas(lambda t: tile_links(t), "a long, b long").distinct()
+    tiled = tiled.select("*", other).withColumns({"first_block": F.least("block", "other"), "last_block": F.greatest("block", "other")}).drop("other", "blocks", "rows")
+    tiled = tiled.join(signs, "sid")
+    many = tiled.groupBy("s", "tile", "first_block", "last_block").applyInPandas(lambda t: tile_pairs(t), "a long, b long")
+    return few.unionByName(many).distinct()
+
+
+def joined_labels(labels: DataFrame | None, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """labels (node, comp) with the components that edges (a, b) of nodes connect."""
+    if labels is None:
+        return components(edges, scratch, name)
+    if edges.isEmpty():
+        return labels
+    to = lambda e, c: e.join(labels.select(F.col("node").alias(c), F.col("comp").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    merged = components(scratch.save(to(to(edges, "a"), "b"), f"{name}-between"), scratch, name)
+    moved = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("further")), "comp", "left").select("node", F.coalesce("further", "comp").alias("comp"))
+    return scratch.save(moved.unionByName(merged).distinct(), f"{name}-labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     scratch = Scratch(docs.sparkSession, "ngrams")
-    members = scratch.save(with_set(docs).select("doc_id", F.size("arr").cast("long").alias("n"), F.xxhash64("arr").alias("sid"), F.size(_part()).alias("part")), "members")
-    left = sieve(docs, members, scratch)
+    members = with_set(docs).select("doc_id", F.size("arr").cast("long").alias("n"), F.xxhash64("arr").alias("sid"), _part().alias("part"))
+    members = scratch.save(members, "members")
+    left = sieve(members, scratch)
     sets = shared_sets(docs, left, scratch)
-    prefixes = scratch.save(sets.select("sid", "n", band().alias("band"), F.explode("prefix").alias("s")), "prefixes")
-    labels = components(scratch.save(star_links(sets, prefixes), "stars"), scratch, "stars")
-    rest = scratch.save(residual_links(sets, prefixes, labels, scratch), "rest")
-    if not rest.isEmpty():
-        to = lambda e, c: e.join(labels.select(F.col("node").alias(c), F.col("comp").alias(f"to_{c}")), c, "left").withColumn(c, F.coalesce(f"to_{c}", c)).drop(f"to_{c}")
-        merged = components(scratch.save(to(to(rest, "a"), "b"), "merged"), scratch, "merged")
-        stars = labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("further")), "comp", "left").select("node", F.coalesce("further", "comp").alias("comp"))
-        labels = scratch.save(stars.unionByName(merged).distinct(), "labels")
+    prefixes = scratch.save(_exploded(sets.withColumn("band", band()), "prefix", "sid", "band"), "prefixes")
+    labels: DataFrame | None = None
+    for k in range(STAR_ROUNDS):
+        pairs = scratch.save(star_pairs(tiles(prefixes, labels)), f"star-pairs-{k}")
+        edges = scratch.save(verified(sets, pairs), f"stars-{k}")
+        labels = joined_labels(labels, edges, scratch, f"star-{k}")
+    pairs = scratch.save(residual_pairs(scratch.save(with_bitmaps(sets), "bitmaps"), tiles(prefixes, labels), scratch), "pairs")
+    labels = joined_labels(labels, scratch.save(verified(sets, pairs), "rest"), scratch, "rest")
     named = members.join(labels.select(F.col("node").alias("sid"), "comp"), "sid", "left")
     named = scratch.save(named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "sid").alias("comp")), "named")
     names = named.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
