@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import decontaminate
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import RUN, dedup_lines
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import near_duplicates
 from tidemark.llm.quality import fit_quality, score_quality
@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier one equals or nearly equals go; so do documents that lose lines and keep none but short ones."""
-    kept = dedup_lines(docs, keep=("lang", "source", "n_chars"))
+    kept = dedup_lines(docs, keep=("lang", "source", "n_chars"), run=RUN)
     lost = F.col("n_equal") + F.col("n_near") > 0
     kept = kept.filter(~lost | (F.col("n_long") > 0))
     chars = F.when(lost, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))

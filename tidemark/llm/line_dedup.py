@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line of at least min_chars code points is dropped if an earlier line of the corpus is equal to it, or within one edit
-(a code point inserted, deleted or replaced). Earlier means smaller (doc_id, text hash, line number), that of a distinct
-line being its first occurrence; what an earlier line's own fate is does not matter. Shorter lines stay.
+A line of at least min_chars code points is dropped if an earlier line of the corpus is equal to it, within one edit
+(a code point inserted, deleted or replaced), or, with run, within (m - run) // (run + 1) word edits, m being the words
+of the longer line. Earlier means smaller (doc_id, text hash, line number), that of a distinct line being its first
+occurrence; what an earlier line's own fate is does not matter. Shorter lines stay.
 
 The variants of a line are: the line with one code point blanked, keyed with its place, and the line with one code
 point deleted, which the line one shorter meets with itself. Lines that share a blanked variant are all one edit apart,
@@ -12,6 +13,12 @@ coarser neighbourhoods come first, each necessary for the next: lines one edit a
 all but one sixteenth; only places in the sixteenths that agree elsewhere emit variants. Found pairs are verified by
 their edit distance.
 
+Word edits: a word is what stands from one start to the next; a line's start, the first code point after white space, and
+every code point from U+0800 (scripts without spaces) are starts. Lines within k word edits share a run of run words, as
+k edits leave at most k + 1 runs. Of all shingles of run // 2 words the least of each window is kept as a key, which
+every shared run of run words gives to both lines (winnowing). Places and lengths have to agree within the bound too,
+and of 64 parities of words two at most differ for each edit; pairs that remain are verified.
+
 Defined results: a null text stays null and has no lines; an empty one stays empty; repeated rows of a doc_id with the
 same text are one document and share its fate; a null doc_id comes first in order; an empty table gives an empty
 result. Columns beyond doc_id and text are not read.
@@ -19,6 +26,12 @@ result. Columns beyond doc_id and text are not read.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +39,11 @@ from tidemark.llm.shared import Scratch, small
 
 MIN_CHARS = 20
 PARTS = 16
+#: Words of an unchanged run that near lines share at least: of 17 words one may differ, of each 9 more another one.
+RUN = 8
+_STARTS = re.compile(r"(?<=[\t-\r ])(?=[^\t-\r ])|(?=[\u0800-\U0010ffff])")
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 LINE = ["h1", "h2"]
 
 
@@ -89,18 +107,168 @@ def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: i
     return checked.filter(F.levenshtein("line", "other", 1).between(0, 1)).select(*LINE).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+def split_words(line: str) -> list[str]:
+    """Words with the white space after them; together they are the line."""
+    return [w for w in _STARTS.split(line) if w]
+
+
+def word_bound(words: int, run: int) -> int:
+    """Word edits that lines are near within, by the words of the longer one."""
+    return max(0, (words - run) // (run + 1))
+
+
+def within(a: list[str], b: list[str], bound: int) -> bool:
+    """Whether a and b are at most bound words inserted, deleted or replaced apart."""
+    if abs(len(a) - len(b)) > bound or len(set(a) - set(b)) > bound or len(set(b) - set(a)) > bound:
+        return False
+    start, stop = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    a, b = a[start : len(a) - stop], b[start : len(b) - stop]
+    far = bound + 1
+    row = [min(j, far) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        lo, hi = max(1, i - bound), min(len(b), i + bound)
+        new = [far] * (len(b) + 1)
+        if i <= bound:
+            new[0] = i
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        row = new
+        if min(row) > bound:
+            return False
+    return row[-1] <= bound
+
+
+def _mixed(value: np.ndarray) -> np.ndarray:
+    for shift, factor in zip((30, 27), _MIX, strict=True):
+        value = (value ^ (value >> np.uint64(shift))) * factor
+    return value ^ (value >> np.uint64(31))
+
+
+def _winnow(batch: pa.RecordBatch, run: int) -> pa.RecordBatch:
+    """key, id, place (words of the line, and the shingle's number below them), parities (of the line's words) of the lines' kept shingles. batch: id, line."""
+    q, w, size = run // 2, run - run // 2 + 1, batch.num_rows
+    column = batch.column(1).cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + size + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    starts = data >= 0xE0
+    starts[1:] |= space[:-1] & ~space[1:]
+    starts[offsets[:-1]] = True
+    at = np.flatnonzero(starts)
+    first = np.searchsorted(at, offsets[:-1])
+    words = np.diff(np.append(first, len(at)))
+    line = np.repeat(np.arange(size), words)
+    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), _BASE, np.uint64))))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
+    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), pow(_BASE, -1, 1 << 64), np.uint64))))
+    bounds, end, i = np.append(at, len(data)), (first + words)[line], np.arange(len(at))
+    hashed = lambda n: _mixed((sums[bounds[np.minimum(i + n, len(at))]] - sums[at]) * back[at])
+    value = hashed(q)
+    parities = np.bitwise_xor.reduceat(np.uint64(1) << (hashed(1) & np.uint64(63)), first) if size else np.zeros(0, np.uint64)
+    full = np.flatnonzero((i + w - 1 + q <= end) & (words[line] >= 2 * run))
+    least = value[full]
+    for s in range(1, w):
+        least = np.minimum(least, value[full + s])
+    chosen = np.zeros(len(at), bool)
+    for s in range(w):
+        chosen[full[value[full + s] == least] + s] = True
+    i = np.flatnonzero(chosen)
+    place = (words[line[i]] << 32) | (i - first[line[i]])
+    return pa.RecordBatch.from_arrays([pa.array(value[i].view(np.int64)), batch.column(0).take(pa.array(line[i])), pa.array(place), pa.array(parities[line[i]].view(np.int64))], names=["key", "id", "place", "parities"])
+
+
+def _partners(key: np.ndarray, place: np.ndarray, ids: np.ndarray, parities: np.ndarray, run: int) -> Iterator[pa.RecordBatch]:
+    """a, b: ids of lines that share a key, as far as places, lengths and parities allow. Rows are in order of key, place, id."""
+    if len(key) == 0:
+        return
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (ids[1:] != ids[:-1])
+    key, place, ids, parities = key[new], place[new], ids[new], parities[new]
+    words, spot = place >> 32, place & 0xFFFFFFFF
+    bound = np.maximum(0, (words - run) // (run + 1))
+    i, s = np.arange(len(key)), 0
+    while len(i):
+        s += 1
+        i = i[i >= s]
+        i = i[(key[i] == key[i - s]) & (words[i] - words[i - s] <= bound[i])]
+        before = spot[i] - spot[i - s]
+        near = (np.abs(before) + np.abs(words[i] - words[i - s] - before) <= bound[i]) & (ids[i] != ids[i - s])
+        near[near] = np.bitwise_count((parities[i[near]] ^ parities[i[near] - s]).view(np.uint64)) <= 2 * bound[i[near]]
+        if near.any():
+            x, y = ids[i[near]], ids[i[near] - s]
+            found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
+def near_by_words(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: int, run: int) -> DataFrame:
+    """h1, h2 of the distinct lines within the bound of word edits of an earlier one. lines: h1, h2, first."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                yield _winnow(batch.slice(k, 2000), run)
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            now = [batch.column(c).to_numpy() for c in ("key", "place", "id", "parities")]
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
+            if cut:
+                yield from _partners(*(np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)), run)
+                held = []
+            elif held and held[0][0][0] != now[0][0]:
+                yield from _partners(*(np.concatenate(x) for x in zip(*held, strict=True)), run)
+                held = []
+            held.append([c[cut:].copy() for c in now])
+        if held:
+            yield from _partners(*(np.concatenate(x) for x in zip(*held, strict=True)), run)
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("line").to_pylist(), batch.column("other").to_pylist(), strict=True)
+            cut = ((split_words(x), split_words(y)) for x, y in pairs)
+            near = [within(x, y, word_bound(max(len(x), len(y)), run)) for x, y in cut]
+            yield batch.select(LINE).filter(pa.array(near, pa.bool_()))
+
+    found = _lines(docs, min_chars).select(F.col("h1").alias("id"), "line").mapInArrow(keys, "key long, id long, place long, parities long")
+    pairs = found.repartition("key").sortWithinPartitions("key", "place", "id").mapInArrow(partners, "a long, b long")
+    pairs = scratch.save(pairs.distinct(), "pairs")
+    chosen = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "in-pairs")
+    at_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.pos") == F.col("pos"))
+    firsts = scratch.save(lines.select(*LINE, "first").join(small(chosen), "h1"), "firsts")
+    texts = scratch.save(_lines(docs, min_chars).join(small(firsts), LINE).filter(at_first).select(*LINE, "first", "line").dropDuplicates(LINE), "pair-texts")
+    side = lambda k: texts.select(F.col("h1").alias(k), F.struct("first", "line", *LINE).alias(f"of_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    later = F.when(F.col("of_a.first") > F.col("of_b.first"), F.col("of_a")).otherwise(F.col("of_b"))
+    other = F.when(F.col("of_a.first") > F.col("of_b.first"), F.col("of_b")).otherwise(F.col("of_a"))
+    both = both.select(later.alias("x"), other["line"].alias("other")).select("x.h1", "x.h2", "x.line", "other")
+    return both.mapInArrow(verified, "h1 long, h2 long").distinct()
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, keep: tuple[str, ...] = (), run: int = 0) -> DataFrame:
     """doc_id, text (what stays of it), n_lines, n_equal, n_near (lines dropped for an equal or a near one), n_long (lines of min_chars that stay), and the columns of docs named in keep."""
     if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
+        raise ValueError("max_edits, of code points, is 0 or 1; run sets the bound of word edits")
+    if run and run < 2:
+        raise ValueError("run is 0 (no word edits) or 2 words at least")
     scratch = Scratch(docs.sparkSession, "lines")
     where = F.struct("doc_id", "text_hash", "pos")
     rows = _lines(docs, min_chars)
     lines = rows.withColumn("halves", _half_keys()).groupBy(*LINE).agg(F.min(where).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("times"))
     lines = scratch.save(lines, "distinct")
     known = lines.select(*LINE, "first", "times")
-    if max_edits:
-        near = scratch.save(near_lines(docs, lines, scratch, min_chars), "near")
+    found = [near_lines(docs, lines, scratch, min_chars)] if max_edits else []
+    found += [near_by_words(docs, lines, scratch, min_chars, run)] if run else []
+    if found:
+        near = scratch.save(reduce(DataFrame.unionByName, found).distinct(), "near")
         known = known.join(near.withColumn("near", F.lit(True)), LINE, "left")
     else:
         known = known.withColumn("near", F.lit(None).cast("boolean"))
