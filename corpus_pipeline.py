@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier one equals or nearly equals go; so do documents that lose lines and keep nothing but white space."""
-    kept = dedup_lines(docs, keep=("lang", "source", "n_chars"), run=RUN)
+    kept = dedup_lines(docs, keep=("lang", "source", "n_chars"), run=RUN, short_equal=True)
     lost = F.col("n_equal") + F.col("n_near") > 0
     kept = kept.filter(~lost | F.col("text").rlike(r"(?U)\S"))
     chars = F.when(lost, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -3,7 +3,8 @@
 A line of at least min_chars code points is dropped if an earlier line of the corpus is equal to it, within one edit
 (a code point inserted, deleted or replaced), or, with run, within (m - run) // (run + 1) word edits, m being the words
 of the longer line. Earlier means smaller (doc_id, text hash, line number), that of a distinct line being its first
-occurrence; what an earlier line's own fate is does not matter. Shorter lines stay.
+occurrence; what an earlier line's own fate is does not matter. Shorter lines stay or, with short_equal, go too if an
+earlier line is equal; lines of white space alone stay.
 
 The variants of a line are: the line with one code point blanked, keyed with its place, and the line with one code
 point deleted, which the line one shorter meets with itself. Lines that share a blanked variant are all one edit apart,
@@ -47,10 +48,10 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 LINE = ["h1", "h2"]
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """doc_id, text_hash, pos, line, n, h1, h2: every line that may be dropped."""
     rows = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("n", F.char_length("line")).filter(F.col("n") >= min_chars)
+    rows = rows.withColumn("n", F.char_length("line")).filter((F.col("n") >= min_chars) | (F.lit(short) & F.col("line").rlike(r"(?U)\S")))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -253,7 +254,7 @@ def near_by_words(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars
     return both.mapInArrow(verified, "h1 long, h2 long").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, keep: tuple[str, ...] = (), run: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, keep: tuple[str, ...] = (), run: int = 0, short_equal: bool = False) -> DataFrame:
     """doc_id, text (what stays of it), n_lines, n_equal, n_near (lines dropped for an equal or a near one), n_long (lines of min_chars that stay), and the columns of docs named in keep."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits, of code points, is 0 or 1; run sets the bound of word edits")
@@ -261,8 +262,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1,
         raise ValueError("run is 0 (no word edits) or 2 words at least")
     scratch = Scratch(docs.sparkSession, "lines")
     where = F.struct("doc_id", "text_hash", "pos")
-    rows = _lines(docs, min_chars)
-    lines = rows.withColumn("halves", _half_keys()).groupBy(*LINE).agg(F.min(where).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("times"))
+    rows = _lines(docs, min_chars, short_equal)
+    lines = rows.withColumn("halves", F.when(F.col("n") >= min_chars, _half_keys())).groupBy(*LINE).agg(F.min(where).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("times"))
     lines = scratch.save(lines, "distinct")
     known = lines.select(*LINE, "first", "times")
     found = [near_lines(docs, lines, scratch, min_chars)] if max_edits else []

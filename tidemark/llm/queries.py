@@ -29,7 +29,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.line_dedup import RUN, dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents"), run=RUN)
+    return dedup_lines(table(spark, sf_dir, "documents"), run=RUN, short_equal=True)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
