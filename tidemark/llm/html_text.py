@@ -25,18 +25,21 @@ from pyspark.sql import types as T
 
 # Elements of HTML.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math object canvas audio video noembed noframes xmp".split())
+RAW = frozenset("script style iframe textarea title noembed noframes xmp".split())
+#: Not raw text: what they hold is read, with evidence against it, up to their own end tag; without one they end nothing.
+EMBEDDED = frozenset("template noscript svg object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"button", "option", "select"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-ELEMENT_EVIDENCE = {"article": 4.0, "main": 3.0, "p": 0.8, "pre": 0.8, "blockquote": 0.8, "h1": 0.8, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "select": -9.0, "option": -9.0, "menu": -9.0, "dialog": -9.0, "fieldset": -9.0, "search": -9.0, "head": -20.0}
+ELEMENT_EVIDENCE = {"article": 4.0, "main": 3.0, "p": 0.8, "pre": 0.8, "blockquote": 0.8, "h1": 0.8, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "select": -9.0, "option": -9.0, "menu": -9.0, "dialog": -9.0, "fieldset": -9.0, "search": -9.0, "head": -20.0} | dict.fromkeys(EMBEDDED, -20.0)
 ROLE_EVIDENCE = {"main": 3.0, "article": 4.0, "navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "dialog": -9.0, "alert": -9.0, "alertdialog": -9.0, "menu": -9.0, "menubar": -9.0, "form": -9.0}
 BAD_WORDS = frozenset("ad ads adv advert advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header legal masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar topbar widget".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+_EMBEDDED_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea|title|xmp)\b.*?(?:</\1\b|\Z)|<(/?)({"|".join(sorted(EMBEDDED))})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*+>""", re.I | re.S)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -67,6 +70,21 @@ def element_evidence(name: str, attributes: str, above: list[str]) -> float:
     return found
 
 
+def closed_elements(page: str) -> set[int]:
+    """Where the EMBEDDED elements start that an end tag of their own closes."""
+    found: set[int] = set()
+    open_at: dict[str, list[int]] = {}
+    for m in _EMBEDDED_TAG.finditer(page):
+        if not m[3] or m[0].endswith("/>"):
+            continue
+        at = open_at.setdefault(m[3].lower(), [])
+        if not m[2]:
+            at.append(m.start())
+        elif at:
+            found.add(at.pop())
+    return found
+
+
 def read_blocks(page: str) -> list[tuple[str, Block]]:
     """Texts of blocks in page order, white space already single."""
     out: list[tuple[str, Block]] = []
@@ -101,6 +119,7 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
                 return
 
     scopes = frozenset("article aside body button dialog div fieldset figure footer form header main nav section table td th ul ol dl menu".split())
+    closed = closed_elements(page)
     at, size = 0, len(page)
     while at < size:
         lt = page.find("<", at)
@@ -118,7 +137,7 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
         elif nxt == "/" and (m := _NAME.match(page, lt + 2)):
             end = page.find(">", m.end())
             at, name = (size if end < 0 else end + 1), m[0].lower()
-            if name in BLOCKS:
+            if name in BLOCKS or (name in EMBEDDED and any(n == name for n, _, _ in stack)):
                 end_block()
                 if name == "p":
                     close({"p"}, scopes)
@@ -135,7 +154,7 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
                 end = page.find(">", stop.end()) if stop else -1
                 at = size if end < 0 else end + 1
-            elif name in BLOCKS:
+            elif name in BLOCKS or (name in EMBEDDED and lt in closed):
                 end_block()
                 if name in CLOSES_P:
                     close({"p"}, scopes)
