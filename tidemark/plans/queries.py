@@ -338,6 +338,19 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(P.source(files)).select("file", F.col("line").cast("long").alias("line"))
 
 
+@query(r"""WITH every AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.py' AS file, regexp_extract_all(text, 'token = "[^"\n]*"') AS found FROM documents),
+lines AS (SELECT file, unnest(found) AS text, generate_subscripts(found, 1) AS line FROM every)
+SELECT file, CAST(line AS BIGINT) AS line FROM lines WHERE regexp_matches(text, '"[0-9a-f]{40}"')""")
+def every_secret_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SECRETPY-001 on all assignments that stand in documents, each on a line of its own."""
+    from tidemark.rules.security import secrets
+
+    docs = _table(spark, sf_dir, "documents")
+    lines = F.array_join(F.regexp_extract_all("text", F.lit(r"(token = \"[^\"\n]*\")"), F.lit(1)), "\n")
+    files = docs.select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("path"), lines.alias("content")).filter("content <> ''")
+    return secrets(P.source(files)).select("file", F.col("line").cast("long").alias("line"))
+
+
 @query("""WITH h AS (SELECT doc_id, sha256(lower(text)) AS sha FROM documents), g AS (SELECT sha, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first FROM h GROUP BY sha HAVING count(*) > 1)
 SELECT doc_id, n, first FROM h JOIN g USING (sha)""")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
