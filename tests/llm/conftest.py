@@ -20,7 +20,12 @@ def docs(spark):
 def sentences():
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
-    return lambda n, seed: " ".join(random.Random(seed).choice(vocabulary) for _ in range(n))
+
+    def make(n, seed):
+        own = random.Random(seed)
+        return " ".join(own.choice(vocabulary) for _ in range(n))
+
+    return make
 
 
 @pytest.fixture(scope="session")
