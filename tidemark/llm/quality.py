@@ -30,7 +30,8 @@ STATISTICS = ("upper", "digit", "symbol", "exclaim", "distinct", "again", "word_
 def with_statistics(df: DataFrame) -> DataFrame:
     """df with the numbers that a rule may use, columns _q_ and the names of STATISTICS; all of the whole text, all zero for an empty one.
 
-    Words and lines are columns of their own first, so that each is made once a row.
+    Words and lines are columns of their own first, and the numbers leave through a generator: neither filters nor rules on
+    them are pushed below it, where each would make its numbers anew, so every number is made once a row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     df = df.withColumns({"_q_words": tokens(text), "_q_lines": F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")})
@@ -50,7 +51,8 @@ def with_statistics(df: DataFrame) -> DataFrame:
         share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
         F.log1p(F.size(found).cast("double")),
     )
-    return df.withColumns({f"_q_{n}": v for n, v in zip(STATISTICS, values, strict=True)}).drop("_q_words", "_q_lines")
+    df = df.withColumn("_q_all", F.struct(*(v.cast("double").alias(f"_q_{n}") for n, v in zip(STATISTICS, values, strict=True))))
+    return df.select("*", F.inline_outer(F.array("_q_all"))).drop("_q_words", "_q_lines", "_q_all")
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, above, threshold), all of which hold
@@ -134,11 +136,17 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Fitted on the statistics of at most sample_rows labelled rows outside fold 0, which are all that reaches the driver."""
+    """Fitted on the statistics of at most sample_rows labelled rows outside fold 0, which are all that reaches the driver.
+
+    A label's document is the row of its doc_id whose text hashes smallest, so repeated ids add no rows and the model is
+    the same each time.
+    """
     chosen = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter(F.col("y").isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("y", *(F.col(f"_q_{n}").alias(n) for n in STATISTICS))
-    found = rows.limit(2 * sample_rows).toPandas().sort_values(["y", *STATISTICS])  # the same order each time, so the same model
+    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    rows = rows.select("doc_id", "y", F.struct(F.xxhash64("text").alias("hash"), *(F.col(f"_q_{n}").alias(n) for n in STATISTICS)).alias("s"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("s").alias("s")).select("y", *(F.col(f"s.{n}").alias(n) for n in STATISTICS))
+    found = rows.toPandas().sort_values(["y", *STATISTICS])  # the same order each time, so the same model
     return fit_rules(found[list(STATISTICS)].to_numpy(float), found["y"].to_numpy(float), list(STATISTICS))
 
 
