@@ -3,7 +3,6 @@ import re
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 
 from tidemark.llm import ngram_join
 from tidemark.llm.components import components
@@ -45,8 +44,9 @@ def test_small_blocks_find_what_large_ones_do(docs, sentences, monkeypatch):
     shared = sentences(50, 1)
     rows = [(i, shared + " " + sentences(6, i // 2)) for i in range(60)]
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(ngram_join, "SMALL_TILE", 3)
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(ngram_join, "CANDIDATES", 1)
+    monkeypatch.setattr(ngram_join, "MORE", 8)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
     assert sorted(tuple(r) for r in ngram_join.near_duplicates(docs(rows)).collect()) == brute(rows)
 
 
@@ -60,9 +60,24 @@ def test_bitmaps_bound_from_above():
 
 
 def test_tile_leaves_components_alone():
-    maps = [ngram_join.bitmap(np.arange(30) << 7)] * 3
-    rows = pd.DataFrame({"sid": [1, 2, 3], "n": 30, "count": 30, "comp": [1, 1, 3], "high": False, "block": 0, "first_block": 0, "last_block": 0, "bitmap": maps})
-    assert sorted(map(tuple, ngram_join.tile_pairs(rows).to_numpy())) == [(1, 3), (2, 3)]
+    maps, flat = ngram_join.folded([ngram_join.bitmap(np.arange(30) << 7)] * 3), np.full(3, 30)
+    tile = lambda comp, most: ngram_join.candidates(np.array([1, 2, 3]), flat, flat, np.array(comp), np.zeros(3, bool), np.zeros(3, int), maps, False, most)
+    assert tile([1, 1, 3], 9) == ([(3, 1), (3, 2)], False)
+    assert tile([1, 1, 3], 1) == ([(3, 1)], True)
+
+
+def test_clouds_without_a_centre(docs, sentences, monkeypatch):
+    """Near copies of a text that is not there: of any two, a part links; few candidates a round have to find them all."""
+    rng, rows = random.Random(3), []
+    for base in range(3):
+        text = sentences(180, 70 + base).split()
+        for i in range(60):
+            copy = list(text)
+            for _ in range(3):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(900)}"
+            rows.append((100 * base + i, " ".join(copy)))
+    monkeypatch.setattr(ngram_join, "CANDIDATES", 1)
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(docs(rows)).collect()) == brute(rows)
 
 
 def test_nulls_repeats_and_empty(docs, sentences):

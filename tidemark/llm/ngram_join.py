@@ -6,11 +6,15 @@ sets A and B share at least n - n div 5 of A's n shingles, all sieves are necess
 1. Sieve: of the shingles in five sixteenths of the hash range, those that only one class has are at most n div 5.
 2. Among the classes left, shingles get their exact count. A class with more than n div 5 that no other has is out;
    the rest keep their shared shingles only, rarest first, and of these the prefix that any link must meet.
-3. Star rounds: each class is verified against one class of another component with which it shares most prefix
-   shingles, taken among the smallest of their tiles, so that groups of near copies fall together along stars.
-4. Prefix shingles that still join several components go to tiles: classes of two neighbouring size bands, in blocks
-   of a bounded number of rows, two blocks to a tile. Hashed bitmaps bound the overlap of a pair from above by bit
-   counts; the pairs of different components that pass are intersected exactly.
+3. Tiles: classes of two neighbouring size bands that have a prefix shingle in common. Hashed bitmaps bound the overlap
+   of a pair from above by bit counts, and what passes is intersected exactly. A pair within a component needs no look.
+   First come two rounds of stars, in which a class meets one class of its tiles, drawn anew each round, so that groups
+   of near copies fall together; they settle the most part of the rows that would fill tiles.
+4. Tile rounds: of the tiles that still join several components, every class puts forward its best candidates by
+   bitmap, a few in the first round and sixteen times as many in each further one. The links found join components, so a
+   group of near copies becomes one long before its pairs are through. The rounds end when no class had more candidates
+   than it put forward: then every pair of different components that the bitmaps let pass has been intersected. Tiles of
+   very many classes are cut in blocks, two to a task.
 
 Defined results: null and empty texts have no set, link with nothing and are their own component; repeated rows share
 a component; a document with a null doc_id counts in its component but is not its name, unless all are null; an empty
@@ -19,19 +23,22 @@ table gives an empty result. Columns beyond doc_id and text are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import Scratch, ascii_lower, small, tokens
+from tidemark.llm.shared import Scratch, ascii_lower, small, tokens, whole_groups
 
 SHINGLE = 5
-BLOCK_ROWS = 256
-SMALL_TILE = 24
+#: Classes of a block; two blocks' bitmaps are held in a task, and their pairs bounded there.
+BLOCK_ROWS = 2048
 STAR_ROUNDS = 2
+#: Candidates that a class puts forward in a tile in the first round, and how many times more in the next one.
+CANDIDATES, MORE = 4, 16
 
 
 def with_set(docs: DataFrame, *keep: str) -> DataFrame:
@@ -118,15 +125,16 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.filter(linked(F.size(F.array_intersect("arr_a", "arr_b")), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def star_pairs(tiled: DataFrame) -> DataFrame:
-    """a, b: each class with the class of another component that it meets most often among the first of its tiles."""
-    first = tiled.groupBy("s", "tile").agg(F.min(F.struct("comp", "sid")).alias("first"), F.max("comp").alias("last")).filter("first.comp <> last")
-    met = tiled.join(first, ["s", "tile"]).filter("comp <> first.comp").groupBy("sid", F.col("first.sid").alias("pivot")).agg(F.count("*").alias("shared"))
+def star_pairs(tiled: DataFrame, turn: int) -> DataFrame:
+    """a, b: each class with the class of another component that it meets most often among those drawn for its tiles in this turn."""
+    drawn = F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("lot"), "comp", "sid")).alias("drawn")
+    drawn = tiled.groupBy("s", "tile").agg(drawn, F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("s", "tile", "drawn")
+    met = tiled.join(drawn, ["s", "tile"]).filter("comp <> drawn.comp").groupBy("sid", F.col("drawn.sid").alias("pivot")).agg(F.count("*").alias("shared"))
     return met.groupBy(F.col("sid").alias("a")).agg(F.max(F.struct("shared", "pivot")).alias("best")).select("a", F.col("best.pivot").alias("b"))
 
 
 def with_bitmaps(sets: DataFrame) -> DataFrame:
-    """sid, n, count, bitmap: hashed bits of each set, at least twice as many as it has elements."""
+    """sid, n, count, bitmap: hashed bits of each set, at least four times as many as it has elements."""
 
     def sign(batches):
         for batch in batches:
@@ -138,7 +146,7 @@ def with_bitmaps(sets: DataFrame) -> DataFrame:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    bits = 64 << max(2, int(len(values) // 32).bit_length())
+    bits = 64 << max(2, int(len(values) // 16).bit_length())
     out = np.zeros(bits, bool)
     out[(values.view(np.uint64) >> np.uint64(7)) % np.uint64(bits)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -155,27 +163,8 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return np.array(out)
 
 
-def tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in a tile whose bitmaps leave room for a link."""
-    rows = rows.drop_duplicates("sid").sort_values("n")
-    n, count, comp, high, block, sid = (rows[c].to_numpy() for c in ("n", "count", "comp", "high", "block", "sid"))
-    several = len(rows) > 0 and rows["first_block"].iat[0] != rows["last_block"].iat[0]
-    maps, found = folded(list(rows["bitmap"])), []
-    for x in range(1, len(rows)):
-        could = (5 * n[:x] >= 4 * n[x]) & (comp[:x] != comp[x]) & ~(high[:x] & high[x])
-        if several:
-            could &= block[:x] != block[x]
-        ys = np.flatnonzero(could)
-        most = (count[ys] + count[x] - np.bitwise_count(maps[ys] ^ maps[x]).sum(1, dtype=np.int64)) // 2
-        ys = ys[9 * most >= 4 * (n[ys] + n[x])]
-        found += [(min(sid[x], sid[y]), max(sid[x], sid[y])) for y in ys]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-
-def small_tile_pairs(signs: DataFrame, tiled: DataFrame) -> DataFrame:
-    """a, b: as tile_pairs, for tiles of at most SMALL_TILE rows, whose few pairs are made once for all tiles that share them."""
-    x, y = (tiled.select("s", "tile", *(F.col(c).alias(f"{c}_{k}") for c in ("sid", "comp", "high"))) for k in "ab")
-    pairs = x.join(y, ["s", "tile"]).filter("sid_a < sid_b AND comp_a <> comp_b AND NOT (high_a AND high_b)").select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
+def bounded(signs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for a link."""
     x, y = (signs.select(F.col("sid").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "count", "bitmap"))) for k in "ab")
 
     def bound(batches):
@@ -187,19 +176,72 @@ def small_tile_pairs(signs: DataFrame, tiled: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").mapInArrow(bound, "a long, b long")
 
 
-def residual_pairs(signs: DataFrame, tiled: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: pairs that the bitmaps let pass, of components that the stars left apart."""
+def candidates(sid: np.ndarray, n: np.ndarray, count: np.ndarray, comp: np.ndarray, high: np.ndarray, block: np.ndarray, maps: np.ndarray, apart: bool, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Of a tile, for each class at most so many smaller ones of other components, the best by bitmap; and whether there were more.
+
+    apart: of two blocks, so that pairs within one are left to the tile that it forms with itself.
+    """
+    order = np.lexsort((sid, n))
+    sid, n, count, comp, high, block, maps = (v[order] for v in (sid, n, count, comp, high, block, maps))
+    found, more = [], False
+    for x in range(1, len(sid)):
+        low = int(np.searchsorted(n, -(-4 * n[x] // 5)))  # smaller ones can't link
+        could = (comp[low:x] != comp[x]) & ~(high[low:x] & high[x])
+        if apart:
+            could &= block[low:x] != block[x]
+        ys = np.flatnonzero(could) + low
+        if not len(ys):
+            continue
+        common = (count[ys] + count[x] - np.bitwise_count(maps[ys] ^ maps[x]).sum(1, dtype=np.int64)) // 2
+        room = 9 * common >= 4 * (n[ys] + n[x])
+        ys, common = ys[room], common[room]
+        if len(ys) > most:
+            more = True
+            ys = ys[np.argsort(-(common / (n[ys] + n[x])), kind="stable")[:most]]
+        found += [(int(sid[x]), int(sid[y])) for y in ys]
+    return found, more
+
+
+def tile_candidates(signs: DataFrame, tiled: DataFrame, scratch: Scratch, turn: int, most: int) -> DataFrame:
+    """a, b, more: the candidates of all tiles of several components, and in rows without a pair, that a tile has more."""
     open_tiles = tiled.groupBy("s", "tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows"), F.count_if(~F.col("high")).alias("low")).filter("x <> y AND low > 0")
-    tiled = scratch.save(tiled.join(open_tiles.select("s", "tile", "rows"), ["s", "tile"]), "open-tiles")
-    few = small_tile_pairs(signs, tiled.filter(F.col("rows") <= SMALL_TILE))
-    tiled = tiled.filter(F.col("rows") > SMALL_TILE).withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int"))
-    tiled = tiled.withColumn("block", F.pmod(F.hash("sid"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    # with several blocks, a pair within one is met in the tile of the block with itself
-    tiled = tiled.select("*", other).withColumns({"first_block": F.least("block", "other"), "last_block": F.greatest("block", "other")}).drop("other", "blocks", "rows")
-    tiled = tiled.join(signs, "sid")
-    many = tiled.groupBy("s", "tile", "first_block", "last_block").applyInPandas(lambda t: tile_pairs(t), "a long, b long")
-    return few.unionByName(many).distinct()
+    rows = scratch.save(tiled.join(open_tiles.select("s", "tile", "rows"), ["s", "tile"]), f"open-tiles-{turn}")
+    rows = rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS))
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("sid"), F.col("blocks")), "tile": F.col("tile").cast("long")})
+    other = F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    rows = rows.withColumn("other", F.explode(other)).withColumns({"first_block": F.least("block", "other"), "last_block": F.greatest("block", "other")})
+    keys = ("s", "tile", "first_block", "last_block")
+    rows = rows.join(signs, "sid").select(*keys, "sid", "n", "count", "comp", "high", "block", "bitmap")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, starts in whole_groups(batches, keys):
+            sid, n, count, comp, high, block, first, last = (part.column(c).to_numpy() for c in ("sid", "n", "count", "comp", "high", "block", "first_block", "last_block"))
+            maps, pairs, more = part.column("bitmap").combine_chunks(), set(), False
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if j - i > 1:
+                    found, rest = candidates(sid[i:j], n[i:j], count[i:j], comp[i:j], high[i:j], block[i:j], folded(maps[i:j].to_pylist()), first[i] != last[i], most)
+                    pairs.update((min(p), max(p)) for p in found)
+                    more |= rest
+            rows = [(a, b, False) for a, b in sorted(pairs)] + [(None, None, True)] * more
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], names=["a", "b", "more"])
+
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(scan, "a long, b long, more boolean")
+    return scratch.save(found.distinct(), f"pairs-{turn}")
+
+
+def tile_rounds(sets: DataFrame, signs: DataFrame, prefixes: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """labels with all components that the tiles join."""
+    turn, most, tested = 0, CANDIDATES, None
+    while True:
+        found = tile_candidates(signs, tiles(prefixes, labels), scratch, turn, most)
+        pairs = found.filter("NOT more").select("a", "b")
+        new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        edges = scratch.save(verified(sets, new), f"rest-{turn}")
+        labels = joined_labels(labels, edges, scratch, f"rest-{turn}")
+        if found.filter("more").isEmpty():
+            return labels
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        turn, most = turn + 1, most * MORE
 
 
 def joined_labels(labels: DataFrame | None, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -222,15 +264,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     left = sieve(members, scratch)
     sets = shared_sets(docs, left, scratch)
     prefixes = scratch.save(_exploded(sets.withColumn("band", band()), "prefix", "sid", "band"), "prefixes")
+    signs = scratch.save(with_bitmaps(sets), "bitmaps")
     labels: DataFrame | None = None
     for k in range(STAR_ROUNDS):
-        pairs = scratch.save(star_pairs(tiles(prefixes, labels)), f"star-pairs-{k}")
+        pairs = scratch.save(bounded(signs, star_pairs(tiles(prefixes, labels), k)), f"star-pairs-{k}")
         edges = scratch.save(verified(sets, pairs), f"stars-{k}")
         labels = joined_labels(labels, edges, scratch, f"star-{k}")
-    pairs = scratch.save(residual_pairs(scratch.save(with_bitmaps(sets), "bitmaps"), tiles(prefixes, labels), scratch), "pairs")
-    labels = joined_labels(labels, scratch.save(verified(sets, pairs), "rest"), scratch, "rest")
+    labels = tile_rounds(sets, signs, prefixes, labels, scratch)
     named = members.join(labels.select(F.col("node").alias("sid"), "comp"), "sid", "left")
     named = scratch.save(named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "sid").alias("comp")), "named")
-    names = named.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.filter("n_shingles > 0").join(names, "comp").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(named.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    # only components of several documents have to be named by a join; written, so that a hot one's rows can be dealt to several tasks
+    names = named.filter("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("name"), F.count("*").alias("documents")).filter("documents > 1")
+    names = scratch.save(names.select("comp", "name"), "names")
+    out = named.join(small(names), "comp", "left").withColumn("alone", F.col("name").isNull() | (F.col("n_shingles") == 0))
+    return out.select("doc_id", "n_shingles", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"))

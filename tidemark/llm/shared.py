@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,5 +72,39 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows in order of keys (longs without null), in tables that end where a group ends, with the places at which groups begin and the end."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> tuple[pa.Table, np.ndarray]:
+        rows = pa.Table.from_batches(held)
+        new = np.ones(rows.num_rows + 1, bool)
+        new[1:-1] = False
+        for k in keys:
+            v = rows.column(k).to_numpy()
+            new[1:-1] |= v[1:] != v[:-1]
+        return rows, np.flatnonzero(new)
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        last = np.ones(batch.num_rows, bool)
+        for v in columns:
+            last &= v == v[-1]
+        cut = int(np.argmax(last))  # the last group may go on
+        if held and (cut or any(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() != v[0] for k, v in zip(keys, columns, strict=True))):
+            held.append(batch.slice(0, cut))
+            yield whole()
+            held = []
+        elif cut:
+            held = [batch.slice(0, cut)]
+            yield whole()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield whole()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
