@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import dedup_lines, within
 from tests.llm.test_line_dedup import distance
 
 STARTS = re.compile(r"(?<=[\t-\r ])(?=[^\t-\r ])|(?=[ࠀ-\U0010ffff])")
@@ -50,3 +50,50 @@ def test_one_changed_word_in_twenty(docs):
     line = "all of these words stand in the line that another document has but for one word of it here again"
     got = {r["doc_id"]: (r["text"], r["n_near"]) for r in dedup_lines(docs([(1, line), (2, line.replace("document", "x"))]), run=8).collect()}
     assert got == {1: (line, 0), 2: ("", 1)}
+
+
+def test_shorter_line_has_no_edits_of_its_own(docs):
+    words = "these sixteen words stand in this line which is longest that allows no edits".split() + ["by", "itself"]
+    assert len(words) == 16
+    longer = " ".join([*words[:7], "really", *words[7:]])
+    for first, second in ((" ".join(words), longer), (longer, " ".join(words))):
+        got = {r["doc_id"]: r["n_near"] for r in dedup_lines(docs([(1, first), (2, second)]), run=8).collect()}
+        assert got == {1: 0, 2: 1}
+
+
+def test_edit_distance_of_words():
+    rng = random.Random(4)
+    for _ in range(3000):
+        a = [rng.choice("abc") for _ in range(rng.randint(0, 12))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            p = rng.randint(0, len(b))
+            b[p : p + rng.randint(0, 1)] = rng.choice(([], ["c"], ["d"]))
+        for bound in range(6):
+            assert within(a, b, bound) == (distance(a, b) <= bound)
+
+
+def test_a_cloud_of_near_lines(docs):
+    """Of any two, a part is near; a line has to be found whose near ones are far down its keys."""
+    rng, rows = random.Random(6), []
+    base = [f"w{rng.randrange(300)}" for _ in range(45)]
+    for d in range(150):
+        line = list(base)
+        for _ in range(rng.randint(2, 4)):
+            line[rng.randrange(45)] = f"x{rng.randrange(9)}"
+        rows.append((d, " ".join(line)))
+    want, near = brute(rows, 20, 8)
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(docs(rows), run=8).collect()} == want and 50 < len(near) < 150
+
+
+def test_many_lines_with_a_word_in_common(docs):
+    """Lines of one key that are not near one another, with a few near pairs among them."""
+    rng, rows = random.Random(7), []
+    for d in range(400):
+        rows.append((d, " ".join(["extraordinarily", *(f"{rng.randrange(10**6):06d}" for _ in range(24))])))
+    for d in range(0, 400, 40):
+        line = rows[d][1].split()
+        line[5] = "new"
+        rows.append((1000 + d, " ".join(line)))
+    got = {r["doc_id"] for r in dedup_lines(docs(rows), run=8).collect() if r["n_near"]}
+    assert got == {1000 + d for d in range(0, 400, 40)}

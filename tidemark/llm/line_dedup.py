@@ -15,10 +15,14 @@ all but one sixteenth; only places in the sixteenths that agree elsewhere emit v
 their edit distance.
 
 Word edits: a word is what stands from one start to the next; a line's start, the first code point after white space, and
-every code point from U+0800 (scripts without spaces) are starts. Lines within k word edits share a run of run words, as
-k edits leave at most k + 1 runs. Of all shingles of run // 2 words the least of each window is kept as a key, which
-every shared run of run words gives to both lines (winnowing). Places and lengths have to agree within the bound too,
-and of 64 parities of words two at most differ for each edit; pairs that remain are verified.
+every code point from U+0800 (scripts without spaces) are starts. Lines within k word edits keep all but k of the words
+of the longer one, so of its k + 1 first words, in any order that holds for all lines, the two share one that no edit
+has touched. Longer words come first, as they are rarer. These k + 1 words are a line's keys; places and lengths have
+to agree within the bound too, and of 64 parities of words two at most differ for each edit. Rows that have no such
+partner under their key leave; those that stay get 256 parities. In rounds, each line that is not yet near puts forward
+a few earlier ones, sixteen times as many in each further round, and their edit distance is verified; the rounds end
+when no such line had more to put forward. So a group of near lines costs rows in proportion to its lines, and none of its lines is left unseen. Lines
+so long that two word edits are allowed need no variants of code points, as one code point is two word edits at most.
 
 Defined results: a null text stays null and has no lines; an empty one stays empty; repeated rows of a doc_id with the
 same text are one document and share its fate; a null doc_id comes first in order; an empty table gives an empty
@@ -29,19 +33,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.shared import Scratch, small
+from tidemark.llm.shared import Scratch, small, tasks, whole_groups
 
 MIN_CHARS = 20
 PARTS = 16
 #: Words of an unchanged run that near lines share at least: of 17 words one may differ, of each 9 more another one.
 RUN = 8
+#: Earlier lines that a line puts forward in the first round, and how many times more in the next one.
+CANDIDATES, MORE = 2, 16
 _STARTS = re.compile(r"(?<=[\t-\r ])(?=[^\t-\r ])|(?=[\u0800-\U0010ffff])")
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -64,6 +72,15 @@ def _half_keys() -> Column:
     return F.array(*keys)
 
 
+def _two_word_edits(run: int) -> Column:
+    """Lines that surely have the words for a bound of two, told without splitting them: single spaces in between."""
+    return (F.instr("line", "  ") == 0) & (F.col("n") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) >= 3 * run + 2)
+
+
+def _at_first() -> Column:
+    return F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.pos") == F.col("pos"))
+
+
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key other rows have too."""
     again = rows.groupBy(key).count().filter("count > 1").select(key)
@@ -75,14 +92,15 @@ def _without(start: Column, stop: Column) -> list[Column]:
     return [F.left("line", start), F.substring("line", stop + 1, F.greatest(F.col("n") - stop, F.lit(0)))]
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: int) -> DataFrame:
-    """h1, h2 of the distinct lines within one edit of an earlier one. lines: h1, h2, first, halves."""
-    halves = lines.select(*LINE, "first", F.explode("halves").alias("key"))
-    chosen = scratch.save(_shared(halves, "key").select(*LINE, "first").distinct(), "chosen")
-    at_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.pos") == F.col("pos"))
-    texts = _lines(docs, min_chars).join(small(chosen), LINE).filter(at_first).select(*LINE, "first", "line", "n").dropDuplicates(LINE)
-    texts = scratch.save(texts, "texts")
+def half_sharers(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """h1 of the lines that share a half with another one. lines: h1, h2, first, halves."""
+    halves = lines.filter("halves IS NOT NULL").select("h1", F.explode("halves").alias("key"))
+    again = scratch.save(halves.groupBy("key").count().filter("count > 1").select("key"), "again")
+    return scratch.save(halves.join(small(again), "key").select("h1").distinct(), "chosen")
+
 
+def near_lines(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """h1, h2 of the distinct lines within one edit of an earlier one. texts: h1, h2, first, line, n."""
     # the line as one of m code points (long = 0), and as one with a code point more (long = 1); all but one part of it
     roles = F.explode(F.sequence(F.lit(0), F.lit(2 * PARTS - 1))).alias("role")
     parts = texts.select("*", roles).withColumns({"long": F.expr(f"role div {PARTS}").cast("int"), "part": F.col("role") % PARTS})
@@ -120,27 +138,31 @@ def word_bound(words: int, run: int) -> int:
 
 def within(a: list[str], b: list[str], bound: int) -> bool:
     """Whether a and b are at most bound words inserted, deleted or replaced apart."""
-    if abs(len(a) - len(b)) > bound or len(set(a) - set(b)) > bound or len(set(b) - set(a)) > bound:
+    goal = len(b) - len(a)
+    if abs(goal) > bound or len(set(a) - set(b)) > bound or len(set(b) - set(a)) > bound:
         return False
-    start, stop = 0, 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
-        stop += 1
-    a, b = a[start : len(a) - stop], b[start : len(b) - stop]
-    far = bound + 1
-    row = [min(j, far) for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - bound), min(len(b), i + bound)
-        new = [far] * (len(b) + 1)
-        if i <= bound:
-            new[0] = i
-        for j in range(lo, hi + 1):
-            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
-        row = new
-        if min(row) > bound:
-            return False
-    return row[-1] <= bound
+    # of each diagonal (place in b less place in a), how far in a so many edits reach at most
+    reach: dict[int, int] = {}
+    for edits in range(bound + 1):
+        new: dict[int, int] = {}
+        left = bound - edits
+        for d in range(max(-edits, goal - left), min(edits, goal + left) + 1):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1) if edits else 0
+            i = min(i, len(a), len(b) - d)
+            if i < 0 or i + d < 0:
+                continue
+            while i < len(a) and i + d < len(b) and a[i] == b[i + d]:
+                i += 1
+            if d == goal and i == len(a):
+                return True
+            new[d] = i
+        reach = new
+    return False
+
+
+@cache
+def _powers(bits: int, base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate(([np.uint64(1)], np.full((1 << bits) - 1, base, np.uint64))))
 
 
 def _mixed(value: np.ndarray) -> np.ndarray:
@@ -149,88 +171,143 @@ def _mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(31))
 
 
-def _winnow(batch: pa.RecordBatch, run: int) -> pa.RecordBatch:
-    """key, id, place (words of the line, and the shingle's number below them), parities (of the line's words) of the lines' kept shingles. batch: id, line."""
-    q, w, size = run // 2, run - run // 2 + 1, batch.num_rows
-    column = batch.column(1).cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + size + 1]
-    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+def _word_hashes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and bytes of each word, from sums over all bytes."""
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    starts = data >= 0xE0
-    starts[1:] |= space[:-1] & ~space[1:]
-    starts[offsets[:-1]] = True
-    at = np.flatnonzero(starts)
-    first = np.searchsorted(at, offsets[:-1])
-    words = np.diff(np.append(first, len(at)))
-    line = np.repeat(np.arange(size), words)
-    powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), _BASE, np.uint64))))
-    sums = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1])))
-    back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(len(data), pow(_BASE, -1, 1 << 64), np.uint64))))
-    bounds, end, i = np.append(at, len(data)), (first + words)[line], np.arange(len(at))
-    hashed = lambda n: _mixed((sums[bounds[np.minimum(i + n, len(at))]] - sums[at]) * back[at])
-    value = hashed(q)
-    parities = np.bitwise_xor.reduceat(np.uint64(1) << (hashed(1) & np.uint64(63)), first) if size else np.zeros(0, np.uint64)
-    full = np.flatnonzero((i + w - 1 + q <= end) & (words[line] >= 2 * run))
-    least = value[full]
-    for s in range(1, w):
-        least = np.minimum(least, value[full + s])
-    chosen = np.zeros(len(at), bool)
-    for s in range(w):
-        chosen[full[value[full + s] == least] + s] = True
-    i = np.flatnonzero(chosen)
-    place = (words[line[i]] << 32) | (i - first[line[i]])
-    return pa.RecordBatch.from_arrays([pa.array(value[i].view(np.int64)), batch.column(0).take(pa.array(line[i])), pa.array(place), pa.array(parities[line[i]].view(np.int64))], names=["key", "id", "place", "parities"])
-
-
-def _partners(key: np.ndarray, place: np.ndarray, ids: np.ndarray, parities: np.ndarray, run: int) -> Iterator[pa.RecordBatch]:
-    """a, b: ids of lines that share a key, as far as places, lengths and parities allow. Rows are in order of key, place, id."""
-    if len(key) == 0:
-        return
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1]) | (ids[1:] != ids[:-1])
-    key, place, ids, parities = key[new], place[new], ids[new], parities[new]
+    bits = max(16, int(len(data)).bit_length())
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(bits, _BASE)[: len(data)], out=sums[1:])
+    back = _powers(bits, pow(_BASE, -1, 1 << 64))
+    return _mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]]), np.diff(offsets)
+
+
+KEYS = "key long, id long, place long, parities long, at long"
+
+
+def _first_words(batch: pa.RecordBatch, split: pa.ListArray, run: int) -> pa.RecordBatch:
+    """KEYS of up to 256 lines: words that come first, with their place (words of the line, and the word's number below them) and the parities of the line's words. batch: id, at; split: words without the white space after them."""
+    enough = pc.greater_equal(pc.list_value_length(split), 2 * run)  # a line that is longer by a word may have a bound of one
+    batch, split = batch.filter(enough), split.filter(enough)
+    count = pc.list_value_length(split).to_numpy().astype(np.int64)
+    hashed, size = _word_hashes(split.flatten())
+    line, first = np.repeat(np.arange(len(count)), count), np.cumsum(count) - count
+    key = ((255 - np.minimum(size, 255)).astype(np.uint64) << np.uint64(47)) | (hashed >> np.uint64(17))
+    order = np.argsort((line.astype(np.uint64) << np.uint64(55)) | key, kind="stable")
+    kept = order[np.arange(len(order)) - first[line] <= np.maximum(0, (count - run) // (run + 1))[line]]
+    parities = np.bitwise_xor.reduceat(np.uint64(1) << (hashed & np.uint64(63)), first) if len(first) else np.zeros(0, np.uint64)
+    of = line[kept]
+    place = (count[of] << 32) | (kept - first[of])
+    rows = pa.array(of)
+    return pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), batch.column(0).take(rows), pa.array(place), pa.array(parities[of].view(np.int64)), batch.column(1).take(rows)], names=["key", "id", "place", "parities", "at"])
+
+
+def _splits(batch: pa.RecordBatch, lines: int) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Rows and the words of their lines (the column of that number), without the white space after them."""
+    plain = pc.invert(pc.match_substring_regex(batch.column(lines), r"[\x{0800}-\x{10FFFF}]"))
+    for rows, by_space in ((batch.filter(plain), True), (batch.filter(pc.invert(plain)), False)):
+        if rows.num_rows:
+            texts = rows.column(lines).cast(pa.string())
+            if by_space:
+                yield rows, pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(texts))
+            else:
+                yield rows, pa.array([[w.rstrip("\t\n\x0b\x0c\r ") for w in split_words(x)] for x in texts.to_pylist()], pa.list_(pa.string()))
+
+
+SIGNATURE = ("p0", "p1", "p2", "p3")
+
+
+def _signatures(ids: pa.Array, split: pa.ListArray) -> pa.RecordBatch:
+    """id, and 256 parities of the line's words. No line is without words."""
+    hashed, _ = _word_hashes(split.flatten())
+    first = np.cumsum(count := pc.list_value_length(split).to_numpy().astype(np.int64)) - count
+    bit, part = np.uint64(1) << ((hashed >> np.uint64(8)) & np.uint64(63)), (hashed >> np.uint64(14)) & np.uint64(3)
+    columns = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), first).view(np.int64) for k in range(4)]
+    return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["id", *SIGNATURE])
+
+
+def _fit(x: np.ndarray, y: np.ndarray, words: np.ndarray, spot: np.ndarray, bound: np.ndarray, parities: np.ndarray) -> np.ndarray:
+    """Whether rows x and y of a key may be near by places, lengths and parities (a row of words for each)."""
+    longer = np.maximum(bound[x], bound[y])
+    before, more = spot[x] - spot[y], words[x] - words[y]
+    near = np.abs(before) + np.abs(more - before) <= longer
+    near[near] = np.bitwise_count(parities[x[near]] ^ parities[y[near]]).sum(1, dtype=np.int64) <= 2 * longer[near]
+    return near
+
+
+def _meetings(key: np.ndarray, words: np.ndarray, bound: np.ndarray, x: np.ndarray, through: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows x with rows y of their keys whose lengths are within the bound, nearest places first, until x is through.
+
+    Many rows go side by side, each with the one so many places further; once fewer are left than places have been gone,
+    each goes with all the rest.
+    """
+    for sign in (-1, 1):
+        here, s = x[~through[x]], 0
+        while len(here) > abs(s):
+            s += sign
+            here = here[(here + s >= 0) & (here + s < len(key))]
+            here = here[(key[here] == key[here + s]) & (np.abs(words[here] - words[here + s]) <= np.maximum(bound[here], bound[here + s]))]
+            yield here, here + s
+            here = here[~through[here]]
+        for i in here:
+            j = np.arange(np.searchsorted(key, key[i]), i + s) if sign < 0 else np.arange(i + s + 1, np.searchsorted(key, key[i], "right"))
+            j = j[np.abs(words[i] - words[j]) <= np.maximum(bound[i], bound[j])]
+            yield np.full(len(j), i), j
+
+
+def _opened(key: np.ndarray, ids: np.ndarray, place: np.ndarray, parities: np.ndarray, run: int) -> np.ndarray:
+    """The rows that have a partner under their key. Rows are in order of key, place. A row is through once it has one."""
+    words, spot = place >> 32, place & 0xFFFFFFFF
+    bound, out = np.maximum(0, (words - run) // (run + 1)), np.zeros(len(key), bool)
+    for x, y in _meetings(key, words, bound, np.arange(len(key)), out):
+        near = _fit(x, y, words, spot, bound, parities) & (ids[x] != ids[y])
+        out[x[near]] = out[y[near]] = True
+    return out
+
+
+def _put_forward(key: np.ndarray, ids: np.ndarray, place: np.ndarray, at: np.ndarray, seeks: np.ndarray, parities: np.ndarray, run: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of lines and of those no later that they put forward, about so many for a row; ids of lines that may have more."""
     words, spot = place >> 32, place & 0xFFFFFFFF
-    bound = np.maximum(0, (words - run) // (run + 1))
-    i, s = np.arange(len(key)), 0
-    while len(i):
-        s += 1
-        i = i[i >= s]
-        i = i[(key[i] == key[i - s]) & (words[i] - words[i - s] <= bound[i])]
-        before = spot[i] - spot[i - s]
-        near = (np.abs(before) + np.abs(words[i] - words[i - s] - before) <= bound[i]) & (ids[i] != ids[i - s])
-        near[near] = np.bitwise_count((parities[i[near]] ^ parities[i[near] - s]).view(np.uint64)) <= 2 * bound[i[near]]
-        if near.any():
-            x, y = ids[i[near]], ids[i[near] - s]
-            found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-
-def near_by_words(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: int, run: int) -> DataFrame:
-    """h1, h2 of the distinct lines within the bound of word edits of an earlier one. lines: h1, h2, first."""
+    bound, got, through, pairs = np.maximum(0, (words - run) // (run + 1)), np.zeros(len(key), np.int64), np.zeros(len(key), bool), [np.zeros((0, 2), np.int64)]
+    for x, y in _meetings(key, words, bound, np.flatnonzero(seeks), through):
+        near = np.flatnonzero(_fit(x, y, words, spot, bound, parities) & (ids[x] != ids[y]) & (at[y] <= at[x]))
+        if len(x) and x[0] == x[-1]:  # one row, with all the rest
+            through[x[0]] |= len(near) > most - got[x[0]]
+            near = near[: most - got[x[0]]]
+            got[x[0]] += len(near)
+        else:
+            got[x[near]] += 1
+            through[x[near]] = got[x[near]] >= most
+        pairs.append(np.stack((ids[x[near]], ids[y[near]]), 1))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    return found[:, 0], found[:, 1], np.unique(ids[through])
+
+
+def key_sharers(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: int, run: int) -> DataFrame:
+    """KEYS of the first occurrences of lines that may be near another one by words; a written table."""
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.lit(0).cast("long")
+    again = scratch.save(lines.filter("times > 1").select(*LINE, "first"), "repeats")
+    rows = _lines(docs, min_chars).join(small(again), LINE, "left").filter(F.col("first").isNull() | _at_first())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                yield _winnow(batch.slice(k, 2000), run)
+            for k in range(0, batch.num_rows, 256):
+                for part, split in _splits(batch.slice(k, 256), 2):
+                    yield _first_words(part.select(["id", "at"]), split, run)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _ in whole_groups(batches, ("key",)):
+            key, ids, place, parities = (part.column(c).to_numpy() for c in ("key", "id", "place", "parities"))
+            yield from part.filter(pa.array(_opened(key, ids, place, parities.view(np.uint64)[:, None], run))).to_batches()
+
+    found = rows.select(F.col("h1").alias("id"), at.alias("at"), "line").mapInArrow(keys, KEYS)
+    return scratch.save(found.repartition(tasks(docs), "key").sortWithinPartitions("key", "place", "id").mapInArrow(opened, KEYS), "key-sharers")
 
-    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            now = [batch.column(c).to_numpy() for c in ("key", "place", "id", "parities")]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
-            if cut:
-                yield from _partners(*(np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)), run)
-                held = []
-            elif held and held[0][0][0] != now[0][0]:
-                yield from _partners(*(np.concatenate(x) for x in zip(*held, strict=True)), run)
-                held = []
-            held.append([c[cut:].copy() for c in now])
-        if held:
-            yield from _partners(*(np.concatenate(x) for x in zip(*held, strict=True)), run)
+
+def near_by_words(sharers: DataFrame, texts: DataFrame, scratch: Scratch, run: int) -> DataFrame:
+    """h1, h2 of the distinct lines within the bound of word edits of an earlier one. texts: h1, h2, first, line."""
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,19 +316,43 @@ def near_by_words(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars
             near = [within(x, y, word_bound(max(len(x), len(y)), run)) for x, y in cut]
             yield batch.select(LINE).filter(pa.array(near, pa.bool_()))
 
-    found = _lines(docs, min_chars).select(F.col("h1").alias("id"), "line").mapInArrow(keys, "key long, id long, place long, parities long")
-    pairs = found.repartition("key").sortWithinPartitions("key", "place", "id").mapInArrow(partners, "a long, b long")
-    pairs = scratch.save(pairs.distinct(), "pairs")
-    chosen = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "in-pairs")
-    at_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.pos") == F.col("pos"))
-    firsts = scratch.save(lines.select(*LINE, "first").join(small(chosen), "h1"), "firsts")
-    texts = scratch.save(_lines(docs, min_chars).join(small(firsts), LINE).filter(at_first).select(*LINE, "first", "line").dropDuplicates(LINE), "pair-texts")
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                for part, split in _splits(batch.slice(k, 256), 1):
+                    yield _signatures(part.column(0), split)
+
+    def rounds(most: int):
+        def put_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, _ in whole_groups(batches, ("key",)):
+                parities = np.stack([part.column(c).to_numpy() for c in SIGNATURE], 1).view(np.uint64)
+                x, y, more = _put_forward(*(part.column(c).to_numpy() for c in ("key", "id", "place", "at", "seeks")), parities, run, most)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((x, more))), pa.array([*y.tolist(), *[None] * len(more)], pa.int64())], names=["a", "b"])
+
+        return put_forward
+
     side = lambda k: texts.select(F.col("h1").alias(k), F.struct("first", "line", *LINE).alias(f"of_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    later = F.when(F.col("of_a.first") > F.col("of_b.first"), F.col("of_a")).otherwise(F.col("of_b"))
-    other = F.when(F.col("of_a.first") > F.col("of_b.first"), F.col("of_b")).otherwise(F.col("of_a"))
-    both = both.select(later.alias("x"), other["line"].alias("other")).select("x.h1", "x.h2", "x.line", "other")
-    return both.mapInArrow(verified, "h1 long, h2 long").distinct()
+    signed = texts.select(F.col("h1").alias("id"), "line").mapInArrow(signatures, "id long, p0 long, p1 long, p2 long, p3 long")
+    sharers = sharers.join(small(scratch.save(signed, "signatures")), "id").drop("parities")
+    rows, near, tested, turn, most = sharers.withColumn("seeks", F.lit(True)), None, None, 0, CANDIDATES
+    while True:
+        found = rows.repartition(tasks(texts), "key").sortWithinPartitions("key", "place", "id").mapInArrow(rounds(most), "a long, b long")
+        found = scratch.save(found.distinct(), f"put-forward-{turn}")
+        pairs = found.filter("b IS NOT NULL")
+        new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        both = new.join(side("a"), "a").join(side("b"), "b")
+        later = F.when(F.col("of_a.first") > F.col("of_b.first"), F.col("of_a")).otherwise(F.col("of_b"))
+        other = F.when(F.col("of_a.first") > F.col("of_b.first"), F.col("of_b")).otherwise(F.col("of_a"))
+        both = both.select(later.alias("x"), other["line"].alias("other")).select("x.h1", "x.h2", "x.line", "other")
+        now = scratch.save(both.mapInArrow(verified, "h1 long, h2 long").distinct(), f"near-{turn}")
+        near = now if near is None else near.unionByName(now)
+        seekers = found.filter("b IS NULL").select(F.col("a").alias("id")).join(near.select(F.col("h1").alias("id")), "id", "left_anti")
+        seekers = scratch.save(seekers.distinct().withColumn("seeks", F.lit(True)), f"seekers-{turn}")
+        if seekers.isEmpty():
+            return near.distinct()
+        rows = sharers.join(small(seekers), "id", "left").withColumn("seeks", F.coalesce("seeks", F.lit(False)))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        turn, most = turn + 1, most * MORE
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1, keep: tuple[str, ...] = (), run: int = 0, short_equal: bool = False) -> DataFrame:
@@ -263,25 +364,32 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1,
     scratch = Scratch(docs.sparkSession, "lines")
     where = F.struct("doc_id", "text_hash", "pos")
     rows = _lines(docs, min_chars, short_equal)
-    lines = rows.withColumn("halves", F.when(F.col("n") >= min_chars, _half_keys())).groupBy(*LINE).agg(F.min(where).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("times"))
+    variants = (F.col("n") >= min_chars) & F.lit(bool(max_edits)) & (~_two_word_edits(run) if run else F.lit(True))
+    lines = rows.withColumn("halves", F.when(variants, _half_keys())).groupBy(*LINE).agg(F.min(where).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("times"))
     lines = scratch.save(lines, "distinct")
     known = lines.select(*LINE, "first", "times")
-    found = [near_lines(docs, lines, scratch, min_chars)] if max_edits else []
-    found += [near_by_words(docs, lines, scratch, min_chars, run)] if run else []
-    if found:
+    by_halves = half_sharers(lines, scratch) if max_edits else None
+    by_words = key_sharers(docs, lines, scratch, min_chars, run) if run else None
+    if max_edits or run:
+        # the lines that may be near another one, with their texts, read once
+        ids = [x for x in (by_halves, by_words.select(F.col("id").alias("h1")) if run else None) if x is not None]
+        ids = scratch.save(reduce(DataFrame.unionByName, ids).distinct(), "wanted")
+        wanted = scratch.save(known.select(*LINE, "first").join(small(ids), "h1"), "firsts")
+        texts = scratch.save(_lines(docs, min_chars).join(small(wanted), LINE).filter(_at_first()).select(*LINE, "first", "line", "n").dropDuplicates(LINE), "texts")
+        found = [near_lines(texts.join(small(by_halves), "h1", "left_semi"), scratch)] if max_edits else []
+        found += [near_by_words(by_words, texts, scratch, run)] if run else []
         near = scratch.save(reduce(DataFrame.unionByName, found).distinct(), "near")
-        known = known.join(near.withColumn("near", F.lit(True)), LINE, "left")
+        known = known.join(small(near).withColumn("near", F.lit(True)), LINE, "left")
     else:
         known = known.withColumn("near", F.lit(None).cast("boolean"))
-    known = known.withColumn("near", F.coalesce("near", F.lit(False))).filter("near OR times > 1")
-    seen = rows.select("doc_id", "text_hash", "pos", *LINE).join(known, LINE)
-    is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")) & (F.col("first.pos") == F.col("pos"))
-    seen = seen.withColumn("equal", ~is_first).filter("equal OR near")
+    known = scratch.save(known.withColumn("near", F.coalesce("near", F.lit(False))).filter("near OR times > 1"), "known")
+    seen = rows.select("doc_id", "text_hash", "pos", *LINE).join(small(known), LINE)
+    seen = seen.withColumn("equal", ~_at_first()).filter("equal OR near")
     drops = seen.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "equal")).alias("drops"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-null-")).alias("_id")
     texts = docs.select("doc_id", "text", F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"), key, F.xxhash64("text").alias("text_hash")).join(drops.select(key, "text_hash", "drops"), ["_id", "text_hash"], "left")
     texts = texts.withColumns({"_lines": F.split("text", "\n"), "_drop": F.col("drops.pos")})
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains("_drop", i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop"), lambda i: F.get("_lines", i))
     texts = texts.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     dropped = lambda equal: F.when(F.col("drops").isNull(), F.lit(0)).otherwise(F.size(F.filter("drops", lambda d: d["equal"] == F.lit(equal)))).cast("long")

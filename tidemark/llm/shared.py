@@ -16,8 +16,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What separates runs of anything but white space.
 SPACE = r"[\x09-\x0D\x20]+"
-#: A side of a join is broadcast only up to so many rows of a few numbers or words; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only up to so many rows and bytes; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -68,8 +68,14 @@ class Scratch:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is; df must be a written table, so that counting is cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else as it is; df must be a written table, so that counting is cheap."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of a written table: that of its files
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
+
+
+def tasks(df: DataFrame) -> int:
+    """The session's number of shuffle partitions: for stages whose work is far more than their bytes tell, which would be dealt to a few tasks otherwise."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
