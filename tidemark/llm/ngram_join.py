@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import Scratch, ascii_lower, small, tokens, whole_groups
+from tidemark.llm.shared import Scratch, ascii_lower, small, tasks, tokens, whole_groups
 
 SHINGLE = 5
 #: Classes of a block; two blocks' bitmaps are held in a task, and their pairs bounded there.
@@ -225,7 +225,7 @@ def tile_candidates(signs: DataFrame, tiled: DataFrame, scratch: Scratch, turn:
             rows = [(a, b, False) for a, b in sorted(pairs)] + [(None, None, True)] * more
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], names=["a", "b", "more"])
 
-    found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(scan, "a long, b long, more boolean")
+    found = rows.repartition(tasks(signs), *keys).sortWithinPartitions(*keys).mapInArrow(scan, "a long, b long, more boolean")
     return scratch.save(found.distinct(), f"pairs-{turn}")
 
 
