@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A text is cut in blocks of 64 words, one every 32, so any passage of up to 33 words lies in a block. Blocks and
+A text is cut in blocks of 64 words, one every 32, so any passage of up to 33 words lies in a block; where a template is
+longer, blocks grow so that a passage of its length lies in one. Blocks and
 templates are sets of the templates' words, ordered by their frequency over all texts, rarest first. A pair may reach
 the containment threshold only if they share one of the template's first |T| - need + 1 words (prefix), the block
 has need words (length) and enough words remain after the shared one on both sides (position); what is left is
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Scratch, words
 
+#: Words of a block, and from one block's start to the next one's, as far as no template is longer.
 BLOCK, STRIDE = 64, 32
-MOST_TEMPLATE_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -81,8 +82,9 @@ def scan_blocks(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     starts has the words at which a phrase begins in the first half of the block, so that every place counts in one block.
     """
     spark: SparkSession = docs.sparkSession
-    if max(len(t.words) for t in templates) > STRIDE + 1 or sum(len(t.words) for t in templates) > MOST_TEMPLATE_ROWS:
-        raise ValueError(f"templates have at most {STRIDE + 1} words, and {MOST_TEMPLATE_ROWS} altogether")
+    longest = max(len(t.words) for t in templates)
+    stride = max(STRIDE, longest - 1)
+    block = max(BLOCK, stride + longest - 1)
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.col("text")).alias("words"))
     vocabulary = sorted({w for t in templates for w in t.words})
     seen = word_frequency(texts, vocabulary)
@@ -98,7 +100,7 @@ def scan_blocks(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     probes = spark.sql(f"SELECT inline(array({','.join(map(row, prefixes))}))")
 
     texts = texts.filter(F.size(F.array_intersect("words", prefix_words)) > 0)
-    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {STRIDE}").cast("int")), lambda b: F.struct(b.alias("block"), F.slice("words", b * STRIDE + 1, F.lit(BLOCK)).alias("part")))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {stride}").cast("int")), lambda b: F.struct(b.alias("block"), F.slice("words", b * stride + 1, F.lit(block)).alias("part")))
     blocks = texts.select("doc_id", "text_hash", F.explode(cut).alias("b")).select("doc_id", "text_hash", "b.*")
     blocks = blocks.filter(F.arrays_overlap("part", prefix_words))
     ranks = F.array_sort(F.array_distinct(F.filter(F.transform("part", lambda w: F.array_position(_strings(ranked), w).cast("int")), lambda r: r > 0)))
@@ -107,8 +109,8 @@ def scan_blocks(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     enough = (F.size("own") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("own") - F.col("j") - 1) >= F.col("need"))
     pairs = places.join(F.broadcast(probes), "r").filter(enough)
     pairs = pairs.withColumn("overlap", F.size(F.array_intersect("own", "ranks"))).filter("overlap >= need")
-    starts = F.filter(F.sequence(F.lit(0), F.lit(STRIDE - 1)), lambda i: F.slice("part", i + 1, F.size("phrase")) == F.col("phrase"))
-    starts = F.transform(F.when(F.col("phrase").isNull(), F.array().cast("array<int>")).otherwise(starts), lambda i: i.cast("long") + F.col("block") * STRIDE)
+    starts = F.filter(F.sequence(F.lit(0), F.lit(stride - 1)), lambda i: F.slice("part", i + 1, F.size("phrase")) == F.col("phrase"))
+    starts = F.transform(F.when(F.col("phrase").isNull(), F.array().cast("array<int>")).otherwise(starts), lambda i: i.cast("long") + F.col("block") * stride)
     pairs = pairs.select("doc_id", "text_hash", "block", "template", "overlap", "size", starts.alias("starts"))
     return pairs.dropDuplicates(["doc_id", "text_hash", "block", "template"])
 
