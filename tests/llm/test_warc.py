@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -40,3 +41,20 @@ def test_repeated_rows_and_empty(spark):
     assert sorted((r["page_id"], r["record_type"]) for r in got) == [(1, "revisit"), (3, "response"), (3, "response")]
     assert {r["record_type"] for r in warc.archive_pages(pages(spark, [(None, "a", body), (None, "b", body)])).collect()} == {"response"}
     assert warc.archive_pages(pages(spark, [])).collect() == []
+
+
+def test_records_are_whole(spark):
+    """Every record has the fields that readers ask for, and what cannot stand on a line comes back as it was."""
+    for page, url in ((1, "http://a/b"), (None, "bad\r\nurl: x"), (-5, None)):
+        data = warc.encode_record(page, url, b"<p>x</p>", hashlib.sha1(b"<p>x</p>").hexdigest(), "response", None, date="2020-01-02T03:04:05Z")
+        head = zlib.decompress(data, 31).split(b"\r\n\r\n")[0].decode().split("\r\n")
+        names = {line.partition(":")[0] for line in head[1:]}
+        assert head[0] == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= names and "WARC-Date: 2020-01-02T03:04:05Z" in head
+        got = warc.decode_record(data)
+        assert (got["page_id"], got["url"], got["payload"]) == (page, url, b"<p>x</p>")
+
+
+def test_large_payload(spark):
+    body = "é" * 3_000_000
+    got = warc.archive_pages(pages(spark, [(1, "u", body)])).first()
+    assert (got["payload_bytes"], got["payload_digest"]) == (6_000_000, hashlib.sha1(body.encode()).hexdigest())

@@ -5,7 +5,8 @@ attempt; the index (archive, offset, length, URL, digest, kind) is a written tab
 attempts that ended well. Reading selects index rows, sorts them by archive and offset, cuts the archives in spans and
 merges neighbouring records of a span into one read.
 
-Defined results: null html is an empty payload; a null page_id or url is left out of the record and read back as null;
+Defined results: null html is an empty payload; a record of a null page_id has a random id and one of a null url no
+address, and both are read back as null; a url that cannot stand on a line is told in a field of its own besides;
 of equal payloads long enough, the rows with the largest page_id are responses (all of them, if that row repeats) and
 rows without a page_id are revisits, but responses if no row of the group has a page_id; an empty table gives an empty
 index and an empty result. Columns beyond the named ones are not read.
@@ -14,7 +15,9 @@ index and an empty result. Columns beyond the named ones are not read.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,6 +33,7 @@ RECORD = "page_id long, url string, record_type string, payload_bytes long, payl
 #: An archive is closed at this size and the next one begun.
 ARCHIVE_BYTES = 1 << 30
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_EXACT_URL = "X-Exact-Target-URI"
 _ID_SPACE = 0x7469_6465_6D61_8000 << 64
 
 
@@ -37,21 +41,26 @@ def record_id(page_id: int) -> str:
     return f"<urn:uuid:{uuid.UUID(int=_ID_SPACE | (page_id & 0xFFFF_FFFF_FFFF_FFFF))}>"
 
 
-def page_of(record: str) -> int:
-    low = uuid.UUID(record[10:-1]).int & 0xFFFF_FFFF_FFFF_FFFF
-    return low - (1 << 64) if low >> 63 else low
+def page_of(record: str) -> int | None:
+    """The page that record_id was made of; ids of another space belong to none."""
+    number = uuid.UUID(record[10:-1]).int
+    low = number & 0xFFFF_FFFF_FFFF_FFFF
+    return None if number >> 64 != _ID_SPACE >> 64 else low - (1 << 64) if low >> 63 else low
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One gzip member. The HTTP head tells the payload's full length, in revisits too, which carry no payload."""
+def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str | None = None) -> bytes:
+    """One gzip member. The HTTP head tells the payload's full length, in revisits too, which carry no payload. date: when the page was taken, now unless given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + payload if kind == "response" else http
-    head = ["WARC/1.1", f"WARC-Type: {kind}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
+    own = record_id(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
+    date = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
-    if page_id is not None:
-        head.append(f"WARC-Record-ID: {record_id(page_id)}")
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        plain = url.replace("\r", "%0D").replace("\n", "%0A")
+        head.append(f"WARC-Target-URI: {plain}")
+        if plain != url:
+            head.append(f"{_EXACT_URL}: {json.dumps(url)}")
     if kind == "revisit":
         head.append(f"WARC-Profile: {REVISIT_PROFILE}")
         head.append(f"WARC-Refers-To: {record_id(refers_to)}")
@@ -69,9 +78,10 @@ def decode_record(data: bytes) -> dict:
     digest = base64.b32decode(fields["WARC-Payload-Digest"][5:]).hex()
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"record {fields.get('WARC-Record-ID')} does not hold the payload it names")
-    own, other = fields.get("WARC-Record-ID"), fields.get("WARC-Refers-To")
-    return {"page_id": page_of(own) if own else None, "url": fields.get("WARC-Target-URI"), "record_type": kind, "payload_bytes": length, "payload_digest": digest, "refers_to": page_of(other) if other else None, "payload": payload if kind == "response" else None}
+        raise ValueError(f"record {fields['WARC-Record-ID']} does not hold the payload it names")
+    own, other = fields["WARC-Record-ID"], fields.get("WARC-Refers-To")
+    url = json.loads(fields[_EXACT_URL]) if _EXACT_URL in fields else fields.get("WARC-Target-URI")
+    return {"page_id": page_of(own), "url": url, "record_type": kind, "payload_bytes": length, "payload_digest": digest, "refers_to": page_of(other) if other else None, "payload": payload if kind == "response" else None}
 
 
 def plan_records(pages: DataFrame, scratch: Scratch, revisit_bytes: int = 1000) -> DataFrame:
