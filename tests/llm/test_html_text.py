@@ -1,4 +1,7 @@
+import html
 import random
+import re
+import time
 from itertools import product
 
 import pytest
@@ -50,3 +53,36 @@ def test_table(spark):
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")).collect()
     assert [r["n_chars"] for r in got] == [len(main_text(PAGE))] * 2 + [0, 0] and got[3]["url"] == "v"
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_heads_of_articles_stay():
+    body = "<p>" + "Body of the article with words enough to count. " * 3 + "</p>"
+    page = f"<body><div class='site-header'>The site of all sites</div><nav><a href=x>Home</a></nav><article><div class='entry-header'><h1>A headline</h1></div>{body}<div class='legal-matters'>{body}</div><div class='share-bar'><a href=y>Share</a></div></article><div class='legal'>All rights are reserved by us.</div></body>"
+    assert main_text(page) == "\n".join(["A headline", *["Body of the article with words enough to count. Body of the article with words enough to count. Body of the article with words enough to count."] * 2])
+
+
+def plain(page):
+    """The article's blocks by regular expressions, for pages of the plain kind below."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    inner = re.sub(r"<(aside|form|script|style)\b.*?</\1>|<div class=\"(?:ad|comments)\">.*?</div>|<!--.*?-->", "\n", inner, flags=re.S)
+    cut = re.split(r"</?(?:p|h1|h2|li|ul|blockquote)>", re.sub(r"</?(?:b|i|a)\b[^>]*>", "", re.sub(r"<br>", " ", inner)))
+    return "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in cut) if t)
+
+
+def test_against_plain_pages(sentences):
+    rng = random.Random(8)
+    for n in range(60):
+        text = lambda: sentences(rng.randint(1, 60), rng.randrange(10**6)).capitalize() + rng.choice((".", " &amp; more.", " &#233;t&eacute;.", "<br>on <b>we</b> go <i>now</i>."))
+        parts = [f"<p>{text()}</p>" for _ in range(rng.randint(2, 9))] + [f"<h2>{text()}</h2>", f"<ul><li>{text()}</li><li>{text()}</li></ul>", f"<blockquote>{text()}</blockquote>"]
+        rng.shuffle(parts)
+        parts += [rng.choice(("", f'<div class="ad">{text()}</div>', f"<form>{text()}</form>", f"<aside>{text()}</aside>", f'<div class="comments">{text()}</div>', "<script>x = '<p>'</script>", "<!-- <p>no</p> -->"))]
+        page = f"<html><head><title>{text()}</title></head><body><header>{text()}</header><nav><ul><li><a href=/a>{text()}</a></li></ul></nav><article><h1>{text()}</h1>{''.join(parts)}</article><footer>{text()}</footer></body></html>"
+        assert main_text(page) == plain(page), n
+
+
+def test_very_long_and_very_deep_pages():
+    long = " ".join(["word"] * 400_000)
+    assert main_text(f"<article><p>{long}</p></article>") == long
+    began = time.process_time()
+    assert main_text("<article>" + "<div>some words of text " * 20_000 + "</article>").count("some words") == 20_000
+    assert time.process_time() - began < 20

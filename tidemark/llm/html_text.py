@@ -16,7 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +36,8 @@ ELEMENT_EVIDENCE = {"article": 4.0, "main": 3.0, "p": 0.8, "pre": 0.8, "blockquo
 ROLE_EVIDENCE = {"main": 3.0, "article": 4.0, "navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "dialog": -9.0, "alert": -9.0, "alertdialog": -9.0, "menu": -9.0, "menubar": -9.0, "form": -9.0}
 BAD_WORDS = frozenset("ad ads adv advert advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header legal masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar topbar widget".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
+#: Said of an element by class or id, these speak against it only outside an article: there, they name its own head or matter.
+OUTSIDE_WORDS = frozenset("banner copyright disclaimer header legal masthead".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -44,16 +46,18 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 class Block:
-    __slots__ = ("path", "pieces", "link_chars", "evidence")
+    """above: the number of the element that holds the block's own; depth: how many elements stand open; shared: how many of them stand open since the block before."""
 
-    def __init__(self, path: tuple[int, ...], evidence: float):
-        self.path, self.pieces, self.link_chars, self.evidence = path, [], 0, evidence
+    __slots__ = ("above", "depth", "shared", "pieces", "link_chars", "evidence")
 
+    def __init__(self, above: int, depth: int, shared: int, evidence: float):
+        self.above, self.depth, self.shared, self.pieces, self.link_chars, self.evidence = above, depth, shared, [], 0, evidence
 
-def element_evidence(name: str, attributes: str, above: list[str]) -> float:
-    """What an element says of all text in it."""
+
+def element_evidence(name: str, attributes: str, within: bool) -> float:
+    """What an element says of all text in it. within: it stands in an article or the page's main part."""
     found = ELEMENT_EVIDENCE.get(name, 0.0)
-    if name == "header" and not ({"article", "main"} & set(above)):
+    if name == "header" and not within:
         found = -9.0
     if not attributes:
         return found
@@ -63,7 +67,7 @@ def element_evidence(name: str, attributes: str, above: list[str]) -> float:
         found -= 20.0
     if name not in ("html", "body"):
         marks = {p.lower() for v in (names.get("class", ""), names.get("id", "")) for p in _PARTS.findall(html.unescape(v))}
-        if marks & BAD_WORDS:
+        if marks & (BAD_WORDS - OUTSIDE_WORDS if within else BAD_WORDS):
             found -= 9.0
         elif marks & GOOD_WORDS:
             found += 1.5
@@ -89,7 +93,8 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
     """Texts of blocks in page order, white space already single."""
     out: list[tuple[str, Block]] = []
     stack: list[tuple[str, int, float]] = []  # block elements: name, number, evidence of it and all above
-    state = {"block": None, "link": False, "number": 0}
+    state = {"block": None, "link": False, "number": 0, "shared": 0}
+    open_names: Counter[str] = Counter()
 
     def end_block() -> None:
         block = state["block"]
@@ -105,15 +110,20 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
         if state["block"] is None:
             if data.isspace():
                 return
-            state["block"] = Block(tuple(n for _, n, _ in stack), stack[-1][2] if stack else 0.0)
+            state["block"] = Block(stack[-2][1] if len(stack) > 1 else 0, len(stack), state["shared"], stack[-1][2] if stack else 0.0)
+            state["shared"] = len(stack)
         state["block"].pieces.append(html.unescape(data))
         if state["link"]:
             state["block"].link_chars += len(data.strip())
 
     def close(names: frozenset[str] | set[str], within: frozenset[str]) -> None:
+        if not any(open_names[n] for n in names):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
+                open_names.subtract(n for n, _, _ in stack[i:])
                 del stack[i:]
+                state["shared"] = min(state["shared"], i)
                 return
             if stack[i][0] in within:
                 return
@@ -137,7 +147,7 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
         elif nxt == "/" and (m := _NAME.match(page, lt + 2)):
             end = page.find(">", m.end())
             at, name = (size if end < 0 else end + 1), m[0].lower()
-            if name in BLOCKS or (name in EMBEDDED and any(n == name for n, _, _ in stack)):
+            if name in BLOCKS or (name in EMBEDDED and open_names[name]):
                 end_block()
                 if name == "p":
                     close({"p"}, scopes)
@@ -172,8 +182,9 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
                     close(HEADINGS, scopes)
                 if name not in VOID:
                     state["number"] += 1
-                    own = element_evidence(name, attributes, [n for n, _, _ in stack])
+                    own = element_evidence(name, attributes, bool(open_names["article"] or open_names["main"]))
                     stack.append((name, state["number"], own + (stack[-1][2] if stack else 0.0)))
+                    open_names[name] += 1
             elif name == "br":
                 add(" ")
             elif name == "a":
@@ -197,17 +208,10 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     last_of: dict[int, int] = {}
     for i, block in enumerate(blocks):
         if i:
-            a, b = blocks[i - 1].path, block.path
-            common = 0
-            for x, y in zip(a, b, strict=False):
-                if x != y:
-                    break
-                common += 1
-            edges.append((i - 1, i, 1.0 / (1 + len(a) + len(b) - 2 * common)))
-        above = block.path[-2] if len(block.path) > 1 else 0
-        if above in last_of:
-            edges.append((last_of[above], i, 0.3))
-        last_of[above] = i
+            edges.append((i - 1, i, 1.0 / (1 + blocks[i - 1].depth + block.depth - 2 * block.shared)))
+        if block.above in last_of:
+            edges.append((last_of[block.above], i, 0.3))
+        last_of[block.above] = i
     return edges
 
 
