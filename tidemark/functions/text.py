@@ -29,6 +29,12 @@ def norm_path(path: Column) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", "")
 
 
+def folded_path(path: Column) -> Column:
+    """A path without empty and . parts, each .. taken out with the part before it; one above the root keeps its .. ahead."""
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when((x == "..") & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("..")) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def code_of(rule: Column) -> Column:
     """The first word before the first colon."""
     return F.get(F.split(F.trim(F.get(F.split(rule, ":"), F.lit(0))), r"\s+"), F.lit(0))

@@ -67,7 +67,7 @@ def skill_body(src: Source) -> DataFrame:
 
 @rule("SKILL-005", "skills", "Links lead somewhere")
 def skill_links(src: Source) -> DataFrame:
-    """A fence closes with its own marker only; indented code is no link. Targets are looked up among files and directories."""
+    """A fence closes with its own marker only; indented code is no link. Targets are looked up among files and directories; one above the tree is missing."""
     rows = _skills(src).filter("status = 'ok'") if src.of("skills", "check_links", True) else _skills(src).limit(0)
     mark = lambda x: F.substring(F.ltrim(x), 1, 3)
     fence = lambda x: mark(x).isin("```", "~~~")
@@ -78,8 +78,7 @@ def skill_links(src: Source) -> DataFrame:
     target = F.regexp_replace(F.get(F.split(F.trim("link"), r"\s+"), F.lit(0)), "^<+|>+$", "")
     links = links.withColumn("target", target).filter((F.col("target") != "") & ~F.col("target").rlike(r"^[#/]") & ~F.col("target").rlike(r"(?i)^[a-z][a-z0-9+.-]*:"))
     folder = F.regexp_replace("path", "[^/]*$", "")
-    clean = F.regexp_replace(F.regexp_replace("target", "#.*$", ""), r"^(\./)+|/+$", "")
-    links = links.withColumn("full", F.regexp_replace(F.concat(folder, clean), "/+$", ""))
+    links = links.withColumn("full", X.folded_path(F.concat(folder, F.regexp_replace("target", "#.*$", "")))).filter("full <> ''")
     parts = X.parts_of(F.col("path"))
     known = src.files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("full")).distinct()
     return findings(links.join(known, "full", "left_anti"), "skills", "SKILL-005: broken link", "warning", "line", F.format_string("Link target '%s' is missing", "target"), "Correct the path")
