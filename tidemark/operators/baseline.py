@@ -17,11 +17,11 @@ ENTRY = "file string, code string, anchor string, severity string, message strin
 
 def anchored(found: DataFrame, lines: DataFrame) -> DataFrame:
     """found with anchor: the hash of the finding's line, stripped, or of the rule's description where there is no line to speak of. lines: path, line, text."""
-    here = lines.select(F.col("path").alias("file"), "line", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("bare"))
+    bare = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    here = lines.filter("line >= 2").select(F.col("path").alias("file"), "line", F.when(bare != "", X.sha(bare)).alias("hash")).filter("hash IS NOT NULL")
     rows = found.withColumn("file", X.norm_path(F.col("file"))).join(here, ["file", "line"], "left")
-    by_line = (F.col("line") >= 2) & (F.coalesce("bare", F.lit("")) != "")
-    anchor = F.when(by_line, F.concat(F.lit("sha:"), X.sha(F.col("bare")))).otherwise(F.concat(F.lit("desc:"), X.sha(X.described(F.col("rule")))))
-    return rows.withColumn("anchor", anchor).drop("bare")
+    anchor = F.when(F.col("hash").isNotNull(), F.concat(F.lit("sha:"), "hash")).otherwise(F.concat(F.lit("desc:"), X.sha(X.described(F.col("rule")))))
+    return rows.withColumn("anchor", anchor).drop("hash")
 
 
 def _in_order(found: DataFrame) -> list:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import vocabulary as V
+from tidemark.operators.groups import shared
 from tidemark.rules.base import Source, findings, notices, rule
 
 
@@ -255,9 +256,8 @@ def vacuous_docstring(src: Source) -> DataFrame:
 def clones(src: Source) -> DataFrame:
     """Peers are named from a counted, sorted aggregate; the group itself is joined back, so a hot body stays spread."""
     rows = _sized(src.functions).filter("n_body >= 5").select("path", "line", "name", "idx", "body_sha")
-    groups = rows.groupBy("body_sha").agg(F.count("*").alias("n"), F.min(F.struct("path", "line", "name")).alias("a")).filter("n > 1")
-    rows = rows.join(groups, "body_sha")
-    return findings(rows, "duplication", "DRY-001: function body stands elsewhere too", "error", "line", F.format_string("'%s' has the body of %d functions, the first at %s:%d", "name", "n", "a.path", "a.line"), "Share one function", "idx")
+    rows = shared(rows, "body_sha", F.struct("path", "line", "name"))
+    return findings(rows, "duplication", "DRY-001: function body stands elsewhere too", "error", "line", F.format_string("'%s' has the body of %d functions, the first at %s:%d", "name", "n", "first.path", "first.line"), "Share one function", "idx")
 
 
 @rule("DRY-000", "duplication", "Files parse", tree=True)

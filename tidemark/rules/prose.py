@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import vocabulary as V
+from tidemark.operators.groups import islands
 from tidemark.rules.base import Source, findings, rule
 
 
@@ -41,8 +42,7 @@ def long_comments(src: Source) -> DataFrame:
     get = lambda k, d: src.of("comments", k, d)
     long = _kept_comments(src).filter(F.length("text") > get("max_comment_chars", 120))
     lines = findings(long, "comments", "CMT-002: comment is too long", "error", "line", F.format_string("Comment has %d characters", F.length("text")), "Tighten it")
-    alone = _kept_comments(src).filter("standalone").withColumn("island", F.col("line") - F.row_number().over(W.partitionBy("path").orderBy("line")))
-    runs = alone.groupBy("path", "island").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.count("*").alias("n"))
+    runs = islands(_kept_comments(src).filter("standalone"), "path", "line")
     spans = src.functions.select(F.col("path").alias("p"), F.col("line").alias("from"), F.col("end").alias("to"), "complexity")
     runs = runs.filter(F.col("n") > get("max_block_lines", 6)).join(spans, F.col("path") == F.col("p"), "left")
     inside = F.max(F.when(F.col("first").between(F.col("from"), F.col("to")), F.col("complexity")))
