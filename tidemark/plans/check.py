@@ -9,7 +9,7 @@ from dataclasses import replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidemark.operators.similarity
@@ -51,6 +51,14 @@ def chosen(settings: Mapping[str, Any], single: str | None = None) -> list[Rule]
     return out
 
 
+def wanted(rules: Iterable[Rule], select: Iterable[str] = (), ignore: Iterable[str] = ()) -> list[Rule]:
+    """The rules of which the chain may keep findings; the others need not run. A rule of many codes, whose own ends in NNN, goes by its category."""
+    select, ignore = ({c.strip().upper() for c in x if c.strip()} for x in (select, ignore))
+    names = lambda r: {r.code.split("-")[0], *([] if r.code.endswith("NNN") else [r.code])}
+    among = lambda r: not select or "ALL" in select or bool(select & names(r)) or (r.code.endswith("NNN") and any(c.startswith(r.code[:-3]) for c in select))
+    return [r for r in rules if among(r) and "ALL" not in ignore and not ignore & names(r)]
+
+
 def find(src: Source, rules: Iterable[Rule] | None = None) -> DataFrame:
     """The findings of rules. A rule whose plan cannot be built becomes a notice of its own instead of failing the run."""
     parts = []
@@ -65,33 +73,81 @@ def find(src: Source, rules: Iterable[Rule] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def isolated(src: Source, rules: Iterable[Rule], folder: str) -> DataFrame:
+    """As find, but each rule runs by itself into a table below folder, which all executors see; one that fails while it runs becomes a notice too."""
+    spark, parts = src.files.sparkSession, []
+    for k, r in enumerate(rules):
+        rows = find(src, [r])
+        try:
+            rows.write.mode("overwrite").parquet(f"{folder}/{k}")
+            parts.append(spark.read.schema(rows.schema).parquet(f"{folder}/{k}"))
+        except Exception as e:  # noqa: BLE001  see find
+            one = spark.createDataFrame([("",)], "path string")
+            parts.append(findings(one, r.check, "RUN-000: check failed", "warning", 0, F.lit(f"{r.code}: {str(e).splitlines()[0]}"[:500]), "Mend the check"))
+    return reduce(DataFrame.unionByName, parts) if parts else find(src, [])
+
+
 def well_formed(found: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Findings about the rules themselves: blank names, descriptions, no rules, fields left blank."""
+    """Findings about the rules themselves: blank names, descriptions, no codes; findings of strange checks or with blank fields."""
+    return with_meta(found, rules).filter("check = 'meta'")
+
+
+def with_meta(found: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """found, and findings of the check meta about it and about the rules. found is gone through once."""
     rules = list(rules)
-    spark = found.sparkSession
     rows = [(r.check, "META-001", "check has a blank name") for r in rules if not r.check.strip()]
     rows += [(r.check, "META-002", "rule has a blank description") for r in rules if not r.description.strip()]
     rows += [(r.check, "META-003", "rule has no code") for r in rules if not r.code.strip()]
-    about = spark.createDataFrame(rows, "path string, code string, text string")
-    out = findings(about, "meta", F.concat("code", F.lit(": "), "text"), "error", 0, F.col("text"), "Complete it", F.lit(0))
-    names = {r.check for r in rules}
-    strange = found.filter(~F.col("check").isin(*names)) if names else found.limit(0)
-    out = out.unionByName(findings(strange.withColumnRenamed("file", "path").withColumnRenamed("code", "of"), "meta", "META-004: finding of another check", "error", "line", F.concat("check", F.lit(" is not registered")), "Name the check"))
+    about = found.sparkSession.createDataFrame(rows, "path string, code string, text string")
+    own = findings(about, "meta", F.concat("code", F.lit(": "), "text"), "error", 0, F.col("text"), "Complete it", F.lit(0))
+    strange = ~F.col("check").isin("meta", *{r.check for r in rules})
     blank = F.lit(False)
     for c in ("file", "rule", "message", "fix"):
         blank = blank | (F.trim(c) == "")
-    bad = found.filter(blank & (F.col("code") != "RUN-000")).select(F.col("file").alias("path"), "line", F.col("rule").alias("of"))
-    return out.unionByName(findings(bad, "meta", "META-005: finding with a blank field", "error", "line", F.concat(F.lit("Blank field in "), "of"), "Fill it in"))
 
+    def told(rule: str, message: Column, fix: str) -> Column:
+        parts = {"check": F.lit("meta"), "severity": F.lit("error"), "rule": F.lit(rule), "code": F.lit(rule[:8]), "category": F.lit("META"), "message": message, "fix": F.lit(fix)}
+        return F.struct(*(parts.get(c, F.col(c)).alias(c) for c in FINDING))
+
+    extra = F.filter(
+        F.array(
+            F.when(strange, told("META-004: finding of another check", F.concat("check", F.lit(" is not registered")), "Name the check")),
+            F.when(blank & (F.col("code") != "RUN-000"), told("META-005: finding with a blank field", F.concat(F.lit("Blank field in "), "rule"), "Fill it in")),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    each = found.select(F.inline(F.concat(F.array(F.struct(*FINDING)), extra)))
+    return each.unionByName(own)
+
+
+def regional(src: Source, rules: Iterable[Rule], regions: Mapping[str, Mapping[str, Any]], single: str | None = None, among: set[str] | None = None) -> DataFrame:
+    """Findings where folders below the root have settings of their own: rules of several files run once, under the root's; the others by region, on its files."""
+    places = src.files.sparkSession.createDataFrame([("",), *((r,) for r in regions)], "directory string")
+    of = C.nearest_regions(src.files.select("path"), places)
+    codes = among if among is not None else {r.code for r in RULES.values()}
+    parts = [find(src, [r for r in rules if r.tree])]
+    for name, settings in {"": src.settings, **regions}.items():
+        here = of.filter(F.col("region") == name).select("path")
+        settings = {k: v for k, v in settings.items() if isinstance(v, Mapping) and k != "per-file-ignores"}
+        own = Source(src.files.join(here, "path", "left_semi"), src.facts.join(here, "path", "left_semi"), settings)
+        parts.append(find(own, [r for r in chosen(settings, single) if not r.tree and r.code in codes]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def check(files: DataFrame, config: Mapping[str, Any] | None = None, targets: DataFrame | None = None, baseline: DataFrame | None = None, single: str | None = None, prefix: str = "", regions: Mapping[str, Mapping[str, Any]] | None = None) -> DataFrame:
+    """Findings after the whole chain. config: the settings by check, and select, ignore, exclude, per-file-ignores, promote.
 
-def check(files: DataFrame, config: Mapping[str, Any] | None = None, targets: DataFrame | None = None, baseline: DataFrame | None = None, single: str | None = None, prefix: str = "") -> DataFrame:
-    """Findings after the whole chain. config: the settings by check, and select, ignore, exclude, per-file-ignores, promote."""
+    regions: by folder, whole configurations for the files below it that no deeper region has (sources.tree.region_configs);
+    the chain after the rules is the root's.
+    """
     config = dict(config or {})
     settings = {k: v for k, v in config.items() if isinstance(v, Mapping) and k != "per-file-ignores"}
     src = source(files, settings)
     src = replace(src, facts=src.facts.persist())
-    rules = chosen(settings, single)
-    found = find(src, rules)
+    rules = wanted(chosen(settings, single), config.get("select", ()), config.get("ignore", ()))
+    among = {r.code for r in wanted(RULES.values(), config.get("select", ()), config.get("ignore", ()))}
+    found = regional(src, rules, regions, single, among) if regions else find(src, rules)
+    found = with_meta(found, RULES.values())
     found = C.reanchor(C.keep_targets(found, targets), prefix)
     select = list(config.get("select", ())) or ([single] if single and single.upper() in {r.code for r in rules} else [])
     found = C.exclude(C.select_ignore(found, select, config.get("ignore", ())), config.get("exclude", ()))

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import baseline as B
 from tidemark.operators import chain as C
+from tidemark.operators import groups as G
 from tidemark.operators import scoring as S
 from tidemark.plans import check as P
+from tidemark.plans import report
 from tidemark.plans.cases import CASES
 from tidemark.functions import text as X
 from tidemark.rules import code as code_rules
@@ -48,7 +49,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def case_files(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """path, content: one case for each row of supplier, in turn."""
     cases = CASES[key][1]
-    dealt = spark.createDataFrame([(i, c.path, c.source) for i, c in enumerate(cases)], "i int, path string, source string")
+    dealt = spark.createDataFrame([(i, *file) for i, c in enumerate(cases) for file in ((c.path, c.source), *c.beside)], "i int, path string, source string")
     rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), (F.col("s_suppkey") % len(cases)).alias("i"))
     put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k")).alias(c)
     return rows.join(F.broadcast(dealt), "i").select(put("path"), put("source").alias("content")).distinct()
@@ -57,7 +58,8 @@ def case_files(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
 def case_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: for each row of supplier, in turn, one case of every key; the key is part of {k}, or of the path where that has none."""
     tag = lambda key: "".join(c for c in key.lower() if c.isalnum()) + "x"
-    cases = [(i, len(found), tag(key), c.path if "{k}" in c.path else f"{tag(key)}/{c.path}", c.source) for key, (_, found) in sorted(CASES.items()) for i, c in enumerate(found)]
+    under = lambda key, path: path if "{k}" in path else f"{tag(key)}/{path}"
+    cases = [(i, len(found), tag(key), under(key, path), source) for key, (_, found) in sorted(CASES.items()) for i, c in enumerate(found) for path, source in ((c.path, c.source), *c.beside)]
     dealt = spark.createDataFrame(cases, "i int, n int, tag string, path string, source string")
     rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     dealt_out = rows.join(F.broadcast(dealt), F.col("k") % F.col("n") == F.col("i"))
@@ -285,6 +287,65 @@ def scorer_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
+# --- sinks, regions and the findings about rules ----------------------------------------------------------------
+
+FIXED = f"""{FOUND}, fixed AS (SELECT *, CASE category WHEN 'TERM' THEN 'Use ''' || CASE code WHEN 'TERM-001' THEN 'person' ELSE 'poor' END || '''' ELSE 'Split the file' END AS fix FROM found)"""
+
+
+@query(f"""{FIXED} SELECT CAST(to_json({{'check': "check", 'severity': severity, 'file': file, 'line': line, 'code': code, 'rule': rule, 'message': message, 'fix': fix}}) AS VARCHAR) AS value FROM fixed""")
+def sink_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ndjson(_documents(spark, sf_dir))
+
+
+@query(f"""{FIXED} SELECT '::' || severity || ' file=' || file || ',line=' || CAST(line AS VARCHAR) || ',title=' || code || '::' || message || ' Fix: ' || fix AS value FROM fixed""")
+def sink_github(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.github(_documents(spark, sf_dir))
+
+
+@query(f"""{FIXED}, texts AS (SELECT "check", count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w,
+  string_agg('  VIOLATION: ' || file || ':' || CAST(line AS VARCHAR) || ' — ' || message || chr(10) || '    Rule: ' || rule || chr(10) || '    Fix: ' || fix || chr(10), '' ORDER BY severity <> 'error', string_split(file, '/'), line, message) AS texts FROM fixed GROUP BY "check")
+SELECT "check", '[' || CASE WHEN e > 0 THEN 'FAIL' ELSE 'WARN' END || '] ' || "check" || chr(10) || texts || '--- ' || "check" || ': ' || CAST(e AS VARCHAR) || ' violations, ' || CAST(w AS VARCHAR) || ' warnings ---' AS value FROM texts""")
+def sink_human(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.human(_documents(spark, sf_dir), spark.createDataFrame([("domain_terms",), ("file_limits",), ("prose",)], "check string"))
+
+
+@query(f"""{ROLLUP} SELECT 'Summary: 3 checks — ' || CAST(count(*) FILTER (WHERE status = 'PASS') AS VARCHAR) || ' passed, ' || CAST(count(*) FILTER (WHERE status = 'WARN') AS VARCHAR) || ' warnings, ' || CAST(count(*) FILTER (WHERE status = 'FAIL') AS VARCHAR) || ' failed.' AS value FROM results""")
+def sink_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary_line(_results(spark, sf_dir))
+
+
+@query(f"""{FOUND}, odd AS (SELECT CASE WHEN "check" = 'file_limits' THEN 'META-004' END AS strange, CASE WHEN doc_id % 5 = 0 THEN 'META-005' END AS blank, file, line FROM found)
+SELECT code, file, line FROM (SELECT strange AS code, file, line FROM odd UNION ALL SELECT blank, file, line FROM odd) WHERE code IS NOT NULL""")
+def meta_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """META-004 and META-005: of two checks one is registered, and every fifth document's findings have a blank fix."""
+    found = _documents(spark, sf_dir)
+    number = F.regexp_extract("file", r"/(\d+)\.md$", 1).cast("long")
+    found = found.withColumn("fix", F.when(number % 5 == 0, " ").otherwise(F.col("fix")))
+    rules = [r for r in RULES.values() if r.check == "domain_terms"]
+    return P.well_formed(found, rules).select("code", "file", F.col("line").cast("long").alias("line"))
+
+
+@query("""WITH files AS (SELECT source AS region, source || '/' || CAST(doc_id AS VARCHAR) || '.py' AS file, doc_id % 12 + 1 AS n FROM documents)
+SELECT file, CASE WHEN n >= CASE region WHEN 'src1' THEN 9 ELSE 7 END THEN 'error' ELSE 'warning' END AS severity FROM files WHERE n >= CASE region WHEN 'src1' THEN 8 WHEN 'src2' THEN 2 ELSE 5 END""")
+def regional_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIZE-001 on a source a row, of as many lines as its document's id says, under settings by folder."""
+    files = _table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".py"))).alias("path"), F.repeat(F.lit("x = 1\n"), (F.col("doc_id") % 12 + 1).cast("int")).alias("content"))
+    sizes = lambda warn, error: {"file_limits": {"file_warn": warn, "file_error": error}}
+    src = P.source(files, sizes(5, 7))
+    found = P.regional(src, [RULES[("file_limits", "SIZE-001")]], {"src1": sizes(8, 9), "src2": sizes(2, 7)}, "SIZE-001")
+    return found.filter("code = 'SIZE-001'").select("file", "severity")
+
+
+@query("""SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'odd' WHEN s_suppkey % 3 = 1 THEN 'old' ELSE 'new' END AS status FROM supplier) GROUP BY status""")
+def folded_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with . and .. that lead back to a row's own name, above the root, or to the root itself."""
+    k = F.col("s_suppkey")
+    path = F.when(k % 3 == 0, F.concat(F.lit("../a/"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("a/./b/../"), k.cast("string"), F.lit("/c//.."))).otherwise(F.lit("x/.."))
+    rows = _table(spark, sf_dir, "supplier").select(k.cast("string").alias("k"), X.folded_path(path).alias("p"))
+    status = F.when(F.col("p") == F.concat(F.lit("../a/"), "k"), "odd").when(F.col("p") == F.concat(F.lit("a/"), "k"), "old").when(F.col("p") == "", "new").otherwise("wrong")
+    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 # --- text, groups and windows ------------------------------------------------------------------------------------
 
 
@@ -356,8 +417,7 @@ SELECT doc_id, n, first FROM h JOIN g USING (sha)""")
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-CLONE: the members of each group of equal normalised texts, counted by an aggregate that is joined back."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("sha"))
-    groups = rows.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1")
-    return rows.join(groups, "sha").select("doc_id", "n", "first")
+    return G.shared(rows, "sha", F.col("doc_id")).select("doc_id", "n", "first")
 
 
 @query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
@@ -366,8 +426,7 @@ SELECT doc_id, CAST(min(line) AS BIGINT) AS first, CAST(max(line) AS BIGINT) AS
 def comment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-RUNS on runs of short lines."""
     lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text")).filter(F.char_length("text") < 200)
-    rows = lines.withColumn("island", F.col("k") - F.row_number().over(W.partitionBy("doc_id").orderBy("k")))
-    return rows.groupBy("doc_id", "island").agg((F.min("k") + 1).cast("long").alias("first"), (F.max("k") + 1).cast("long").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("island")
+    return G.islands(lines, "doc_id", "k").filter("n > 1").select("doc_id", *((F.col(c) + 1).cast("long").alias(c) for c in ("first", "last")), "n")
 
 
 @query(r"""WITH letters AS (SELECT n_nationkey AS k, n_regionkey AS r, unnest(string_split(n_name, '')) AS c FROM nation), bags AS (SELECT k, r, c, count(*) AS n FROM letters GROUP BY ALL),

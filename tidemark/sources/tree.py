@@ -41,12 +41,22 @@ def merged(base: Mapping[str, Any], over: Mapping[str, Any]) -> Config:
     return out
 
 
+def config_file(directory: str | Path, tool: str = "tidemark") -> Path | None:
+    """<tool>.toml, or else .<tool>.toml, or else a pyproject.toml that has the tool's table."""
+    for name in (f"{tool}.toml", f".{tool}.toml"):
+        if (own := Path(directory, name)).is_file():
+            return own
+    shared = Path(directory, "pyproject.toml")
+    return shared if shared.is_file() and tool in tomllib.loads(shared.read_text("utf-8")).get("tool", {}) else None
+
+
 def read_config(directory: str | Path, tool: str = "tidemark") -> Config:
-    """That of <tool>.toml, or else the tool's table of pyproject.toml."""
-    own, shared = Path(directory, f"{tool}.toml"), Path(directory, "pyproject.toml")
-    if own.is_file():
-        return tomllib.loads(own.read_text("utf-8"))
-    return tomllib.loads(shared.read_text("utf-8")).get("tool", {}).get(tool, {}) if shared.is_file() else {}
+    """What the directory's configuration file says; nothing without one."""
+    found = config_file(directory, tool)
+    if found is None:
+        return {}
+    whole = tomllib.loads(found.read_text("utf-8"))
+    return whole["tool"][tool] if found.name == "pyproject.toml" else whole
 
 
 def find_config(start: str | Path, tool: str = "tidemark") -> Config:
@@ -56,7 +66,8 @@ def find_config(start: str | Path, tool: str = "tidemark") -> Config:
 
 
 PROFILES: dict[str, Config] = {
-    "strict": {c: {"enabled": True} for c in ("attribute_access", "named_args", "prose", "restating", "similarity", "test_style")},
+    "strict": {"promote": ["ALL"]} | {c: {"enabled": True} for c in ("attribute_access", "named_args", "prose", "restating", "similarity", "test_style")},
+    "layered": {"layer_deps": {"layers": ["presentation", "business", "persistence"], "transport_layers": [], "composition_root": ["main.py"], "allowed": {"presentation": ["business", "persistence"], "business": ["persistence"], "persistence": []}}},
     "hexagonal": {
         "layer_deps": {"layers": ["domain", "application", "infrastructure", "api"], "transport_layers": ["api"], "composition_root": ["api/dependencies.py", "api/dependencies/*", "api/main.py", "main.py"], "allowed": {"domain": [], "application": ["domain"], "infrastructure": ["domain", "application"], "api": ["domain", "application"]}},
         "port_coverage": {"composition_root": ["api/dependencies.py", "api/dependencies/*", "api/main.py", "main.py"]},
@@ -74,10 +85,12 @@ def extended(config: Config, directory: str | Path = ".", load: Callable[[str],
     for name in [names] if isinstance(names, str) else names:
         if name in PROFILES:
             profile = PROFILES[name]
-        elif name.endswith(".toml"):
+        elif name.endswith(".toml") or "/" in name:
+            if load is None and not Path(directory, name).is_file():
+                raise ValueError(f"profile file '{name}' does not exist")
             profile = (load or (lambda n: tomllib.loads(Path(directory, n).read_text("utf-8"))))(name)
         else:
-            raise ValueError(f"no profile '{name}'")
+            raise ValueError(f"no profile '{name}'; there are {', '.join(sorted(PROFILES))}")
         out = merged(out, {k: v for k, v in profile.items() if k != "extends"})
     return merged(out, {k: v for k, v in config.items() if k != "extends"})
 
