@@ -228,40 +228,52 @@ def _signatures(ids: pa.Array, split: pa.ListArray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["id", *SIGNATURE])
 
 
-def _fit(x: np.ndarray, y: np.ndarray, words: np.ndarray, spot: np.ndarray, bound: np.ndarray, parities: np.ndarray) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, words: np.ndarray, spot: np.ndarray, bound: np.ndarray, parities: np.ndarray, places: bool = True) -> np.ndarray:
     """Whether rows x and y of a key may be near by places, lengths and parities (a row of words for each)."""
     longer = np.maximum(bound[x], bound[y])
-    before, more = spot[x] - spot[y], words[x] - words[y]
+    before, more = spot[x] - spot[y] if places else 0, words[x] - words[y]
     near = np.abs(before) + np.abs(more - before) <= longer
     near[near] = np.bitwise_count(parities[x[near]] ^ parities[y[near]]).sum(1, dtype=np.int64) <= 2 * longer[near]
     return near
 
 
-def _meetings(key: np.ndarray, words: np.ndarray, bound: np.ndarray, x: np.ndarray, through: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(key: np.ndarray, words: np.ndarray, bound: np.ndarray, x: np.ndarray, through: np.ndarray, same: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """Rows x with rows y of their keys whose lengths are within the bound, nearest places first, until x is through.
 
+    same: of each row, the first one of its key and line. With it, what is left after a while goes by lines, not rows: a
+    first row with all first rows, whatever their places (then told by the third value), as a word that a line repeats
+    has as many rows.
+
     Many rows go side by side, each with the one so many places further; once fewer are left than places have been gone,
     each goes with all the rest.
     """
+    rest = [x[:0]]
     for sign in (-1, 1):
         here, s = x[~through[x]], 0
-        while len(here) > abs(s):
+        while len(here) > abs(s) and (same is None or abs(s) < 256):
             s += sign
             here = here[(here + s >= 0) & (here + s < len(key))]
             here = here[(key[here] == key[here + s]) & (np.abs(words[here] - words[here + s]) <= np.maximum(bound[here], bound[here + s]))]
-            yield here, here + s
+            yield here, here + s, False
             here = here[~through[here]]
-        for i in here:
+        rest.append(here)
+        for i in here if same is None else ():
             j = np.arange(np.searchsorted(key, key[i]), i + s) if sign < 0 else np.arange(i + s + 1, np.searchsorted(key, key[i], "right"))
             j = j[np.abs(words[i] - words[j]) <= np.maximum(bound[i], bound[j])]
-            yield np.full(len(j), i), j
+            yield np.full(len(j), i), j, False
+    if same is not None:
+        firsts = np.flatnonzero(same == np.arange(len(same)))
+        for i in np.unique(same[np.concatenate(rest)]):
+            j = firsts[np.searchsorted(firsts, np.searchsorted(key, key[i])) : np.searchsorted(firsts, np.searchsorted(key, key[i], "right"))]
+            j = j[np.abs(words[i] - words[j]) <= np.maximum(bound[i], bound[j])]
+            yield np.full(len(j), i), j, True
 
 
 def _opened(key: np.ndarray, ids: np.ndarray, place: np.ndarray, parities: np.ndarray, run: int) -> np.ndarray:
     """The rows that have a partner under their key. Rows are in order of key, place. A row is through once it has one."""
     words, spot = place >> 32, place & 0xFFFFFFFF
     bound, out = np.maximum(0, (words - run) // (run + 1)), np.zeros(len(key), bool)
-    for x, y in _meetings(key, words, bound, np.arange(len(key)), out):
+    for x, y, _ in _meetings(key, words, bound, np.arange(len(key)), out):
         near = _fit(x, y, words, spot, bound, parities) & (ids[x] != ids[y])
         out[x[near]] = out[y[near]] = True
     return out
@@ -271,9 +283,14 @@ def _put_forward(key: np.ndarray, ids: np.ndarray, place: np.ndarray, at: np.nda
     """Ids of lines and of those no later that they put forward, about so many for a row; ids of lines that may have more."""
     words, spot = place >> 32, place & 0xFFFFFFFF
     bound, got, through, pairs = np.maximum(0, (words - run) // (run + 1)), np.zeros(len(key), np.int64), np.zeros(len(key), bool), [np.zeros((0, 2), np.int64)]
-    for x, y in _meetings(key, words, bound, np.flatnonzero(seeks), through):
-        near = np.flatnonzero(_fit(x, y, words, spot, bound, parities) & (ids[x] != ids[y]) & (at[y] <= at[x]))
-        if len(x) and x[0] == x[-1]:  # one row, with all the rest
+    order = np.lexsort((ids, key))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    same = np.empty(len(key), np.int64)
+    same[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    for x, y, by_line in _meetings(key, words, bound, np.flatnonzero(seeks), through, same):
+        near = np.flatnonzero(_fit(x, y, words, spot, bound, parities, not by_line) & (ids[x] != ids[y]) & (at[y] <= at[x]))
+        if by_line and len(x):
             through[x[0]] |= len(near) > most - got[x[0]]
             near = near[: most - got[x[0]]]
             got[x[0]] += len(near)
