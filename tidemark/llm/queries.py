@@ -68,7 +68,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_licenses, op3_pii, op4_line_dedup, op5_mixing, op6_decontamination, op7_warc, op8_ngram_join, op9_html_text, op10_quality)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.merkle import verify_tampering
+
+    return verify_tampering(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.languages import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_licenses, op3_pii, op4_line_dedup, op5_mixing, op6_decontamination, op7_warc, op8_ngram_join, op9_html_text, op10_quality, op11_merkle, op12_whitening, op13_languages)}
 
 
 def _license_sql() -> str:
@@ -95,6 +113,48 @@ FROM docs d LEFT JOIN found f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.h
 """
 
 
+def _merkle_sql() -> str:
+    """Levels by recursion over (tree, level), for the languages and then for the tree of their subroots; proofs and folding by recursion over levels."""
+
+    def told(value: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(told, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def levels(leaves: str) -> str:
+        return f"""(SELECT tree, 0 AS level, idx, hash, n FROM {leaves} UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(hash, '' ORDER BY idx)), (n + 7) // 8 FROM {{name}} WHERE n > 1 GROUP BY tree, level, idx // 8, n)"""
+
+    def steps(name: str) -> str:
+        return f"""(SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS before,
+    coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS after
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY ALL)"""
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE docs AS (SELECT *, row_number() OVER () AS r, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda v, _: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 3 = 0 AS chosen FROM documents),
+hashed AS (SELECT r, doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS hash, CASE WHEN chosen THEN {leaf(lower)} ELSE {leaf("text")} END AS start FROM docs),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+nodes AS {levels("leaves").format(name="nodes")},
+subroots AS (SELECT '' AS tree, tree AS lang_tree, hash, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS {levels("subroots").format(name="tops")},
+low AS {steps("nodes")},
+high AS {steps("tops")},
+depth AS (SELECT tree, max(level) AS depth FROM nodes GROUP BY tree),
+path AS (
+  SELECT l.r, s.level, s.before, s.after FROM leaves l JOIN low s ON s.tree = l.tree AND s.idx = l.idx // CAST(power(8, s.level) AS BIGINT)
+  UNION ALL
+  SELECT l.r, d.depth + s.level, s.before, s.after FROM leaves l JOIN depth d ON d.tree = l.tree JOIN subroots t ON t.lang_tree = l.tree JOIN high s ON s.idx = t.idx // CAST(power(8, s.level) AS BIGINT)),
+folds AS (SELECT r, start AS hash, 0 AS level FROM leaves UNION ALL SELECT f.r, sha256(p.before || f.hash || p.after), f.level + 1 FROM folds f JOIN path p ON p.r = f.r AND p.level = f.level),
+proofs AS (SELECT r, string_agg(before || after, '' ORDER BY level) AS proof FROM path GROUP BY r),
+ends AS (SELECT r, arg_max(hash, level) AS folded_root FROM folds GROUP BY r)
+SELECT l.doc_id, l.hash AS leaf, s.hash AS subroot, t.hash AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded_root, e.folded_root = t.hash AS verified
+FROM leaves l JOIN subroots s ON s.lang_tree = l.tree JOIN tops t ON t.n = 1 JOIN ends e ON e.r = l.r LEFT JOIN proofs p ON p.r = l.r
+"""
+
+
 ORACLES = {
     "op5_mixing": r"""
 WITH rows AS (
@@ -140,4 +200,5 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS
 FROM docs d LEFT JOIN covered c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.h = c.h LEFT JOIN named n ON d.doc_id IS NOT DISTINCT FROM n.doc_id AND d.h = n.h
 """,
     "op2_licenses": _license_sql(),
+    "op11_merkle": _merkle_sql(),
 }
