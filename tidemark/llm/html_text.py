@@ -1,7 +1,10 @@
 """Main text of HTML pages by minimum-cut labelling of their blocks.
 
 A page is read to text blocks, each with what stands around it (elements, roles, classes) and how much of it is links.
-A linear classifier turns these into evidence for content or boilerplate, the terminal capacities. Smoothness edges
+A linear classifier turns these into evidence for content or boilerplate, the terminal capacities. What wraps the page's
+article, or nearly all text of a page without one, is not told by its class: wrappers are named after what else they hold. An article
+within an article that has text of its own is a reader's comment. Links count less in an article, which has its own lists of
+them, and where nothing of a page is content by this, its short texts are taken without the bias against them. Smoothness edges
 join blocks in page order, weaker the further apart they are in the tree, and next siblings below one parent. The
 minimum cut gives the labels. A block whose evidence outweighs all its edges keeps its sign in every minimum cut;
 such blocks are settled first and their edges folded into their neighbours, and a maximum flow decides the rest.
@@ -32,12 +35,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_P = BLOCKS - {"button", "option", "select"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-ELEMENT_EVIDENCE = {"article": 4.0, "main": 3.0, "p": 0.8, "pre": 0.8, "blockquote": 0.8, "h1": 0.8, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "select": -9.0, "option": -9.0, "menu": -9.0, "dialog": -9.0, "fieldset": -9.0, "search": -9.0, "head": -20.0} | dict.fromkeys(EMBEDDED, -20.0)
+ELEMENT_EVIDENCE = {"article": 4.0, "main": 3.0, "p": 0.8, "pre": 0.8, "blockquote": 0.8, "h1": 0.8, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "button": -9.0, "select": -9.0, "option": -9.0, "menu": -9.0, "dialog": -9.0, "fieldset": -9.0, "search": -9.0, "head": -20.0} | dict.fromkeys(EMBEDDED, -20.0) | {"noscript": -3.6}
 ROLE_EVIDENCE = {"main": 3.0, "article": 4.0, "navigation": -9.0, "banner": -9.0, "contentinfo": -9.0, "complementary": -9.0, "search": -9.0, "dialog": -9.0, "alert": -9.0, "alertdialog": -9.0, "menu": -9.0, "menubar": -9.0, "form": -9.0}
 BAD_WORDS = frozenset("ad ads adv advert advertisement advertising adbox adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header legal masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar topbar widget".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main maincontent post postbody story text".split())
 #: Said of an element by class or id, these speak against it only outside an article: there, they name its own head or matter.
 OUTSIDE_WORDS = frozenset("banner copyright disclaimer header legal masthead".split())
+#: A name is a bad word's only if nothing but these, digits and GOOD_WORDS stand beside it: related-posts is, related-work isn't.
+FILLER_WORDS = frozenset("area articles bar block bottom box button buttons card col column container form group head inner item items left line link links list module outer page pane panel posts primary right row secondary section side site stories title top unit wrap wrapper zone".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Evidence against what a class calls boilerplate, or what a form or a reader's comment holds.
+AGAINST = -9.0
+#: A page's share of text without links that a wrapper may leave outside.
+OUTSIDE_SHARE = 0.1
+LINK_EVIDENCE = {"article": -1.0, "main": -2.5, "": -5.0}
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TAG_END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -45,33 +56,137 @@ _EMBEDDED_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-class Block:
-    """above: the number of the element that holds the block's own; depth: how many elements stand open; shared: how many of them stand open since the block before."""
+class Element:
+    """above: its parent's number; plain: evidence of its name, role and state; marked: its class or kind speaks against it; comment: as a reader's comment;
+    place: article, main or nothing, by what it stands in; outer: the number of the article around it; top: of the outermost one, itself included; chars: text without links in it."""
 
-    __slots__ = ("above", "depth", "shared", "pieces", "link_chars", "evidence")
+    __slots__ = ("above", "name", "plain", "marked", "good", "comment", "place", "outer", "top", "chars", "evidence")
 
-    def __init__(self, above: int, depth: int, shared: int, evidence: float):
-        self.above, self.depth, self.shared, self.pieces, self.link_chars, self.evidence = above, depth, shared, [], 0, evidence
+    def __init__(self, above: int, name: str):
+        self.above, self.name, self.plain, self.marked, self.good, self.comment = above, name, 0.0, False, False, False
+        self.place, self.outer, self.top, self.chars, self.evidence = "", -1, -1, 0, 0.0
 
 
-def element_evidence(name: str, attributes: str, within: bool) -> float:
-    """What an element says of all text in it. within: it stands in an article or the page's main part."""
-    found = ELEMENT_EVIDENCE.get(name, 0.0)
+class Block:
+    """element: the number of the element that holds it; above: that one's parent's; depth: how many elements stand open; shared: how many of them stand open since the block before."""
+
+    __slots__ = ("element", "above", "depth", "shared", "pieces", "link_chars", "evidence", "place")
+
+    def __init__(self, element: int, above: int, depth: int, shared: int):
+        self.element, self.above, self.depth, self.shared, self.pieces, self.link_chars, self.evidence, self.place = element, above, depth, shared, [], 0, 0.0, ""
+
+
+def class_marks(value: str, within: bool) -> tuple[bool, bool, bool]:
+    """What names in a class or an id say: bad, good, comment. within: the element stands in an article or the page's main part."""
+    bad = good = comment = False
+    for name in value.split():
+        parts = {p.lower() for p in _PARTS.findall(name) if not p.isdigit()}
+        said = parts & BAD_WORDS
+        if within or parts & GOOD_WORDS:
+            said -= OUTSIDE_WORDS
+        if said and parts <= BAD_WORDS | FILLER_WORDS | GOOD_WORDS:
+            bad, comment = True, comment or bool(said & COMMENT_WORDS)
+        elif parts & GOOD_WORDS:
+            good = True
+    return bad, good, comment
+
+
+def read_element(name: str, attributes: str, above: int, elements: list[Element], within: bool) -> Element:
+    """within: it stands in an article or the page's main part."""
+    own = Element(above, name)
+    own.plain = ELEMENT_EVIDENCE.get(name, 0.0)
+    if above >= 0:
+        around = elements[above]
+        own.place, own.outer, own.top = around.place, above if around.name == "article" else around.outer, around.top
+    if name in ("article", "main"):
+        own.place = "article" if "article" in (name, own.place) else name
+    if name == "article" and own.top < 0:
+        own.top = len(elements)
     if name == "header" and not within:
-        found = -9.0
+        own.plain = AGAINST
+    if name == "form":
+        own.plain, own.marked = 0.0, True
     if not attributes:
-        return found
+        return own
     names = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
-    found += ROLE_EVIDENCE.get(names.get("role", "").lower(), 0.0)
+    role = names.get("role", "").lower()
+    own.plain += ROLE_EVIDENCE.get(role, 0.0)
+    if role in ("article", "main"):
+        own.place = "article" if "article" in (role, own.place) else role
     if "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").lower().replace(" ", ""):
-        found -= 20.0
+        own.plain -= 20.0
     if name not in ("html", "body"):
-        marks = {p.lower() for v in (names.get("class", ""), names.get("id", "")) for p in _PARTS.findall(html.unescape(v))}
-        if marks & (BAD_WORDS - OUTSIDE_WORDS if within else BAD_WORDS):
-            found -= 9.0
-        elif marks & GOOD_WORDS:
-            found += 1.5
-    return found
+        for value in (names.get("class", ""), names.get("id", "")):
+            bad, good, comment = class_marks(html.unescape(value), within)
+            own.marked, own.good, own.comment = own.marked or bad, own.good or good, own.comment or comment
+    return own
+
+
+def settle(elements: list[Element], blocks: list[tuple[str, Block]]) -> None:
+    """Gives every block the evidence of the elements around it."""
+    plainly = lambda e: e.plain <= AGAINST
+    below: list[tuple[bool, bool]] = []  # by element: whether its name, or its name or class, or those of what is around it speak against it
+    for e in elements:
+        by_name, by_any = below[e.above] if e.above >= 0 else (False, False)
+        below.append((by_name or plainly(e), by_any or plainly(e) or e.marked))
+    own_text: set[int] = set()  # articles with text of their own that isn't a heading's
+    total = 0
+    for text, block in blocks:
+        if block.element < 0:
+            total += max(0, len(text) - block.link_chars)
+        elif not below[block.element][0]:
+            e = elements[block.element]
+            e.chars += max(0, len(text) - block.link_chars)
+            total += max(0, len(text) - block.link_chars)
+            if e.name not in HEADINGS:
+                own_text.add(block.element if e.name == "article" else e.outer)
+    for e in reversed(elements):
+        if e.above >= 0:
+            elements[e.above].chars += e.chars
+    articles = [i for i, e in enumerate(elements) if e.name in ("article", "main") and e.outer < 0]
+    wraps: set[int] = set()
+    if all(below[i][1] for i in articles):  # then classes of them and around them can't be meant
+        for i in articles:
+            while i >= 0 and i not in wraps:
+                wraps.add(i)
+                i = elements[i].above
+    for i, e in enumerate(elements):
+        around = elements[e.above] if e.above >= 0 else None
+        named, e.comment = e.comment, bool(around and around.comment)
+        e.evidence = e.plain + (around.evidence if around else 0.0)
+        if around and around.place and e.name in ("article", "main"):  # what speaks for a place doesn't add up
+            e.evidence -= min(ELEMENT_EVIDENCE[e.name], ELEMENT_EVIDENCE[around.place])
+        praised = bool(around and (around.good or around.place))
+        if e.name == "article" and e.outer >= 0 and e.outer in own_text:
+            e.evidence, e.comment = e.evidence - ELEMENT_EVIDENCE["article"] + AGAINST, True
+        if e.marked and i not in wraps and (e.place or articles or e.chars < (1 - OUTSIDE_SHARE) * total):
+            e.evidence, e.comment = e.evidence + AGAINST, e.comment or named
+        elif e.good and not praised:
+            e.evidence += 1.5
+        e.good = e.good or praised
+    for _, block in blocks:
+        if block.element >= 0:
+            block.evidence, block.place = elements[block.element].evidence, elements[block.element].place
+    _headings_of_comments(elements, blocks)
+
+
+def _headings_of_comments(elements: list[Element], blocks: list[tuple[str, Block]]) -> None:
+    """A heading in an article goes with its section, if that has comments and nothing but boilerplate."""
+    article, bare, comments = -1, True, False  # from the end: the article, and what the section holds so far
+    for _, block in reversed(blocks):
+        if block.element < 0:
+            continue
+        e = elements[block.element]
+        if e.top != article:
+            article, bare, comments = e.top, True, False
+        if e.comment or block.evidence < 0:
+            comments = comments or e.comment
+        elif e.name in HEADINGS:
+            if e.name != "h1" and article >= 0 and bare and comments:
+                block.evidence += AGAINST
+            bare, comments = True, False
+        else:
+            bare = False
 
 
 def closed_elements(page: str) -> set[int]:
@@ -92,8 +207,9 @@ def closed_elements(page: str) -> set[int]:
 def read_blocks(page: str) -> list[tuple[str, Block]]:
     """Texts of blocks in page order, white space already single."""
     out: list[tuple[str, Block]] = []
-    stack: list[tuple[str, int, float]] = []  # block elements: name, number, evidence of it and all above
-    state = {"block": None, "link": False, "number": 0, "shared": 0}
+    elements: list[Element] = []
+    stack: list[tuple[str, int]] = []  # open block elements: name and number
+    state = {"block": None, "link": False, "shared": 0}
     open_names: Counter[str] = Counter()
 
     def end_block() -> None:
@@ -110,7 +226,7 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
         if state["block"] is None:
             if data.isspace():
                 return
-            state["block"] = Block(stack[-2][1] if len(stack) > 1 else 0, len(stack), state["shared"], stack[-1][2] if stack else 0.0)
+            state["block"] = Block(stack[-1][1] if stack else -1, stack[-2][1] if len(stack) > 1 else -1, len(stack), state["shared"])
             state["shared"] = len(stack)
         state["block"].pieces.append(html.unescape(data))
         if state["link"]:
@@ -121,7 +237,7 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
             return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
-                open_names.subtract(n for n, _, _ in stack[i:])
+                open_names.subtract(n for n, _ in stack[i:])
                 del stack[i:]
                 state["shared"] = min(state["shared"], i)
                 return
@@ -181,9 +297,8 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
                 elif name in HEADINGS:
                     close(HEADINGS, scopes)
                 if name not in VOID:
-                    state["number"] += 1
-                    own = element_evidence(name, attributes, bool(open_names["article"] or open_names["main"]))
-                    stack.append((name, state["number"], own + (stack[-1][2] if stack else 0.0)))
+                    elements.append(read_element(name, attributes, stack[-1][1] if stack else -1, elements, bool(open_names["article"] or open_names["main"])))
+                    stack.append((name, len(elements) - 1))
                     open_names[name] += 1
             elif name == "br":
                 add(" ")
@@ -193,13 +308,14 @@ def read_blocks(page: str) -> list[tuple[str, Block]]:
             add("<")
             at = lt + 1
     end_block()
+    settle(elements, out)
     return out
 
 
-def evidence(text: str, block: Block) -> float:
+def evidence(text: str, block: Block, bias: float = 1.5) -> float:
     """Positive for content."""
     words, linked = len(text.split()), min(1.0, block.link_chars / len(text))
-    return block.evidence + 0.6 * math.log1p(words) - 1.5 - 5.0 * linked
+    return block.evidence + 0.6 * math.log1p(words) - bias + LINK_EVIDENCE[block.place] * linked
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -285,6 +401,8 @@ def main_text(page: str) -> str:
     found = read_blocks(page)
     blocks = [b for _, b in found]
     content = minimum_cut([evidence(t, b) for t, b in found], smoothness(blocks))
+    if not any(content):
+        content = minimum_cut([evidence(t, b, bias=0.0) for t, b in found], smoothness(blocks))
     return "\n".join(t for (t, _), keep in zip(found, content, strict=True) if keep)
 
 
