@@ -225,18 +225,20 @@ def short_names(src: Source) -> DataFrame:
 
 @rule("CMT-006", "docstrings", "Public definitions are described", on=False)
 def missing_docstring(src: Source) -> DataFrame:
-    both = _definitions(src)
-    public = ~F.col("name").startswith("_") if not src.of("docstrings", "require_private", False) else ~F.col("name").rlike("^__.*__$")
-    rows = both.filter(public & F.col("doc").isNull() & (F.col("end") - F.col("line") + 1 >= src.of("docstrings", "min_lines", 5)))
+    rows = _definitions(src).filter("doc IS NULL")
     return findings(rows, "docstrings", "CMT-006: docstring is missing", "error", "line", F.format_string("'%s' has no docstring", "name"), "Say what it is for", "idx")
 
 
 def _definitions(src: Source) -> DataFrame:
+    """Functions and classes long enough to be described; dunder names never are, private ones by a setting."""
     params = F.transform("params", lambda p: p["name"])
     functions = src.functions.select("path", "idx", "name", "line", "end", "doc", "owner", params.alias("given"))
     classes = src.classes.select("path", "idx", "name", "line", "end", "doc", F.lit(None).cast("string").alias("owner"), F.array().cast("array<string>").alias("given"))
     skip = X.name_of(F.col("path")).isin("__init__.py", "conftest.py", "setup.py") | _is_test() | X.in_any(F.col("path"), (*V.SKIP_DIRS, *V.MIGRATIONS))
-    return functions.unionByName(classes).filter(~skip)
+    name = F.col("name")
+    described = ~name.rlike("^__.*__$") if src.of("docstrings", "require_private", False) else ~name.startswith("_")
+    long = F.col("end") - F.col("line") + 1 >= src.of("docstrings", "min_lines", 5)
+    return functions.unionByName(classes).filter(~skip & described & long)
 
 
 @rule("CMT-007", "docstrings", "Docstrings say more than the name", on=False)

@@ -113,6 +113,6 @@ def secrets(src: Source) -> DataFrame:
     value = F.col("value")
     strong = (F.length(value) >= 32) & value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]")
     looks = (F.length(value) >= 6) & ~value.rlike(r"\s") & (strong | ~value.rlike(V.SECRET_PLACEHOLDERS))
-    shaped = (F.col("context") == "literal") & value.rlike(V.SECRET_SHAPES) & ~value.rlike(V.SECRET_PLACEHOLDERS)
+    shaped = (F.col("context") == "literal") & (value.rlike(V.SECRET_WHOLE) | (value.rlike(V.SECRET_SHAPES) & ~value.rlike(V.SECRET_PLACEHOLDERS)))
     rows = rows.filter((named & looks) | shaped).dropDuplicates(["path", "line"])
     return findings(rows, "secrets", "SECRETPY-001: secret in the source", "error", "line", "A literal looks like a credential", "Read it from the environment", "idx")
