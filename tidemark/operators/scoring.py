@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 
 
-def confusion(labels: DataFrame, hits: DataFrame, key: list[str], by: list[str]) -> DataFrame:
-    """by, tp, fp, fn, tn, precision, recall, f1. labels: key, by, expected; hits: keys that a rule found."""
-    rows = labels.join(hits.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+def _measures(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """rows: expected, hit. by, more, tp, fp, fn, tn, precision, recall, f1."""
     count = lambda e, h: F.count_if((F.col("expected") == F.lit(e)) & (F.col("hit") == F.lit(h)))
-    out = rows.groupBy(*by).agg(count(True, True).alias("tp"), count(False, True).alias("fp"), count(True, False).alias("fn"), count(False, False).alias("tn"))
+    out = rows.groupBy(*by).agg(*more, count(True, True).alias("tp"), count(False, True).alias("fp"), count(True, False).alias("fn"), count(False, False).alias("tn"))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = out.withColumns({"precision": share(F.col("tp"), F.col("tp") + F.col("fp")), "recall": share(F.col("tp"), F.col("tp") + F.col("fn"))})
     return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def confusion(labels: DataFrame, hits: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """by, tp, fp, fn, tn, precision, recall, f1. labels: key, by, expected; hits: keys that a rule found."""
+    rows = labels.join(hits.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return _measures(rows, by)
+
+
+def scored(labels: DataFrame, hits: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """As confusion, with labels (how many) and stale: hits that no label covers. by is part of key."""
+    hits = hits.select(*key).distinct().withColumn("hit", F.lit(True))
+    rows = labels.select(*key, "expected").join(hits, key, "full").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return _measures(rows, by, F.count("expected").alias("labels"), F.count_if(F.col("expected").isNull()).alias("stale"))
+
+
 def unlabelled(labels: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:
     """Findings without a label: the corpus is out of date."""
     return hits.join(labels, key, "left_anti")

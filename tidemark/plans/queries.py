@@ -7,7 +7,7 @@ source/doc_id.md. Both are adapted inputs, as the tables hold no source trees.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,8 @@ from tidemark.operators import scoring as S
 from tidemark.plans import check as P
 from tidemark.plans import report
 from tidemark.plans.cases import CASES
+from tidemark.plans.corpora import CORPORA, EXPECTED
+from tidemark.plans.scorers import SCORERS, Scorer, score
 from tidemark.functions import text as X
 from tidemark.rules import code as code_rules
 from tidemark.rules import prose
@@ -97,6 +99,49 @@ FROM supplier JOIN expected ON s_suppkey % {len(cases)} = i)"""
 for _key in CASES:
     _case_query(_key)
 
+# --- scorers over labelled corpora -------------------------------------------------------------------------------
+
+
+def labelled_files(spark: SparkSession, sf_dir: str, corpora: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """corpus, path, content and corpus, file, line, expected: for each row of supplier, in turn, a source of every corpus, and its labels."""
+    own = [(c, len(CORPORA[c]), i, x) for c in corpora for i, x in enumerate(CORPORA[c])]
+    sources = spark.createDataFrame([(c, n, i, x.path, x.source) for c, n, i, x in own], "corpus string, n int, i int, path string, content string")
+    labels = spark.createDataFrame([(c, n, i, x.path, line, EXPECTED[mark]) for c, n, i, x in own for line, mark in x.labels], "corpus string, n int, i int, path string, line int, expected boolean")
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).distinct()
+
+    def dealt(table: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(table), F.col("k") % F.col("n") == F.col("i")).withColumn("path", F.replace("path", F.lit("{k}"), F.col("k").cast("string")))
+
+    return dealt(sources).select("corpus", "path", "content"), dealt(labels).select("corpus", F.col("path").alias("file"), "line", "expected")
+
+
+def _score_sql(corpora: Iterable[str]) -> str:
+    """What is labelled, and known to be found or not, in the sources that rows are dealt."""
+    counts = lambda x: ", ".join(str(sum(m == mark for _, m in x.labels)) for mark in "+!?-")
+    values = ", ".join(f"('{c}', {len(CORPORA[c])}, {i}, {counts(x)})" for c in corpora for i, x in enumerate(CORPORA[c]))
+    total = ", ".join(f"CAST(sum({x}) AS BIGINT) AS {x}" for x in ("tp", "fp", "fn", "tn"))
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN {a} / CAST({b} AS DOUBLE) ELSE 0.0 END"
+    return f"""
+WITH marks(corpus, n, i, tp, fp, fn, tn) AS (VALUES {values}),
+sums AS (SELECT corpus, {total} FROM (SELECT DISTINCT s_suppkey AS k FROM supplier) JOIN marks ON k % n = i GROUP BY corpus),
+shares AS (SELECT *, {share("tp", "(tp + fp)")} AS precision, {share("tp", "(tp + fn)")} AS recall FROM sums)
+SELECT split_part(corpus, '.', 2) AS rule, corpus, tp + fp + fn + tn AS labels, CAST(0 AS BIGINT) AS stale, tp, fp, fn, tn, precision, recall, {share("2 * precision * recall", "(precision + recall)")} AS f1 FROM shares"""
+
+
+def _scorer_query(name: str, scorers: list[Scorer]) -> None:
+    corpora = [s.corpus for s in scorers]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return score(*labelled_files(spark, sf_dir, corpora), scorers).select("rule", "corpus", "labels", "stale", "tp", "fp", "fn", "tn", "precision", "recall", "f1")
+
+    run.__name__ = name
+    QUERIES[name], ORACLES[name] = run, _score_sql(corpora)
+
+
+for _scorer in SCORERS.values():
+    _scorer_query("scorer_" + _scorer.code.replace("-", "_").lower(), [_scorer])
+_scorer_query("scorers_all", list(SCORERS.values()))
+
 # --- findings over documents -------------------------------------------------------------------------------------
 
 TERMS = [{"id": "TERM-001", "canonical": "person", "forbidden": ["idiot", "scum"]}, {"id": "TERM-002", "canonical": "poor", "forbidden": ["pathetic", "worthless", "stupid"]}]
