@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tomllib
 from collections.abc import Callable, Iterable, Mapping
 from pathlib import Path
@@ -12,20 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.sources.walk import PRUNED, located, scan
 
-#: Directories that a scan never enters.
-PRUNED = (".git", ".venv", "venv", "node_modules", "__pycache__", "dist", "build", ".tox", ".mypy_cache", ".ruff_cache")
 Config = dict[str, Any]
 
 
-def read_tree(spark: SparkSession, root: str, excludes: Iterable[str] = (), glob: str = "*", pruned: Iterable[str] = PRUNED) -> DataFrame:
-    """path (below root) and content of every file, in no order; content is null where it is no UTF-8."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+def read_tree(spark: SparkSession, root: str, excludes: Iterable[str] = (), suffix: str = "", pruned: Iterable[str] = PRUNED) -> DataFrame:
+    """path (below root) and content of every file, in no order; content is null where it is no UTF-8. What is pruned or
+    excluded is not opened, unless root is in a store that only Spark can read: its files are then read and left out."""
+    try:
+        located(root)
+    except (OSError, ValueError):
+        return read_store(spark, root, excludes, suffix, pruned)
+    return scan(spark, root, tuple(excludes), tuple(pruned), suffix)
+
+
+def read_store(spark: SparkSession, root: str, excludes: Iterable[str] = (), suffix: str = "", pruned: Iterable[str] = PRUNED) -> DataFrame:
+    """As read_tree, by Spark's own reader of whole files."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file://")
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^.*?" + X._quoted(base.rstrip("/")) + "/", "")
     text = F.try_validate_utf8(F.col("content").cast("string"))
     rows = raw.select(path.alias("path"), text.alias("content"))
-    return rows.filter(~X.in_any(F.col("path"), pruned) & ~X.matches_any(F.col("path"), excludes))
+    folders = F.transform(F.sequence(F.lit(1), F.size(X.parts_of(F.col("path")))), lambda n: F.array_join(F.slice(X.parts_of(F.col("path")), F.lit(1), n), "/"))
+    out = F.exists(folders, lambda f: X.matches_any(f, excludes)) if (excludes := list(excludes)) else F.lit(False)
+    inside = F.slice(X.parts_of(F.col("path")), F.lit(1), F.size(X.parts_of(F.col("path"))) - 1)
+    return rows.filter(F.col("path").endswith(suffix) & ~F.arrays_overlap(inside, F.array(*map(F.lit, pruned))) & ~out)
 
 
 def as_files(table: DataFrame, path: Any, content: Any) -> DataFrame:
@@ -65,6 +76,7 @@ def find_config(start: str | Path, tool: str = "tidemark") -> Config:
     return next((c for d in (here, *here.parents) if (c := read_config(d, tool))), {})
 
 
+# Profiles.
 PROFILES: dict[str, Config] = {
     "strict": {"promote": ["ALL"]} | {c: {"enabled": True} for c in ("attribute_access", "named_args", "prose", "restating", "similarity", "test_style")},
     "layered": {"layer_deps": {"layers": ["presentation", "business", "persistence"], "transport_layers": [], "composition_root": ["main.py"], "allowed": {"presentation": ["business", "persistence"], "business": ["persistence"], "persistence": []}}},
@@ -106,20 +118,6 @@ def region_configs(configs: Mapping[str, Config]) -> dict[str, Config]:
     return out
 
 
-def read_labels(path: str | Path) -> list[tuple[str, int, str]]:
-    """file, line, label of either layout: lists of lines by file, or flags by file and line."""
-    out: list[tuple[str, int, str]] = []
-    for key, value in json.loads(Path(path).read_text("utf-8")).items():
-        if key.startswith("_"):
-            continue
-        if isinstance(value, list):
-            out += [(key, int(v["line"]), str(v["label"])) for v in value]
-        else:
-            file, _, line = key.rpartition(":")
-            out.append((file, int(line), str(value).lower()) if line.isdigit() else (key, 0, str(value).lower()))
-    return out
-
-
 def section_of(document: str, code: str) -> str | None:
     """The part of a Markdown rule reference under the heading of a code, or else of its category."""
     lines = document.splitlines()
