@@ -21,6 +21,7 @@ from tidemark.plans import report
 from tidemark.plans.config import listed, load_plugins, validated, with_source_root
 from tidemark.rules.base import RULES
 from tidemark.sources import tree as T
+from tidemark.sources.tables import dropped, shared_folder, written
 
 FORMATS = ("concise", "full", "json", "ndjson", "github")
 BASELINE = "tidemark-baseline.json"
@@ -82,12 +83,29 @@ class Project:
         return {k: with_source_root(validated(v)) for k, v in T.region_configs(own).items()}
 
 
-def _findings(spark: SparkSession, project: Project, config: dict[str, Any], baseline: DataFrame | None, single: str | None = None) -> DataFrame:
-    files = T.read_tree(spark, str(project.scan))
+class Run:
+    """The tree as it is when the run begins, and the folder that all of the run's tables are in."""
+
+    def __init__(self, spark: SparkSession, project: Project, exclude: Sequence[str] = ()):
+        self.spark, self.folder = spark, shared_folder(spark, "run")
+        excludes = [] if project.prefix else list(exclude)  # they are told from the root
+        self.files = written(T.read_tree(spark, str(project.scan), excludes), f"{self.folder}/files")
+        self.lines = P.C_lines(P.source(self.files), project.prefix)
+
+    def __enter__(self) -> Run:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        dropped(self.spark, self.folder)
+
+
+def _findings(run: Run, project: Project, config: dict[str, Any], baseline: DataFrame | None, single: str | None = None) -> DataFrame:
+    spark = run.spark
     targets = None if project.targets == [""] else spark.createDataFrame([(t,) for t in project.targets], "target string")
     regions = project.regions()
     regions[""] = with_source_root(config)
-    return P.check(files, regions[""], targets, baseline, single, project.prefix, {k: v for k, v in regions.items() if k})
+    found = P.check(run.files, regions[""], targets, baseline, single, project.prefix, {k: v for k, v in regions.items() if k}, f"{run.folder}/check")
+    return written(found, f"{run.folder}/found")
 
 
 def _say(rows: DataFrame) -> None:
@@ -108,7 +126,13 @@ def run_check(spark: SparkSession, args: argparse.Namespace) -> int:
         if not path.is_file():
             raise ValueError(f"baseline '{path}' does not exist; 'baseline write' makes it")
         known = B.load(spark, str(path))
-    found = _findings(spark, project, config, known, args.single).persist()
+    with Run(spark, project, config["exclude"]) as run:
+        return _report(run, project, config, known, args)
+
+
+def _report(run: Run, project: Project, config: dict[str, Any], known: DataFrame | None, args: argparse.Namespace) -> int:
+    spark = run.spark
+    found = _findings(run, project, config, known, args.single)
     checks = P.checks_table(spark)
     if args.single:
         checks = spark.createDataFrame(sorted({(r.check,) for r in P.chosen(config, args.single)}), "check string")
@@ -123,38 +147,34 @@ def run_check(spark: SparkSession, args: argparse.Namespace) -> int:
         if kind == "concise":
             _say(report.summary_line(results))
         if known is not None:
-            raw = B.anchored(found, T_lines(spark, project))
-            print("\n".join(report.drift_note(B.drift(raw, known), kind)))
+            print("\n".join(report.drift_note(B.drift(B.anchored(found, run.lines), known), kind)))
     return P.exit_code(results)
 
 
-def T_lines(spark: SparkSession, project: Project) -> DataFrame:
-    return P.C_lines(P.source(T.read_tree(spark, str(project.scan))), project.prefix)
-
-
 def run_baseline(spark: SparkSession, args: argparse.Namespace) -> int:
     project = Project(args.paths)
     if project.files_given or project.targets != [""] or project.prefix:
         raise ValueError("'baseline' runs over the whole project root, without targets")
     load_plugins(project.config.get("plugins", ()))
     path = project.root / project.config.get("baseline", BASELINE)
-    found = B.anchored(_findings(spark, project, project.config, None), T_lines(spark, project)).persist()
     known = B.load(spark, str(path)) if path.is_file() else None
-    if args.action == "write":
-        before = known.select(*B.KEY).collect() if known is not None else []
-        now = {tuple(r) for r in B.entries(found).select(*B.KEY).collect()}
-        B.write(found, str(path))
-        old = {tuple(r) for r in before}
-        print(f"Wrote {len(now)} baseline entries ({found.filter('file <> ""').count()} findings): +{len(now - old)} new, -{len(old - now)} pruned (was {len(old)}).")
-        if known is None:
-            print(f'\nAdd to the configuration:\n\n    baseline = "{path.name}"')
-        return 0
-    if known is None:
+    if args.action == "status" and known is None:
         raise ValueError(f"baseline '{path}' does not exist; 'baseline write' makes it")
-    gone = [(r["file"], r["code"]) for r in B.stale(found, known).orderBy("file", "code").toLocalIterator()]
-    print(f"{len(gone)} stale baseline entries (matched nothing this run):" if gone else f"Baseline is current: all {known.count()} entries still match a finding.")
-    print("\n".join(f"  {file}  {code}" for file, code in gone))
-    return 0
+    with Run(spark, project, project.config.get("exclude", ())) as run:
+        found = written(B.anchored(_findings(run, project, project.config, None), run.lines), f"{run.folder}/anchored")
+        if args.action == "write":
+            if known is not None:
+                known = written(known, f"{run.folder}/known")  # the file is about to be replaced
+            n = B.changes(found, known if known is not None else B.entries(found).limit(0))
+            B.write(found, str(path))
+            print(f"Wrote {n['now']} baseline entries ({n['findings']} findings): +{n['added']} new, -{n['pruned']} pruned (was {n['was']}).")
+            if known is None:
+                print(f'\nAdd to the configuration:\n\n    baseline = "{path.name}"')
+            return 0
+        gone = [(r["file"], r["code"]) for r in B.stale(found, known).orderBy("file", "code").toLocalIterator()]
+        print(f"{len(gone)} stale baseline entries (matched nothing this run):" if gone else f"Baseline is current: all {known.count()} entries still match a finding.")
+        print("\n".join(f"  {file}  {code}" for file, code in gone))
+        return 0
 
 
 def run_docs(args: argparse.Namespace) -> int:
@@ -189,10 +209,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         if args.command == "docs":
             return run_docs(args)
         spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
-        try:
-            return (run_check if args.command == "check" else run_baseline)(spark, args)
-        finally:
-            spark.catalog.clearCache()  # a later run of this session has to read the files anew
+        return (run_check if args.command == "check" else run_baseline)(spark, args)
     except (ValueError, tomllib.TOMLDecodeError) as e:
         print(f"ERROR: {e}", file=sys.stderr)
         return 2

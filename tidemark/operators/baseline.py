@@ -16,10 +16,14 @@ ENTRY = "file string, code string, anchor string, severity string, message strin
 
 
 def anchored(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """found with anchor: the hash of the finding's line, stripped, or of the rule's description where there is no line to speak of. lines: path, line, text."""
+    """found with anchor: the hash of the finding's line, stripped, or of the rule's description where there is no line to
+    speak of. lines: path, line, text. Only lines that have findings are hashed: the places are few, so they go to the lines."""
+    found = found.withColumn("file", X.norm_path(F.col("file")))
     bare = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
-    here = lines.filter("line >= 2").select(F.col("path").alias("file"), "line", F.when(bare != "", X.sha(bare)).alias("hash")).filter("hash IS NOT NULL")
-    rows = found.withColumn("file", X.norm_path(F.col("file"))).join(here, ["file", "line"], "left")
+    places = found.filter("line >= 2").select(F.col("file").alias("path"), "line").distinct()
+    here = lines.filter("line >= 2").join(places, ["path", "line"], "left_semi")
+    here = here.select(F.col("path").alias("file"), "line", F.when(bare != "", X.sha(bare)).alias("hash")).filter("hash IS NOT NULL")
+    rows = found.join(here, ["file", "line"], "left")
     anchor = F.when(F.col("hash").isNotNull(), F.concat(F.lit("sha:"), "hash")).otherwise(F.concat(F.lit("desc:"), X.sha(X.described(F.col("rule")))))
     return rows.withColumn("anchor", anchor).drop("hash")
 
@@ -72,6 +76,15 @@ def added(found: DataFrame, baseline: DataFrame) -> DataFrame:
     return entries(found).join(baseline, KEY, "left_anti")
 
 
+def changes(found: DataFrame, baseline: DataFrame) -> dict[str, int]:
+    """What writing a baseline of anchored findings changes: entries now, was, added and pruned, and findings, as counts of one full join."""
+    now, was = entries(found).select(*KEY, "count"), baseline.select(*KEY, F.lit(True).alias("old"))
+    both = now.join(was.distinct(), KEY, "full")
+    new, old = F.col("count").isNotNull(), F.col("old").isNotNull()
+    row = both.agg(F.count_if(new).alias("now"), F.count_if(old).alias("was"), F.count_if(new & ~old).alias("added"), F.count_if(old & ~new).alias("pruned"), F.coalesce(F.sum("count"), F.lit(0)).alias("findings")).first()
+    return row.asDict()
+
+
 def drift(found: DataFrame, baseline: DataFrame) -> DataFrame:
     """file, code: where an entry met nothing while a finding of that file and code met no entry; its anchor has moved."""
     unmet = found.filter("file <> ''").join(baseline, KEY, "left_anti").select("file", "code")

@@ -3,7 +3,7 @@ inline ignores, baseline, promotion, rollup. Each takes and gives the finding re
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,3 +95,23 @@ def nearest_regions(files: DataFrame, regions: DataFrame) -> DataFrame:
     ways = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
     above = files.select("path", F.explode(ways).alias("directory")).join(regions.select("directory").distinct(), "directory")
     return files.join(above.groupBy("path").agg(F.max_by("directory", F.length("directory")).alias("region")), "path", "left")
+
+
+def with_regions(files: DataFrame, places: Sequence[tuple[str, Mapping[str, float], Mapping[str, int]]]) -> DataFrame:
+    """files with region, limits and kinds of the nearest folder that is in places ('' is the root's, which has to be there).
+
+    A folder so many levels deep can only be the beginning of that length of a path: one join for each depth that there
+    is, on that beginning, so the files are gone through once and never shuffled while the folders fit a broadcast.
+    """
+    spark, kind = files.sparkSession, "directory string, region string, limits map<string,double>, kinds map<string,int>"
+    rows = {name: (name, name, dict(limits), dict(kinds)) for name, limits, kinds in places}
+    found = []
+    for depth in sorted({name.count("/") + 1 for name in rows if name}, reverse=True):
+        here = spark.createDataFrame([r for name, r in rows.items() if name and name.count("/") + 1 == depth], kind)
+        here = here.select(F.col("directory").alias(f"_at{depth}"), F.struct("region", "limits", "kinds").alias(f"_of{depth}"))
+        files = files.join(here, F.substring_index("path", "/", depth) == F.col(f"_at{depth}"), "left").drop(f"_at{depth}")
+        found.append(f"_of{depth}")
+    table = lambda d, t: F.create_map(*(F.lit(x) for kv in d.items() for x in kv)).cast(t)
+    _, _, limits, kinds = rows[""]
+    root = F.struct(F.lit("").alias("region"), table(limits, "map<string,double>").alias("limits"), table(kinds, "map<string,int>").alias("kinds"))
+    return files.withColumn("_of", F.coalesce(*found, root)).select("*", "_of.*").drop("_of", *found)

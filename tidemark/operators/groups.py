@@ -13,7 +13,7 @@ def shared(rows: DataFrame, key: str, first: Column) -> DataFrame:
     return rows.join(groups, key)
 
 
-def islands(rows: DataFrame, by: str, at: str) -> DataFrame:
-    """by, island, first, last, n of each run of consecutive numbers: number less rank stays the same within a run."""
+def islands(rows: DataFrame, by: str, at: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """by, island, first, last, n of each run of consecutive numbers: number less rank stays the same within a run. carried: columns that are the same for all rows of by."""
     rows = rows.withColumn("island", F.col(at) - F.row_number().over(W.partitionBy(by).orderBy(at)))
-    return rows.groupBy(by, "island").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+    return rows.groupBy(by, "island").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"), *(F.first(c).alias(c) for c in carried))

@@ -21,8 +21,10 @@ import tidemark.rules.skills  # noqa: F401
 from tidemark.functions import text as X
 from tidemark.operators import baseline as B
 from tidemark.operators import chain as C
+from tidemark.plans.config import NUMBER, SETTINGS
 from tidemark.rules.base import FINDING, RULES, Rule, Source, findings
 from tidemark.sources import facts as facts_source
+from tidemark.sources.tables import shared_folder, written
 
 
 def source(files: DataFrame, settings: Mapping[str, Mapping[str, Any]] | None = None) -> Source:
@@ -59,32 +61,52 @@ def wanted(rules: Iterable[Rule], select: Iterable[str] = (), ignore: Iterable[s
     return [r for r in rules if among(r) and "ALL" not in ignore and not ignore & names(r)]
 
 
+Job = tuple[Source, Rule]
+
+
 def find(src: Source, rules: Iterable[Rule] | None = None) -> DataFrame:
     """The findings of rules. A rule whose plan cannot be built becomes a notice of its own instead of failing the run."""
+    return together([(src, r) for r in (rules if rules is not None else chosen(src.settings))], src.files)
+
+
+def together(jobs: Iterable[Job], files: DataFrame) -> DataFrame:
+    """The findings of rules, each over a source of its own, as one plan."""
     parts = []
-    for r in rules if rules is not None else chosen(src.settings):
+    for src, r in jobs:
         try:
             parts.append(r.build(src))
         except Exception as e:  # noqa: BLE001  a plug-in's fault is reported, like any finding
-            one = src.files.sparkSession.createDataFrame([("", r.check)], "path string, c string")
-            parts.append(findings(one, r.check, "RUN-000: check failed", "warning", 0, F.lit(f"{r.code}: {type(e).__name__}: {e}"[:500]), "Mend the check"))
+            parts.append(_fault(files.sparkSession, r, e))
     if not parts:
-        return findings(src.files.select("path").limit(0), "", "", "error", 0, "", "")
+        return findings(files.select("path").limit(0), "", "", "error", 0, "", "")
     return reduce(DataFrame.unionByName, parts)
 
 
+def _fault(spark: SparkSession, r: Rule, e: Exception) -> DataFrame:
+    said = next((x for x in str(e).splitlines() if x.strip()), "")
+    return findings(spark.createDataFrame([("",)], "path string"), r.check, "RUN-000: check failed", "warning", 0, F.lit(f"{r.code}: {type(e).__name__}: {said}"[:500]), "Mend the check")
+
+
 def isolated(src: Source, rules: Iterable[Rule], folder: str) -> DataFrame:
-    """As find, but each rule runs by itself into a table below folder, which all executors see; one that fails while it runs becomes a notice too."""
-    spark, parts = src.files.sparkSession, []
-    for k, r in enumerate(rules):
-        rows = find(src, [r])
+    """As find, by ended."""
+    return ended([(src, r) for r in rules], src.files, folder)
+
+
+def ended(jobs: Iterable[Job], files: DataFrame, folder: str) -> DataFrame:
+    """As together, written below folder, which all executors see. A rule that fails while it runs becomes a notice too:
+    where a group of rules fails, its halves run by themselves, down to the rule. So a run without faults is one job, and
+    each fault costs some more for the halvings that lead to it."""
+    todo, parts = [list(jobs)], []
+    while todo:
+        some = todo.pop()
         try:
-            rows.write.mode("overwrite").parquet(f"{folder}/{k}")
-            parts.append(spark.read.schema(rows.schema).parquet(f"{folder}/{k}"))
-        except Exception as e:  # noqa: BLE001  see find
-            one = spark.createDataFrame([("",)], "path string")
-            parts.append(findings(one, r.check, "RUN-000: check failed", "warning", 0, F.lit(f"{r.code}: {str(e).splitlines()[0]}"[:500]), "Mend the check"))
-    return reduce(DataFrame.unionByName, parts) if parts else find(src, [])
+            parts.append(written(together(some, files), f"{folder}/findings-{len(parts)}-{len(todo)}-{len(some)}"))
+        except Exception as e:  # noqa: BLE001  see together
+            if len(some) == 1:
+                parts.append(_fault(files.sparkSession, some[0][1], e))
+            else:
+                todo += [some[len(some) // 2 :], some[: len(some) // 2]]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def well_formed(found: DataFrame, rules: Iterable[Rule]) -> DataFrame:
@@ -120,34 +142,63 @@ def with_meta(found: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return each.unionByName(own)
 
 
-def regional(src: Source, rules: Iterable[Rule], regions: Mapping[str, Mapping[str, Any]], single: str | None = None, among: set[str] | None = None) -> DataFrame:
-    """Findings where folders below the root have settings of their own: rules of several files run once, under the root's; the others by region, on its files."""
-    places = src.files.sparkSession.createDataFrame([("",), *((r,) for r in regions)], "directory string")
-    of = C.nearest_regions(src.files.select("path"), places)
+NUMBERS = {f"{check}.{key}" for check, keys in SETTINGS.items() for key, kind in keys.items() if kind == NUMBER and key != "dry_prefix_statements"}
+
+
+def _parted(settings: Mapping[str, Any]) -> tuple[dict[str, float], dict[str, dict[str, Any]]]:
+    """Numbers by check.key, and all other settings by check."""
+    tables = {c: v for c, v in settings.items() if isinstance(v, Mapping) and c != "per-file-ignores"}
+    numbers = {f"{c}.{k}": float(x) for c, v in tables.items() for k, x in v.items() if f"{c}.{k}" in NUMBERS}
+    return numbers, {c: {k: x for k, x in v.items() if f"{c}.{k}" not in NUMBERS} for c, v in tables.items()}
+
+
+def passes(src: Source, rules: Iterable[Rule], regions: Mapping[str, Mapping[str, Any]], single: str | None = None, among: set[str] | None = None) -> list[Job]:
+    """The rules of a run where folders below the root have settings of their own, each with the source that it looks at.
+
+    Rules of several files look at all, under the root's settings. The others look at every file under those of its nearest
+    region: its numbers are columns, so regions that differ in numbers alone share a plan, however many they are; for other
+    settings a check has a plan for each different table of them.
+    """
     codes = among if among is not None else {r.code for r in RULES.values()}
-    parts = [find(src, [r for r in rules if r.tree])]
-    for name, settings in {"": src.settings, **regions}.items():
-        here = of.filter(F.col("region") == name).select("path")
-        settings = {k: v for k, v in settings.items() if isinstance(v, Mapping) and k != "per-file-ignores"}
-        own = Source(src.files.join(here, "path", "left_semi"), src.facts.join(here, "path", "left_semi"), settings)
-        parts.append(find(own, [r for r in chosen(settings, single) if not r.tree and r.code in codes]))
-    return reduce(DataFrame.unionByName, parts)
+    wholes = {"": src.settings, **regions}
+    parted = {name: _parted(whole) for name, whole in wholes.items()}
+    checks = sorted({r.check for r in RULES.values() if not r.tree})
+    kinds: dict[str, dict[str, int]] = {c: {} for c in checks}  # by check: its tables of settings, told apart
+    of = {name: {c: kinds[c].setdefault(json.dumps(other.get(c, {}), sort_keys=True, default=str), len(kinds[c])) for c in checks} for name, (_, other) in parted.items()}
+    varied = [c for c in checks if len(kinds[c]) > 1]
+    places = [(name, parted[name][0], {c: of[name][c] for c in varied}) for name in wholes]
+    files, facts = (C.with_regions(t, places) for t in (src.files, src.facts))
+    out = [(src, r) for r in rules if r.tree]
+    for c in checks:
+        for kind in range(len(kinds[c])):
+            settings = next(parted[name][1] for name in wholes if of[name][c] == kind)
+            here = (lambda t, c=c, kind=kind: t.filter(F.element_at("kinds", F.lit(c)) == kind)) if c in varied else (lambda t: t)
+            own = Source(here(files), here(facts), settings, ("region", "limits"))
+            out += [(own, r) for r in chosen(settings, single) if r.check == c and not r.tree and r.code in codes]
+    return out
+
+
+def regional(src: Source, rules: Iterable[Rule], regions: Mapping[str, Mapping[str, Any]], single: str | None = None, among: set[str] | None = None) -> DataFrame:
+    """The findings of passes."""
+    return together(passes(src, rules, regions, single, among), src.files)
 
 
-def check(files: DataFrame, config: Mapping[str, Any] | None = None, targets: DataFrame | None = None, baseline: DataFrame | None = None, single: str | None = None, prefix: str = "", regions: Mapping[str, Mapping[str, Any]] | None = None) -> DataFrame:
+def check(files: DataFrame, config: Mapping[str, Any] | None = None, targets: DataFrame | None = None, baseline: DataFrame | None = None, single: str | None = None, prefix: str = "", regions: Mapping[str, Mapping[str, Any]] | None = None, folder: str | None = None) -> DataFrame:
     """Findings after the whole chain. config: the settings by check, and select, ignore, exclude, per-file-ignores, promote.
 
     regions: by folder, whole configurations for the files below it that no deeper region has (sources.tree.region_configs);
-    the chain after the rules is the root's.
+    the chain after the rules is the root's. folder: where facts and the rules' findings are written, a new one below
+    spark.checkpoint.dir unless given; the result reads it.
     """
     config = dict(config or {})
     settings = {k: v for k, v in config.items() if isinstance(v, Mapping) and k != "per-file-ignores"}
+    folder = folder or shared_folder(files.sparkSession, "check")
     src = source(files, settings)
-    src = replace(src, facts=src.facts.persist())
+    src = replace(src, facts=written(src.facts, f"{folder}/facts"))
     rules = wanted(chosen(settings, single), config.get("select", ()), config.get("ignore", ()))
     among = {r.code for r in wanted(RULES.values(), config.get("select", ()), config.get("ignore", ()))}
-    found = regional(src, rules, regions, single, among) if regions else find(src, rules)
-    found = with_meta(found, RULES.values())
+    jobs = passes(src, rules, regions, single, among) if regions else [(src, r) for r in rules]
+    found = with_meta(ended(jobs, files, folder), RULES.values())
     found = C.reanchor(C.keep_targets(found, targets), prefix)
     select = list(config.get("select", ())) or ([single] if single and single.upper() in {r.code for r in rules} else [])
     found = C.exclude(C.select_ignore(found, select, config.get("ignore", ())), config.get("exclude", ()))
@@ -188,11 +239,6 @@ def as_json(found: DataFrame, checks: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("check", "status", F.coalesce("violations", none).alias("violations"), F.coalesce("warnings", none).alias("warnings"))).alias("value"))
 
 
-def human(found: DataFrame) -> DataFrame:
-    line = F.format_string("  VIOLATION: %s:%d\n    Rule: %s\n    %s\n    Fix: %s", "file", "line", "rule", "message", "fix")
-    return found.select("check", line.alias("value"))
-
-
 def output_format(explicit: str | None = None, as_json_flag: bool = False, environment: Mapping[str, str] | None = None) -> str:
     """--json, then an explicit format, then github under that service, then concise."""
     if as_json_flag:
@@ -204,11 +250,5 @@ def exit_code(results: DataFrame) -> int:
     return int(not results.filter("status = 'FAIL'").isEmpty())
 
 
-def audit(scores: DataFrame, path: str, metadata: Mapping[str, Any]) -> None:
-    rows = [r.asDict() for r in scores.toLocalIterator()]
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump({"metadata": dict(metadata), "accuracy": rows, "performance": {}}, out, indent=2, sort_keys=True)
-
-
 def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted((r.check, r.code, r.on, r.tree, r.description) for r in RULES.values()), "check string, code string, enabled boolean, tree boolean, description string")

@@ -27,14 +27,14 @@ SETTINGS: dict[str, dict[str, str]] = {
     "forbidden_paths": {"dirs": WORDS},
     "layer_deps": {"allowed": TABLE, "composition_root": WORDS, "layers": WORDS, "source_root": WORD, "transport_layers": WORDS},
     "naming_consistency": {"repo_crud": FLAG, "service_crud": FLAG},
-    "naming_scope": {"max_span": NUMBER},
+    "naming_scope": {"allow": WORDS, "max_short_length": NUMBER, "max_span": NUMBER},
     "port_coverage": {"adapter_roots": WORDS, "composition_root": WORDS, "ports_dir": WORD, "ports_without_impl": WORDS, "skip_files": WORDS, "source_root": WORD},
     "prose": {"density": TABLE, "em_dash": FLAG, "em_dash_density": FLAG, "emoji": FLAG, "extensions": WORDS, "spellings": TABLE},
     "security_patterns": {"source_root": WORD},
     "similarity": dict.fromkeys(("attr_jaccard", "call_jaccard", "min_statements", "op_jaccard", "str_jaccard", "struct_ratio"), NUMBER),
     "skills": {"check_links": FLAG},
     "stale_paths": {"tokens": WORDS},
-    "stray_artifacts": {"allow": WORDS},
+    "stray_artifacts": {"allow": WORDS, "assets": WORDS, "exclude": WORDS, "extensions": WORDS, "patterns": WORDS},
     "suppressions": {"allow_blanket": FLAG, "max_total": NUMBER, "word": WORD},
     "test_coverage": {"test_roots": WORDS},
     "test_style": {"dry_prefix_statements": NUMBER, "min_statements": NUMBER, "required_markers": NUMBER, "synonyms": TABLE},

@@ -36,17 +36,27 @@ def findings(df: DataFrame, check: str, rule: str | Column, severity: str | Colu
 
 @dataclass(frozen=True)
 class Source:
-    """The facts of a tree. files: path and content of every text file; paths: every file and directory."""
+    """The facts of a tree. files: path and content of every text file; facts: a row a Python file.
+
+    carried: columns that both have besides and that rules keep while they need them: region, the folder whose settings
+    hold for a file, and limits, its numbers by check.key.
+    """
 
     files: DataFrame
     facts: DataFrame
     settings: Mapping[str, Mapping[str, Any]] = field(default_factory=dict)
+    carried: tuple[str, ...] = ()
 
     def of(self, check: str, key: str, default: Any) -> Any:
         return self.settings.get(check, {}).get(key, default)
 
+    def limit(self, check: str, key: str, default: float) -> Column:
+        """A number that may differ by file; over rows that have the carried columns."""
+        whole = F.lit(self.of(check, key, default))
+        return F.coalesce(F.element_at("limits", F.lit(f"{check}.{key}")), whole) if "limits" in self.carried else whole
+
     def _rows(self, name: str) -> DataFrame:
-        return self.facts.select("path", F.explode(name).alias("x")).select("path", "x.*")
+        return self.facts.select("path", *self.carried, F.explode(name).alias("x")).select("path", *self.carried, "x.*")
 
     @cached_property
     def functions(self) -> DataFrame:
@@ -79,7 +89,7 @@ class Source:
     @cached_property
     def lines(self) -> DataFrame:
         """path, line, text of every file."""
-        return self.files.select("path", F.posexplode(X.split_lines(F.col("content"))).alias("k", "text")).select("path", (F.col("k") + 1).alias("line"), "text")
+        return self.files.select("path", *self.carried, F.posexplode(X.split_lines(F.col("content"))).alias("k", "text")).select("path", *self.carried, (F.col("k") + 1).alias("line"), "text")
 
 
 @dataclass(frozen=True)

@@ -25,9 +25,10 @@ def _below(*prefixes: str) -> Column:
     return out
 
 
-def _limited(df: DataFrame, value: Column, warn: int, error: int) -> DataFrame:
+def _limited(df: DataFrame, value: Column, warn: Column | int, error: Column | int) -> DataFrame:
     """Rows at or above a limit, with their severity; a warning limit above the error limit counts for nothing."""
-    return df.withColumn("value", value).filter(F.col("value") >= min(warn, error)).withColumn("sev", F.when(F.col("value") >= error, "error").otherwise("warning"))
+    warn, error = (F.lit(x) if isinstance(x, int) else x for x in (warn, error))
+    return df.withColumn("value", value).filter(F.col("value") >= F.least(warn, error)).withColumn("sev", F.when(F.col("value") >= error, "error").otherwise("warning"))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -36,27 +37,26 @@ def _sized(df: DataFrame) -> DataFrame:
 
 @rule("SIZE-001", "file_limits", "Files stay below a number of effective lines")
 def size_file(src: Source) -> DataFrame:
-    rows = _limited(_sized(src.facts.filter("error IS NULL")), X.effective_lines(F.col("lines")), src.of("file_limits", "file_warn", 300), src.of("file_limits", "file_error", 500))
+    rows = _limited(_sized(src.facts.filter("error IS NULL")), X.effective_lines(F.col("lines")), src.limit("file_limits", "file_warn", 300), src.limit("file_limits", "file_error", 500))
     return findings(rows, "file_limits", "SIZE-001: file is too long", F.col("sev"), 1, F.format_string("File has %d effective lines", "value"), "Split the file")
 
 
 @rule("SIZE-002", "file_limits", "Functions stay below a number of effective lines")
 def size_function(src: Source) -> DataFrame:
-    rows = _sized(src.facts).select("path", "lines", F.explode("functions").alias("x")).select("path", F.slice("lines", F.col("x.line"), F.col("x.end") - F.col("x.line") + 1).alias("own"), "x.name", "x.line", "x.idx")
-    rows = _limited(rows, X.effective_lines(F.col("own")), src.of("file_limits", "func_warn", 50), src.of("file_limits", "func_error", 80))
+    rows = _sized(src.facts).select("path", *src.carried, "lines", F.explode("functions").alias("x")).select("path", *src.carried, F.slice("lines", F.col("x.line"), F.col("x.end") - F.col("x.line") + 1).alias("own"), "x.name", "x.line", "x.idx")
+    rows = _limited(rows, X.effective_lines(F.col("own")), src.limit("file_limits", "func_warn", 50), src.limit("file_limits", "func_error", 80))
     return findings(rows, "file_limits", "SIZE-002: function is too long", F.col("sev"), "line", F.format_string("Function '%s' has %d effective lines", "name", "value"), "Split the function", "idx")
 
 
 @rule("SIZE-003", "file_limits", "Classes have few methods")
 def size_class(src: Source) -> DataFrame:
-    limit = src.of("file_limits", "class_method_warn", 10)
-    rows = _sized(src.classes).filter(F.col("n_methods") > limit)
+    rows = _sized(src.classes).filter(F.col("n_methods") > src.limit("file_limits", "class_method_warn", 10))
     return findings(rows, "file_limits", "SIZE-003: class has too many methods", "warning", "line", F.format_string("Class '%s' has %d methods", "name", "n_methods"), "Split the class", "idx")
 
 
 @rule("COMPLEXITY-001", "file_limits", "Functions branch little")
 def complexity(src: Source) -> DataFrame:
-    rows = _limited(_sized(src.functions), F.col("complexity"), src.of("file_limits", "complexity_warn", 10), src.of("file_limits", "complexity_error", 15))
+    rows = _limited(_sized(src.functions), F.col("complexity"), src.limit("file_limits", "complexity_warn", 10), src.limit("file_limits", "complexity_error", 15))
     return findings(rows, "file_limits", "COMPLEXITY-001: function is too complex", F.col("sev"), "line", F.format_string("Function '%s' has a complexity of %d", "name", "value"), "Split the function", "idx")
 
 
@@ -64,7 +64,7 @@ def complexity(src: Source) -> DataFrame:
 def param_count(src: Source) -> DataFrame:
     first = F.get(F.filter("params", lambda p: p["kind"].isin("posonly", "pos", "kwonly")), F.lit(0))["name"]
     own = F.size("params") - F.coalesce(first.isin("self", "cls"), F.lit(False)).cast("int")
-    rows = _limited(_sized(src.functions), own, src.of("file_limits", "param_warn", 5), src.of("file_limits", "param_error", 8))
+    rows = _limited(_sized(src.functions), own, src.limit("file_limits", "param_warn", 5), src.limit("file_limits", "param_error", 8))
     return findings(rows, "file_limits", "PARAM-001: function takes too many parameters", F.col("sev"), "line", F.format_string("Function '%s' takes %d parameters", "name", "value"), "Group the parameters in an object", "idx")
 
 
@@ -214,12 +214,11 @@ def bool_names(src: Source) -> DataFrame:
 
 @rule("NAMING-005", "naming_scope", "Short names live shortly", on=False)
 def short_names(src: Source) -> DataFrame:
-    get = lambda k, d: src.of("naming_scope", k, d)
-    allowed = [*V.SHORT_NAMES_ALLOWED, *get("allow", ())]
-    rows = src.functions.filter(~X.in_any(F.col("path"), (*V.SKIP_DIRS, *V.MIGRATIONS))).select("path", "idx", "name", F.explode("extents").alias("e"))
+    allowed = [*V.SHORT_NAMES_ALLOWED, *src.of("naming_scope", "allow", ())]
+    rows = src.functions.filter(~X.in_any(F.col("path"), (*V.SKIP_DIRS, *V.MIGRATIONS))).select("path", *src.carried, "idx", "name", F.explode("extents").alias("e"))
     span = F.col("e.last") - F.col("e.first") + 1
-    short = ~F.col("e.name").isin(*allowed) & ~F.col("e.name").startswith("__") & (F.length(F.regexp_replace("e.name", "^_+", "")) <= get("max_short_length", 2))
-    rows = rows.filter(short & (span > get("max_span", 20)))
+    short = ~F.col("e.name").isin(*allowed) & ~F.col("e.name").startswith("__") & (F.length(F.regexp_replace("e.name", "^_+", "")) <= src.limit("naming_scope", "max_short_length", 2))
+    rows = rows.filter(short & (span > src.limit("naming_scope", "max_span", 20)))
     return findings(rows, "naming_scope", "NAMING-005: short name over a long span", "error", F.col("e.first"), F.format_string("'%s' lives over %d lines of '%s'", "e.name", span, "name"), "Give it a name that reads", "idx")
 
 
@@ -232,12 +231,12 @@ def missing_docstring(src: Source) -> DataFrame:
 def _definitions(src: Source) -> DataFrame:
     """Functions and classes long enough to be described; dunder names never are, private ones by a setting."""
     params = F.transform("params", lambda p: p["name"])
-    functions = src.functions.select("path", "idx", "name", "line", "end", "doc", "owner", params.alias("given"))
-    classes = src.classes.select("path", "idx", "name", "line", "end", "doc", F.lit(None).cast("string").alias("owner"), F.array().cast("array<string>").alias("given"))
+    functions = src.functions.select("path", *src.carried, "idx", "name", "line", "end", "doc", "owner", params.alias("given"))
+    classes = src.classes.select("path", *src.carried, "idx", "name", "line", "end", "doc", F.lit(None).cast("string").alias("owner"), F.array().cast("array<string>").alias("given"))
     skip = X.name_of(F.col("path")).isin("__init__.py", "conftest.py", "setup.py") | _is_test() | X.in_any(F.col("path"), (*V.SKIP_DIRS, *V.MIGRATIONS))
     name = F.col("name")
     described = ~name.rlike("^__.*__$") if src.of("docstrings", "require_private", False) else ~name.startswith("_")
-    long = F.col("end") - F.col("line") + 1 >= src.of("docstrings", "min_lines", 5)
+    long = F.col("end") - F.col("line") + 1 >= src.limit("docstrings", "min_lines", 5)
     return functions.unionByName(classes).filter(~skip & described & long)
 
 
@@ -271,7 +270,7 @@ def _tests(src: Source) -> DataFrame:
     stem = X.stem_of(F.col("path"))
     file = (stem.startswith("test_") | stem.endswith("_test")) & ~stem.isin("conftest", "__init__", "fixtures", "factories") & ~X.in_any(F.col("path"), V.SKIP_DIRS)
     fixture = F.exists("x.decorators", lambda d: F.coalesce(d["attr"] == "fixture", F.lit(False)))
-    return src.facts.filter(file).select("path", "lines", F.explode("functions").alias("x")).filter(F.col("x.name").startswith("test_") & ~fixture)
+    return src.facts.filter(file).select("path", *src.carried, "lines", F.explode("functions").alias("x")).filter(F.col("x.name").startswith("test_") & ~fixture)
 
 
 @rule("AAA-001", "test_style", "Tests mark their sections", on=False)
@@ -281,8 +280,8 @@ def test_sections(src: Source) -> DataFrame:
     words = {k: (*v, *get("synonyms", {}).get(k, ())) for k, v in V.SECTIONS.items()}
     marked = lambda alias: F.exists("own", lambda t: t.rlike(r"(?i)^\s*#\s*(" + "|".join(alias) + r")\b")).cast("int")
     hit = [marked(w) for w in words.values()]
-    need = min(3, max(1, get("required_markers", 2)))
-    rows = _tests(src).filter(F.col("x.n_statements") > get("min_statements", 3)).withColumn("own", own).withColumn("n", sum(hit, F.lit(0))).filter(F.col("n") < need)
+    need = F.least(F.lit(3), F.greatest(F.lit(1), src.limit("test_style", "required_markers", 2)))
+    rows = _tests(src).filter(F.col("x.n_statements") > src.limit("test_style", "min_statements", 3)).withColumn("own", own).withColumn("n", sum(hit, F.lit(0))).filter(F.col("n") < need)
     return findings(rows, "test_style", "AAA-001: test without sections", "error", F.col("x.line"), F.format_string("'%s' marks %d sections", "x.name", "n"), "Mark arrange, act and assert", F.col("x.idx"))
 
 

@@ -39,15 +39,15 @@ def dead_code(src: Source) -> DataFrame:
 @rule("CMT-002", "comments", "Comments are short")
 def long_comments(src: Source) -> DataFrame:
     """Long lines, and runs of comment lines longer than the function at hand allows. Runs are islands of line less rank."""
-    get = lambda k, d: src.of("comments", k, d)
+    get = lambda k, d: src.limit("comments", k, d)
     long = _kept_comments(src).filter(F.length("text") > get("max_comment_chars", 120))
     lines = findings(long, "comments", "CMT-002: comment is too long", "error", "line", F.format_string("Comment has %d characters", F.length("text")), "Tighten it")
-    runs = islands(_kept_comments(src).filter("standalone"), "path", "line")
+    runs = islands(_kept_comments(src).filter("standalone"), "path", "line", src.carried)
     spans = src.functions.select(F.col("path").alias("p"), F.col("line").alias("from"), F.col("end").alias("to"), "complexity")
     runs = runs.filter(F.col("n") > get("max_block_lines", 6)).join(spans, F.col("path") == F.col("p"), "left")
     inside = F.max(F.when(F.col("first").between(F.col("from"), F.col("to")), F.col("complexity")))
     after = F.max(F.when((F.col("from") - F.col("last")).between(0, 2), F.col("complexity")))
-    runs = runs.groupBy("path", "first", "n").agg(F.coalesce(inside, after, F.lit(1)).alias("complexity"))
+    runs = runs.groupBy("path", "first", "n").agg(F.coalesce(inside, after, F.lit(1)).alias("complexity"), *(F.first(c).alias(c) for c in src.carried))
     runs = runs.filter(F.col("n") > get("max_block_lines", 6) + (F.col("complexity") - 1) * get("block_lines_per_branch", 2))
     return lines.unionByName(findings(runs, "comments", "CMT-002: comment block is too long", "error", "first", F.format_string("Comment block has %d lines", "n"), "Tighten it", F.col("first")))
 
@@ -81,13 +81,16 @@ def restating(src: Source) -> DataFrame:
 
 @rule("SUPPRESS-001", "suppressions", "Few suppressions", on=False)
 def suppression_budget(src: Source) -> DataFrame:
-    """One finding for the tree, at the first directive, naming the three files with most."""
-    rows = _directives(src)
-    order = F.struct(X.parts_of(F.col("path")).alias("parts"), F.col("line"))
-    per_file = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("line").alias("line"))
-    most = per_file.orderBy(F.desc("n"), "path").limit(3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "path", "n"))), lambda x: F.format_string("%s (%d)", x["path"], x["n"])), ", ").alias("worst"))
-    total = per_file.agg(F.sum("n").alias("n"), F.count("*").alias("files"), F.min(F.struct(order.alias("o"), "path", "line")).alias("first")).filter(F.col("n") > src.of("suppressions", "max_total", 0))
-    rows = total.crossJoin(most).select(F.col("first.path").alias("path"), F.col("first.line").alias("line"), "n", "files", "worst")  # a row by a row
+    """One finding for the tree, or for each region that has more than its budget, at the first directive, naming the three files with most."""
+    region = F.col("region") if "region" in src.carried else F.lit("")
+    rows = _directives(src).select("path", "line", region.alias("region"), src.limit("suppressions", "max_total", 0).alias("budget"))
+    per_file = rows.groupBy("region", "path").agg(F.count("*").alias("n"), F.min("line").alias("line"), F.first("budget").alias("budget"))
+    order = F.struct(X.parts_of(F.col("path")).alias("parts"), "line")
+    total = per_file.groupBy("region").agg(F.sum("n").alias("n"), F.count("*").alias("files"), F.first("budget").alias("budget"), F.min(F.struct(order.alias("o"), "path", "line")).alias("first"))
+    place = F.row_number().over(W.partitionBy("region").orderBy(F.desc("n"), "path"))
+    most = per_file.withColumn("place", place).filter("place <= 3").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("place", "path", "n"))).alias("most"))
+    worst = F.array_join(F.transform("most", lambda x: F.format_string("%s (%d)", x["path"], x["n"])), ", ")
+    rows = total.filter("n > budget").join(most, "region").select(F.col("first.path").alias("path"), F.col("first.line").alias("line"), "n", "files", worst.alias("worst"))
     return findings(rows, "suppressions", "SUPPRESS-001: too many suppressions", "error", "line", F.format_string("%d suppressions in %d files. Most: %s", "n", "files", "worst"), "Fix what they hide")
 
 
@@ -134,11 +137,17 @@ def _markdown(src: Source, suffixes: tuple[str, ...]) -> DataFrame:
 
 
 def outside_fences(pages: DataFrame) -> DataFrame:
-    """path, line, text of lines outside fenced blocks. The state of a fence is a fold over the page's own lines, so no window is needed."""
-    step = lambda acc, x: F.when(F.ltrim(x).startswith("```") | F.ltrim(x).startswith("~~~"), F.struct((~acc["open"]).alias("open"), F.concat(acc["seen"], F.array(F.lit(False))).alias("seen"))).otherwise(F.struct(acc["open"].alias("open"), F.concat(acc["seen"], F.array(~acc["open"])).alias("seen")))
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<boolean>").alias("seen"))
-    rows = pages.withColumn("free", F.aggregate("lines", start, step)["seen"])
-    return rows.select("path", F.posexplode(F.arrays_zip("lines", "free")).alias("k", "z")).filter("z.free").select("path", (F.col("k") + 1).alias("line"), F.col("z.lines").alias("text"))
+    """path, line, text of lines outside fenced blocks. A line is outside if it is no fence and an even number of fences
+    comes before it. Runs between fences are cut from the page's own lines, by the places of its fences: no state goes
+    from line to line, so a page takes time in proportion to its lines, and no window is needed."""
+    fence = lambda x: F.ltrim(x).startswith("```") | F.ltrim(x).startswith("~~~")
+    marks = F.filter(F.transform("lines", lambda x, i: F.when(fence(x), i)), lambda i: i.isNotNull())
+    bounds = F.concat(F.array(F.lit(-1)), F.col("marks"), F.array(F.size("lines")))
+    even = F.filter(F.transform("bounds", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("before"), F.get("bounds", i + 1).alias("next")))), lambda r: r.isNotNull() & r["next"].isNotNull())
+    runs = F.transform("runs", lambda r: F.struct((r["before"] + 1).alias("first"), F.slice("lines", r["before"] + 2, r["next"] - r["before"] - 1).alias("texts")))
+    rows = pages.withColumn("marks", marks).withColumn("bounds", bounds).withColumn("runs", even)
+    rows = rows.select("path", F.explode(runs).alias("r")).select("path", "r.first", F.posexplode("r.texts").alias("k", "text"))
+    return rows.select("path", (F.col("first") + F.col("k") + 1).alias("line"), "text")
 
 
 def _prose_lines(src: Source) -> DataFrame:
