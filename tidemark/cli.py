@@ -18,7 +18,7 @@ from tidemark.operators import baseline as B
 from tidemark.operators import chain as C
 from tidemark.plans import check as P
 from tidemark.plans import report
-from tidemark.plans.config import listed, load_plugins, validated, with_source_root
+from tidemark.plans.config import configured, listed, load_plugins, validated, with_source_root
 from tidemark.rules.base import RULES
 from tidemark.sources import tree as T
 from tidemark.sources.tables import dropped, shared_folder, written
@@ -80,7 +80,7 @@ class Project:
             names[:] = [n for n in names if n not in T.PRUNED]
             if Path(folder) != self.scan and T.config_file(folder):
                 own[Path(folder).relative_to(self.scan).as_posix()] = T.extended(T.read_config(folder), folder)
-        return {k: with_source_root(validated(v)) for k, v in T.region_configs(own).items()}
+        return {k: configured(with_source_root(validated(v))) for k, v in T.region_configs(own).items()}
 
 
 class Run:
@@ -103,7 +103,7 @@ def _findings(run: Run, project: Project, config: dict[str, Any], baseline: Data
     spark = run.spark
     targets = None if project.targets == [""] else spark.createDataFrame([(t,) for t in project.targets], "target string")
     regions = project.regions()
-    regions[""] = with_source_root(config)
+    regions[""] = configured(with_source_root(config))
     found = P.check(run.files, regions[""], targets, baseline, single, project.prefix, {k: v for k, v in regions.items() if k}, f"{run.folder}/check")
     return written(found, f"{run.folder}/found")
 
@@ -138,12 +138,13 @@ def _report(run: Run, project: Project, config: dict[str, Any], known: DataFrame
         checks = spark.createDataFrame(sorted({(r.check,) for r in P.chosen(config, args.single)}), "check string")
     results, kind = C.rollup(found, checks), P.output_format(args.output_format, args.json)
     if kind == "json":
-        print("[" + ",\n ".join(r["value"] for r in P.as_json(found, checks).orderBy("value").toLocalIterator()) + "]")
+        print("[")
+        _say(report.in_order(report.json_lines(found, checks)))
+        print("]")
     elif kind in ("ndjson", "github"):
         _say(getattr(P, kind)(found))
     else:
-        for r in report.human(found, checks, kind == "full").toLocalIterator():
-            print(r["value"] + "\n")
+        _say(report.in_order(report.human_lines(found, checks, kind == "full")))
         if kind == "concise":
             _say(report.summary_line(results))
         if known is not None:

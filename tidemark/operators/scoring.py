@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.functions import vocabulary as V
 
 
 def _measures(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
@@ -60,3 +61,29 @@ def readability(facts: DataFrame) -> DataFrame:
     rate = lambda a, b, n: F.bround(F.when(b > 0, a / b).otherwise(0.0), n)
     rows = facts.filter("error IS NULL").withColumns({"effective_lines": lines, "public": F.size(public), "undocumented_definitions": bare, "bound": F.size(names), "short": F.size(F.filter(names, lambda n: F.length(n) <= 2)), "n_comments": F.size("comments")})
     return rows.select("path", "effective_lines", rate(F.col("n_comments") * 100.0, F.col("effective_lines"), 2).alias("comments_per_100_lines"), rate(F.col("public") - F.col("undocumented_definitions"), F.col("public"), 3).alias("docstring_coverage"), "undocumented_definitions", rate(F.col("short"), F.col("bound"), 3).alias("short_name_rate"))
+
+
+def reading(facts: DataFrame) -> DataFrame:
+    """What each file is like to read: path, effective_lines, short_name_rate, short_names, comments_per_100_lines, docstring_coverage,
+    undocumented_definitions, trivial_docstrings, heavy_comprehensions, max_comprehension_load, max_expression_depth."""
+    rate = lambda a, b, n: F.bround(F.when(b > 0, a / b).otherwise(0.0), n)
+    r = facts.filter("reading IS NOT NULL").select("path", "reading.*")
+    return r.select(
+        "path",
+        F.col("code_lines").alias("effective_lines"),
+        rate(F.size("short"), F.col("identifiers"), 3).alias("short_name_rate"),
+        F.array_sort(F.array_distinct("short")).alias("short_names"),
+        rate(F.col("comments") * 100.0, F.col("code_lines"), 2).alias("comments_per_100_lines"),
+        rate(F.col("documented"), F.col("definitions"), 3).alias("docstring_coverage"),
+        (F.col("definitions") - F.col("documented")).alias("undocumented_definitions"),
+        F.col("trivial").alias("trivial_docstrings"),
+        F.size(F.filter("loads", lambda x: x > V.LOAD_BUDGET)).alias("heavy_comprehensions"),
+        F.coalesce(F.array_max("loads"), F.lit(0)).alias("max_comprehension_load"),
+        F.col("depth").alias("max_expression_depth"),
+    )
+
+
+def comprehension_loads(facts: DataFrame, by: list[str]) -> DataFrame:
+    """by, comprehensions, median, p90 and most of their loads. by: columns of facts."""
+    rows = facts.select(*by, F.explode("reading.loads").alias("load"))
+    return rows.groupBy(*by).agg(F.count("*").alias("comprehensions"), F.median("load").alias("median"), F.percentile("load", F.lit(0.9)).alias("p90"), F.max("load").alias("most"))

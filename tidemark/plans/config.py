@@ -71,6 +71,18 @@ def validated(config: Mapping[str, Any]) -> dict[str, Any]:
     return dict(config)
 
 
+def configured(config: Mapping[str, Any]) -> dict[str, Any]:
+    """config with the settings that the rules' own hooks make of their check's; what one of them rejects is a ValueError that names the check."""
+    out = dict(config)
+    for (check, code), r in sorted(RULES.items()):
+        if r.configure is not None:
+            try:
+                out[check] = dict(r.configure(dict(out.get(check, {}))))
+            except Exception as e:
+                raise ValueError(f"[{check}] {code}: {e}") from e
+    return out
+
+
 def with_source_root(config: Mapping[str, Any]) -> dict[str, Any]:
     """The top-level source_root as a setting of the checks that look for layers, where they have none of their own."""
     out, root = dict(config), config.get("source_root")

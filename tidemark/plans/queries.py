@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import baseline as B
@@ -24,7 +25,8 @@ from tidemark.plans.scorers import SCORERS, Scorer, score
 from tidemark.functions import text as X
 from tidemark.rules import code as code_rules
 from tidemark.rules import prose
-from tidemark.rules.base import RULES, Source, findings
+from tidemark.rules.base import RULES, Rule, Source, findings
+from tidemark.sources.tables import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -391,6 +393,128 @@ def folded_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+_ITEMS = """{'file': file, 'line': line, 'rule': rule, 'message': message, 'fix': fix, 'code': code}"""
+
+
+@query(f"""{FIXED}, parted AS (SELECT "check", severity, file, line, message, array_to_string(list_transform(range(count(*)), lambda i: '  VIOLATION: ' || file || ':' || CAST(line AS VARCHAR) || ' — ' || message || chr(10) || '    Rule: ' || rule || chr(10) || '    Fix: ' || fix), chr(10)) AS value FROM fixed GROUP BY "check", severity, file, line, rule, message, fix),
+counts AS (SELECT "check", count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w FROM fixed GROUP BY "check")
+SELECT "check", 1 AS part, value FROM parted
+UNION ALL SELECT "check", 0, '[' || CASE WHEN e > 0 THEN 'FAIL' ELSE 'WARN' END || '] ' || "check" FROM counts
+UNION ALL SELECT "check", 2, '--- ' || "check" || ': ' || CAST(e AS VARCHAR) || ' violations, ' || CAST(w AS VARCHAR) || ' warnings ---' || chr(10) FROM counts""")
+def sink_human_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-HUMAN as rows of heads, findings and feet, which tasks write in order."""
+    return report.human_lines(_documents(spark, sf_dir), spark.createDataFrame([("domain_terms",), ("file_limits",), ("prose",)], "check string")).select("check", "part", "value")
+
+
+@query(f"""{FIXED}, parted AS (SELECT "check", severity, line, message, file, array_to_string(list_transform(range(count(*)), lambda i: CAST(to_json({_ITEMS}) AS VARCHAR)), ',' || chr(10)) AS value FROM fixed GROUP BY "check", severity, file, line, rule, message, fix, code),
+placed AS (SELECT *, row_number() OVER (PARTITION BY "check", severity ORDER BY string_split(file, '/'), line, message) AS place FROM parted),
+checks("check", comma) AS (VALUES ('domain_terms', ''), ('file_limits', ','), ('prose', ',')),
+counts AS (SELECT c."check", comma, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w FROM checks c LEFT JOIN fixed f ON f."check" = c."check" GROUP BY ALL)
+SELECT "check", CASE severity WHEN 'error' THEN 1 ELSE 3 END AS part, CASE WHEN place > 1 THEN ',' ELSE '' END || value AS value FROM placed
+UNION ALL SELECT "check", 0, comma || '{{"check":"' || "check" || '","status":"' || CASE WHEN e > 0 THEN 'FAIL' WHEN w > 0 THEN 'WARN' ELSE 'PASS' END || '","violations":[' FROM counts
+UNION ALL SELECT "check", 2, '],"warnings":[' FROM counts UNION ALL SELECT "check", 4, ']}}' FROM counts""")
+def sink_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-JSON as the lines of one array, a row for each."""
+    return report.json_lines(_documents(spark, sf_dir), spark.createDataFrame([("domain_terms",), ("file_limits",), ("prose",)], "check string")).select("check", "part", "value")
+
+
+@query("""WITH files AS (SELECT doc_id % 1000 AS region, 'd' || CAST(doc_id % 1000 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.py' AS file, doc_id % 12 + 1 AS n FROM documents),
+limits AS (SELECT *, 3 + region % 7 AS warn, 4 + region % 9 AS error FROM files)
+SELECT file, CASE WHEN n >= error THEN 'error' ELSE 'warning' END AS severity FROM limits WHERE n >= least(warn, error)""")
+def regional_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIZE-001 under the settings of a thousand folders, in one plan: thresholds are columns."""
+    number = F.col("doc_id") % 1000
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), number.cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.repeat(F.lit("x = 1\n"), (F.col("doc_id") % 12 + 1).cast("int")).alias("content"))
+    regions = {f"d{i}": {"file_limits": {"file_warn": 3 + i % 7, "file_error": 4 + i % 9}} for i in range(1000)}
+    found = P.regional(P.source(files), [RULES[("file_limits", "SIZE-001")]], regions, "SIZE-001")
+    return found.filter("code = 'SIZE-001'").select("file", "severity")
+
+
+@query(f"""{FOUND}, late AS (SELECT min(doc_id) AS doc_id FROM documents)
+SELECT "check", severity, file, line, code FROM found UNION ALL SELECT 'late', 'warning', '', CAST(0 AS BIGINT), 'RUN-000' FROM late WHERE doc_id IS NOT NULL""")
+def isolated_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U-ISOL: of three rules one fails on a row while it runs; it becomes a notice, the findings of the others stand."""
+    files = document_files(spark, sf_dir)
+    rows, first = document_findings(files), files.agg(F.min("doc_id").alias("first"))
+
+    def late(src: Source) -> DataFrame:
+        odd = files.join(F.broadcast(first), F.col("doc_id") == F.col("first"))
+        return findings(odd, "late", "LATE-001: fails", "error", 1, F.raise_error(F.concat(F.lit("late on "), "path")).cast("string"), "fix")
+
+    rules = [Rule("TERM-NNN", "domain_terms", True, "terms", lambda src: rows.filter("check = 'domain_terms'")), Rule("LATE-001", "late", True, "fails", late), Rule("SIZE-001", "file_limits", True, "sizes", lambda src: rows.filter("check = 'file_limits'"))]
+    src = document_source(files)
+    return P.isolated(src, rules, shared_folder(spark, "isolated")).select("check", "severity", "file", F.col("line").cast("long").alias("line"), "code")
+
+
+@query(f"""{FOUND} SELECT code, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'META-004' AS code FROM found UNION ALL SELECT unnest(['META-001', 'META-002', 'META-003'])) GROUP BY code""")
+def meta_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """META-001 to META-003: rules with a blank check, description or code; META-004 as none of them has the findings' checks."""
+    rules = [Rule("A-001", " ", True, "a", document_findings), Rule("A-002", "a", True, "\t", document_findings), Rule(" ", "a", True, "c", document_findings)]
+    return P.well_formed(_documents(spark, sf_dir), rules).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'LAYER-006' AS code, '.' AS file, name || ' of ' || CAST(n AS VARCHAR) AS told FROM (SELECT count(*) AS n FROM supplier), (VALUES ('edge'), ('cli')) t(name)
+UNION ALL SELECT 'LAYER', 'm/a_' || CAST(s_suppkey AS VARCHAR) || '.py', 'core/ imports from shell/' FROM supplier WHERE s_suppkey % 2 = 0""")
+def layer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAYER-006 on transport layers that are none, and LAYER, the code of layers that have none of their own, on a source a row."""
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    path = F.concat(F.lit("core/a_"), F.col("k").cast("string"), F.lit(".py"))
+    files = rows.select(path.alias("path"), F.when(F.col("k") % 2 == 0, "import shell.x\n").otherwise("import os\n").alias("content"))
+    src = P.source(files, {"layer_deps": {"layers": ["core", "shell"], "allowed": {"core": []}, "transport_layers": ["shell", "edge", "cli"]}})
+    found = P.find(src, [RULES[("layer_deps", "LAYER-006")], RULES[("layer_deps", "LAYER")]])
+    name = F.concat(F.regexp_extract("message", "'(.*)'", 1), F.lit(" of "), F.lit(rows.count()).cast("string"))
+    return found.select("code", F.regexp_replace("file", "^core/", "m/").alias("file"), F.when(F.col("code") == "LAYER-006", name).otherwise(F.col("message")).alias("told"))
+
+
+#: Sources with what they are like to read: effective lines (the encoding is one), declared names, short ones, definitions, described ones, loads, depth.
+_READ = (
+    ("# why\nx_{k} = [f(a) for a in b if a for c in d if c if e]\n", 2, 3, 2, 0, 0, (5,), 3),
+    ("def long_{k}(q, rows):\n    'Tells what it does in words'\n    return {v: (1 if v else [z() for z in v]) for v in rows}\n", 4, 5, 2, 1, 1, (3, 1), 5),
+    ("class Named_{k}:\n    total = sum(x for x in y)\n\n    def go(self):\n        pass\n", 5, 5, 1, 2, 0, (0,), 3),
+    ("value_{k} = 1\n", 2, 1, 0, 0, 0, (), 1),
+)
+
+
+def _read_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = spark.createDataFrame([(i, r[0]) for i, r in enumerate(_READ)], "i long, source string")
+    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).join(F.broadcast(dealt), F.col("k") % len(_READ) == F.col("i"))
+    files = rows.select(F.concat(F.lit("m"), F.col("i").cast("string"), F.lit("/a_"), F.col("k").cast("string"), F.lit(".py")).alias("path"), F.replace("source", F.lit("{k}"), F.col("k").cast("string")).alias("content"))
+    return P.source(files).facts
+
+
+@query("WITH t(i, effective_lines, names, short, definitions, documented, most, depth) AS (VALUES " + ", ".join(f"({i}, {r[1]}, {r[2]}, {r[3]}, {r[4]}, {r[5]}, {max(r[6], default=0)}, {r[7]})" for i, r in enumerate(_READ)) + """)
+SELECT 'm' || CAST(i AS VARCHAR) || '/a_' || CAST(s_suppkey AS VARCHAR) || '.py' AS path, CAST(effective_lines AS BIGINT) AS effective_lines, round(CASE WHEN names > 0 THEN short / CAST(names AS DOUBLE) ELSE 0.0 END, 3) AS short_name_rate,
+  CAST(definitions - documented AS BIGINT) AS undocumented_definitions, CAST(most AS BIGINT) AS max_comprehension_load, CAST(depth AS BIGINT) AS max_expression_depth FROM supplier JOIN t ON s_suppkey % 4 = i""")
+def reading_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-READ by file."""
+    count = lambda c: F.col(c).cast("long").alias(c)
+    return S.reading(_read_facts(spark, sf_dir)).select("path", count("effective_lines"), "short_name_rate", count("undocumented_definitions"), count("max_comprehension_load"), count("max_expression_depth"))
+
+
+@query("WITH t(i, load) AS (VALUES " + ", ".join(f"({i}, {x})" for i, r in enumerate(_READ) for x in r[6]) + """)
+SELECT count(*) AS comprehensions, CAST(median(load) AS DOUBLE) AS median, quantile_cont(CAST(load AS DOUBLE), 0.9) AS p90, CAST(max(load) AS BIGINT) AS most FROM supplier JOIN t ON s_suppkey % 4 = i""")
+def comprehension_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-READ: median, 90th percentile and maximum of the loads of all comprehensions."""
+    out = S.comprehension_loads(_read_facts(spark, sf_dir), [])
+    return out.select("comprehensions", F.col("median").cast("double").alias("median"), F.col("p90").cast("double").alias("p90"), F.col("most").cast("long").alias("most"))
+
+
+@query(r"""WITH docs AS (SELECT doc_id, source, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next, regexp_extract_all(lower(text), '[a-z]+') AS words FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL),
+bags AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM docs) GROUP BY ALL),
+sides AS (SELECT d.doc_id, d.next, b.w, b.n, 0 AS m FROM docs d JOIN bags b ON b.doc_id = d.doc_id WHERE d.next IS NOT NULL UNION ALL SELECT d.doc_id, d.next, b.w, 0, b.n FROM docs d JOIN bags b ON b.doc_id = d.next),
+met AS (SELECT doc_id, next, w, sum(n) AS n, sum(m) AS m FROM sides GROUP BY ALL)
+SELECT doc_id, next, round(CASE WHEN min(greatest(n, m)) IS NULL THEN 1.0 ELSE CAST(sum(least(n, m)) AS DOUBLE) / sum(greatest(n, m)) END, 9) AS jaccard FROM met GROUP BY ALL""")
+def weighted_jaccard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-WJACC of the words of a document and of the next one of its source."""
+    docs = _table(spark, sf_dir, "documents").filter("source IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    counted = docs.select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", "w").agg(F.count("*").cast("int").alias("n"))
+    bags = counted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("bag"))
+    follows = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("next")).filter("next IS NOT NULL")
+    pairs = follows.join(bags.withColumnRenamed("bag", "bag_a"), "doc_id").join(bags.select(F.col("doc_id").alias("next"), F.col("bag").alias("bag_b")), "next")
+    return pairs.select("doc_id", "next", F.round(X.weighted_jaccard(F.col("bag_a"), F.col("bag_b")), 9).alias("jaccard"))
+
+
 # --- text, groups and windows ------------------------------------------------------------------------------------
 
 

@@ -100,16 +100,17 @@ class Rule:
     description: str
     build: Callable[[Source], DataFrame]
     tree: bool = False  # looks at several files together
+    configure: Callable[[Mapping[str, Any]], Mapping[str, Any]] | None = None  # makes of its check's settings those that it builds with
 
 
 RULES: dict[tuple[str, str], Rule] = {}
 
 
-def rule(code: str, check: str, description: str, on: bool = True, tree: bool = False) -> Callable:
-    """Registers a table function under its check and code; plug-ins use it the same way."""
+def rule(code: str, check: str, description: str, on: bool = True, tree: bool = False, configure: Callable[[Mapping[str, Any]], Mapping[str, Any]] | None = None) -> Callable:
+    """Registers a table function under its check and code; plug-ins use it the same way. configure may complete a check's settings, or raise a ValueError about them."""
 
     def put(build: Callable[[Source], DataFrame]) -> Callable[[Source], DataFrame]:
-        RULES[(check, code)] = Rule(code, check, on, description, build, tree)
+        RULES[(check, code)] = Rule(code, check, on, description, build, tree, configure)
         return build
 
     return put

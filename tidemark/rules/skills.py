@@ -70,11 +70,17 @@ def skill_links(src: Source) -> DataFrame:
     """A fence closes with its own marker only; indented code is no link. Targets are looked up among files and directories; one above the tree is missing."""
     rows = _skills(src).filter("status = 'ok'") if src.of("skills", "check_links", True) else _skills(src).limit(0)
     mark = lambda x: F.substring(F.ltrim(x), 1, 3)
-    fence = lambda x: mark(x).isin("```", "~~~")
-    opened = lambda acc, x: F.when(acc["open"].isNull() & fence(x), F.struct(mark(x).alias("open"), F.concat(acc["free"], F.array(F.lit(False))).alias("free"))).when(acc["open"].isNotNull(), F.struct(F.when(~F.ltrim(x).startswith(acc["open"]), acc["open"]).alias("open"), F.concat(acc["free"], F.array(F.lit(False))).alias("free"))).otherwise(F.struct(acc["open"].alias("open"), F.concat(acc["free"], F.array(~x.startswith("    ") & ~x.startswith("\t"))).alias("free")))
-    free = F.aggregate("body", F.struct(F.lit(None).cast("string").alias("open"), F.array().cast("array<boolean>").alias("free")), opened)["free"]
-    rows = rows.withColumn("free", free).select("path", "body_line", F.posexplode(F.arrays_zip("body", "free")).alias("k", "z")).filter("z.free")
-    links = rows.select("path", (F.col("body_line") + F.col("k")).alias("line"), F.explode(F.regexp_extract_all("z.body", F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))).alias("link"))
+    marks = F.filter(F.transform("body", lambda x, i: F.when(mark(x).isin("```", "~~~"), F.struct(i.alias("at"), mark(x).alias("mark")))), lambda m: m.isNotNull())
+    # what opens and closes: a fold over the few lines that are marks, not over all
+    turn = lambda acc, m: F.when(acc["open"].isNull() | (acc["open"] == m["mark"]), F.struct(F.when(acc["open"].isNull(), m["mark"]).alias("open"), F.concat(acc["bounds"], F.array(m["at"])).alias("bounds"))).otherwise(acc)
+    bounds = F.aggregate(marks, F.struct(F.lit(None).cast("string").alias("open"), F.array(F.lit(-1)).alias("bounds")), turn)["bounds"]
+    rows = rows.withColumn("bounds", F.concat(bounds, F.array(F.size("body"))))
+    runs = F.filter(F.transform("bounds", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("before"), F.get("bounds", i + 1).alias("next")))), lambda r: r.isNotNull() & r["next"].isNotNull())
+    rows = rows.withColumn("runs", runs)
+    cut = F.transform("runs", lambda r: F.struct((r["before"] + 1).alias("first"), F.slice("body", r["before"] + 2, r["next"] - r["before"] - 1).alias("texts")))
+    rows = rows.select("path", "body_line", F.explode(cut).alias("r")).select("path", "body_line", "r.first", F.posexplode("r.texts").alias("j", "text"))
+    rows = rows.filter(~F.col("text").startswith("    ") & ~F.col("text").startswith("\t")).withColumn("k", F.col("first") + F.col("j"))
+    links = rows.select("path", (F.col("body_line") + F.col("k")).alias("line"), F.explode(F.regexp_extract_all("text", F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1))).alias("link"))
     target = F.regexp_replace(F.get(F.split(F.trim("link"), r"\s+"), F.lit(0)), "^<+|>+$", "")
     links = links.withColumn("target", target).filter((F.col("target") != "") & ~F.col("target").rlike(r"^[#/]") & ~F.col("target").rlike(r"(?i)^[a-z][a-z0-9+.-]*:"))
     folder = F.regexp_replace("path", "[^/]*$", "")
