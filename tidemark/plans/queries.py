@@ -7,7 +7,8 @@ source/doc_id.md. Both are adapted inputs, as the tables hold no source trees.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,7 +20,7 @@ from tidemark.operators import groups as G
 from tidemark.operators import scoring as S
 from tidemark.plans import check as P
 from tidemark.plans import report
-from tidemark.plans.cases import CASES
+from tidemark.plans.cases import CASES, TRAPS, Case
 from tidemark.plans.corpora import CORPORA, EXPECTED
 from tidemark.plans.scorers import SCORERS, Scorer, score
 from tidemark.functions import text as X
@@ -50,9 +51,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # --- rules over cases --------------------------------------------------------------------------------------------
 
 
-def case_files(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+def dealt_files(spark: SparkSession, sf_dir: str, cases: Sequence[Case]) -> DataFrame:
     """path, content: one case for each row of supplier, in turn."""
-    cases = CASES[key][1]
     dealt = spark.createDataFrame([(i, *file) for i, c in enumerate(cases) for file in ((c.path, c.source), *c.beside)], "i int, path string, source string")
     rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), (F.col("s_suppkey") % len(cases)).alias("i"))
     put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k")).alias(c)
@@ -75,15 +75,13 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _case_query(key: str) -> None:
+def _case_query(name: str, key: str, settings: Mapping[str, Any], cases: Sequence[Case]) -> None:
     check, _, code = key.partition(".")
-    settings, cases = CASES[key]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        src = P.source(case_files(spark, sf_dir, key), {check: settings})
+        src = P.source(dealt_files(spark, sf_dir, cases), {check: settings})
         return P.find(src, [RULES[(check, code)]]).select("file", "code", "severity", F.col("line").cast("long").alias("line"))
 
-    name = "rule_" + key.replace(".", "_").replace("-", "_").lower()
     run.__name__ = name
     expected = [(i, c.path, n, *f) for i, c in enumerate(cases) for n, f in enumerate(c.found)]
     if code == "PATH-001":
@@ -98,8 +96,10 @@ SELECT file, code, severity, line FROM (SELECT DISTINCT replace(path, '{{k}}', C
 FROM supplier JOIN expected ON s_suppkey % {len(cases)} = i)"""
 
 
-for _key in CASES:
-    _case_query(_key)
+for _key, (_settings, _cases) in CASES.items():
+    _case_query("rule_" + _key.replace(".", "_").replace("-", "_").lower(), _key, _settings, _cases)
+for _name, (_key, _settings, _cases) in TRAPS.items():
+    _case_query(f"trap_{_name}", _key, _settings, _cases)
 
 # --- scorers over labelled corpora -------------------------------------------------------------------------------
 
