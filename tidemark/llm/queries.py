@@ -201,4 +201,16 @@ FROM docs d LEFT JOIN covered c ON d.doc_id IS NOT DISTINCT FROM c.doc_id AND d.
 """,
     "op2_licenses": _license_sql(),
     "op11_merkle": _merkle_sql(),
+    "op8_ngram_join": r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END), lambda i: array_to_string(w[i + 1 : i + 5], ' ')))) AS s FROM docs),
+kinds AS (SELECT s, row_number() OVER () AS sid, len(s) AS n FROM (SELECT DISTINCT s FROM sets WHERE len(s) > 0)),
+parts AS (SELECT sid, n, unnest(s) AS e FROM kinds),
+pairs AS (SELECT a.sid AS a, b.sid AS b, a.n + b.n - count(*) AS either, count(*) AS shared FROM parts a JOIN parts b ON a.e = b.e AND a.sid <> b.sid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.sid, b.sid, a.n, b.n),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * either),
+reach AS (SELECT sid AS a, sid AS b FROM kinds UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+first AS (SELECT k.sid, min(s.doc_id) AS doc_id, count(*) AS copies FROM kinds k JOIN sets s ON s.s = k.s GROUP BY k.sid),
+named AS (SELECT r.a AS sid, min(f.doc_id) AS name, sum(f.copies) AS copies FROM reach r JOIN first f ON f.sid = r.b GROUP BY r.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN copies > 1 THEN coalesce(name, s.doc_id) ELSE s.doc_id END AS component_id FROM sets s LEFT JOIN kinds k ON k.s = s.s LEFT JOIN named n ON n.sid = k.sid
+""",
 }
