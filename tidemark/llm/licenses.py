@@ -6,7 +6,9 @@ templates are sets of the templates' words, ordered by their frequency over all
 the containment threshold only if they share one of the template's first |T| - need + 1 words (prefix), the block
 has need words (length) and enough words remain after the shared one on both sides (position); what is left is
 verified by the whole intersection. Phrases are templates that need all their words, whose places are then read off
-the block.
+the block. License texts are templates too, passage by passage: each block that contains a passage up to the threshold gets
+the text's label, so texts that were cut or changed in places are found by what is left of them; texts that have a passage
+in common, such as a disclaimer, get each other's.
 
 Defined results: null and empty texts have no words and no labels; repeated rows have equal results; an empty table
 gives an empty result. Columns beyond doc_id and text are not read.
@@ -15,12 +17,13 @@ gives an empty result. Columns beyond doc_id and text are not read.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Scratch, words
+from tidemark.llm.shared import NOT_WORD, words
 
 #: Words of a block, and from one block's start to the next one's, as far as no template is longer.
 BLOCK, STRIDE = 64, 32
@@ -65,6 +68,61 @@ NOTICES = (
 )
 
 
+def passages(label: str, text: str, most: int = STRIDE + 1) -> tuple[Template, ...]:
+    """A license's text as templates, one after the other, of about equal lengths that lie in a block wherever they stand."""
+    found = tuple(w for w in re.split(NOT_WORD, text.lower()) if w)
+    n = math.ceil(len(found) / most)
+    return tuple(Template(label, found[k * len(found) // n : (k + 1) * len(found) // n]) for k in range(n))
+
+
+# Texts of licenses, as their authors publish them.
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE
+FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as
+being the original software. This notice may not be removed or altered from any source distribution."""
+_APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You
+may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
+License for the specific language governing permissions and limitations under the License."""
+_GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that
+it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+General Public License for more details. You should have received a copy of the GNU General Public License along with this program."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In
+jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the
+public domain."""
+NOTICES += tuple(
+    t
+    for label, text in (("text:mit", _MIT), ("text:bsd-2-clause", _BSD_2), ("text:isc", _ISC), ("text:zlib", _ZLIB), ("text:apache-2.0", _APACHE_NOTICE), ("text:gpl-3.0", _GPL_NOTICE), ("text:unlicense", _UNLICENSE))
+    for t in passages(label, text)
+)
+
+
 def word_frequency(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many rows of texts (column words) each word of the vocabulary stands; as many numbers as it has words."""
     found = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
@@ -103,7 +161,8 @@ def scan_blocks(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(0), F.expr(f"(size(words) - 1) div {stride}").cast("int")), lambda b: F.struct(b.alias("block"), F.slice("words", b * stride + 1, F.lit(block)).alias("part")))
     blocks = texts.select("doc_id", "text_hash", F.explode(cut).alias("b")).select("doc_id", "text_hash", "b.*")
     blocks = blocks.filter(F.arrays_overlap("part", prefix_words))
-    ranks = F.array_sort(F.array_distinct(F.filter(F.transform("part", lambda w: F.array_position(_strings(ranked), w).cast("int")), lambda r: r > 0)))
+    known = F.array_intersect("part", _strings(ranked))  # by a hash set; only what it leaves is looked up
+    ranks = F.array_sort(F.transform(known, lambda w: F.array_position(_strings(ranked), w).cast("int")))
     blocks = blocks.withColumn("own", ranks)
     places = blocks.select("doc_id", "text_hash", "block", "part", "own", F.posexplode("own").alias("j", "r"))
     enough = (F.size("own") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("own") - F.col("j") - 1) >= F.col("need"))
