@@ -5,7 +5,7 @@ holds the k smallest distinct 64-bit hashes in unsigned order. Sketches of parts
 smallest of the union), and two sketches tell resemblance, containment and the number of distinct shingles. All of it
 is column expressions over arrays in a row: nothing is exploded, and no shuffle is needed for a text's own sketch.
 
-Defined results: null counts as empty; empty texts have the empty fingerprint, resemble each other fully and anything
+Defined results: ids may be numbers or texts, in their own order; null counts as empty; empty texts have the empty fingerprint, resemble each other fully and anything
 else not at all; repeated rows have equal fingerprints.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import Scratch, words
 
@@ -71,31 +72,40 @@ def merged(df: DataFrame, by: list[str], sketch: str, k: int = K) -> DataFrame:
     return whole.groupBy(*by).agg(F.slice(F.sort_array(F.collect_list("_h")), 1, k).alias(sketch))
 
 
+def range_key(docs: DataFrame) -> Column:
+    """A long that rises with doc_id: the number itself, or the first seven bytes of what isn't a whole number as text."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return F.col("doc_id").cast("long")
+    return F.conv(F.rpad(F.hex(F.encode(F.col("doc_id").cast("string"), "UTF-8")), 14, "0"), 16, 10).cast("long")
+
+
 def with_next(docs: DataFrame, scratch: Scratch, rows_a_part: int = 2000) -> DataFrame:
-    """Rows (doc_id, text, part, own) so that a window over a part, ordered by doc_id, sees every row's successor.
+    """Rows (doc_id, text, hash, part, own) so that a window over a part, ordered by doc_id and hash, sees every row's successor.
 
-    The ids are cut in ranges of about rows_a_part rows at approximate quantiles, a bounded array of numbers; the first
-    row of a range is copied to the end of the one before (own = false), and the first of all to the end of the last.
-    One shuffle moves the texts; no task holds more than one range at a time.
+    The ids are cut in ranges of about rows_a_part rows at approximate quantiles of their keys, a bounded array of numbers; rows
+    without an id, which come first, in 64 ranges of their texts' hashes. The first row of a range is copied to the end of
+    the one before (own = false), and the first of all to the end of the last. One shuffle moves the texts; no task holds
+    more than one range at a time.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(F.col("doc_id"), key.alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    n = rows.count()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", range_key(docs).alias("key"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    keys = rows.select("key").filter("key IS NOT NULL")
+    n = keys.count()
     parts = max(1, min(n // rows_a_part, 1 << 14))
-    cuts = sorted(set(rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    cuts = sorted(set(keys.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     cuts = [int(c) for c in cuts]
     steps = 1 << max(len(cuts), 1).bit_length()
     limits = F.array(*(F.lit(c).cast("long") for c in [*cuts, *[2**63 - 1] * (steps - len(cuts))]))
     # binary search: how many cuts are at most the key
     found = F.aggregate(F.array(*(F.lit(steps >> i) for i in range(1, steps.bit_length()))), F.lit(0), lambda at, step: F.when(F.get(limits, at + step - 1) <= F.col("key"), at + step).otherwise(at))
-    rows = rows.withColumn("part", found)
-    tail = rows.withColumn("hash", F.xxhash64("text"))
-    firsts = tail.groupBy("part").agg(F.min(F.struct("key", "hash")).alias("first"))
-    in_order = W.orderBy("part")  # at most 1 << 14 rows
+    rows = rows.withColumn("part", F.when(F.col("key").isNull(), F.shiftright("hash", 58).cast("int") - 32).otherwise(found)).drop("key")
+    firsts = rows.groupBy("part").agg(F.min(F.struct("doc_id", "hash")).alias("first"))
+    in_order = W.orderBy("part")  # at most (1 << 14) + 64 rows
     into = F.coalesce(F.lag("part").over(in_order), F.max("part").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    firsts = scratch.save(firsts.select("part", F.col("first.key").alias("key"), F.col("first.hash").alias("hash"), into.alias("into")), "firsts")
-    copies = tail.join(F.broadcast(firsts), ["part", "key", "hash"]).dropDuplicates(["part", "key", "hash"])
-    return rows.withColumn("own", F.lit(True)).unionByName(copies.select("doc_id", "key", "text", F.col("into").alias("part"), F.lit(False).alias("own")))
+    firsts = scratch.save(firsts.select(F.col("part").alias("of"), F.col("first.doc_id").alias("id"), F.col("first.hash").alias("its_hash"), into.alias("into")), "firsts")
+    same = (F.col("part") == F.col("of")) & (F.col("hash") == F.col("its_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    copies = rows.join(F.broadcast(firsts), same).dropDuplicates(["of"])
+    return rows.withColumn("own", F.lit(True)).unionByName(copies.select("doc_id", "text", "hash", F.col("into").alias("part"), F.lit(False).alias("own")))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
@@ -106,8 +116,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
     rows = with_next(docs, scratch)
-    parts = rows.withColumns({"hash": F.xxhash64("text"), "last": (~F.col("own")).cast("int")})
-    order = W.partitionBy("part").orderBy("last", "key", "hash")
+    parts = rows.withColumn("last", (~F.col("own")).cast("int"))
+    order = W.partitionBy("part").orderBy("last", "doc_id", "hash")
     rows = with_sketch(parts.withColumn("next_text", F.lead("text").over(order)), "text", "sketch", k)
     rows = rows.withColumn("next_sketch", F.lead("sketch").over(order)).filter("own")
     chars = F.char_length("text").cast("long")
