@@ -515,6 +515,38 @@ def weighted_jaccard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "next", F.round(X.weighted_jaccard(F.col("bag_a"), F.col("bag_b")), 9).alias("jaccard"))
 
 
+@query(f"""{FOUND} SELECT code, severity, file, line FROM found WHERE code = 'SIZE-001'""")
+def single_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-SINGLE: of a run asked for one code the other findings of its check, and all else, are left out."""
+    found = _documents(spark, sf_dir)
+    rules = P.chosen({}, "SIZE-001")
+    return C.select_ignore(found, [r.code for r in rules]).select("code", "severity", "file", "line")
+
+
+@query(f"""{FOUND}, sources AS (SELECT DISTINCT coalesce(source, '') AS source FROM documents)
+SELECT s.source, CAST(max(CASE WHEN f.severity = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS code FROM sources s LEFT JOIN found f ON split_part(f.file, '/', 1) = s.source GROUP BY s.source""")
+def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-EXIT: the exit code of a run over each source by itself; 1 if any of its checks fails."""
+    sources = _table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("check")).distinct()
+    found = _documents(spark, sf_dir).withColumn("check", F.substring_index("file", "/", 1))
+    return C.rollup(found, sources).select(F.col("check").alias("source"), (F.col("status") == "FAIL").cast("long").alias("code"))
+
+
+@query("""SELECT lang AS severity, count(*) AS events, avg(CAST(quality = 1 AS DOUBLE)) AS handled, avg(CAST(toxic = 1 AS DOUBLE)) AS in_code, avg(CAST(n_chars > 1000 AS DOUBLE)) AS in_report, avg(CAST(doc_id % 3 = 0 AS DOUBLE)) AS overclaim
+FROM (SELECT d.lang, d.n_chars, l.* FROM labels l JOIN documents d USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL AND n_chars IS NOT NULL) GROUP BY lang""")
+def handled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-ART on labels as verdicts and languages as severities."""
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id").filter("quality IS NOT NULL AND toxic IS NOT NULL AND n_chars IS NOT NULL")
+    said = {"severity": F.col("lang"), "handled": F.col("quality") == 1, "in_code": F.col("toxic") == 1, "in_report": F.col("n_chars") > 1000, "overclaim": F.col("doc_id") % 3 == 0}
+    return S.handled_rates(rows.withColumns(said))
+
+
+@query("SELECT event_type AS name, median(value) AS seconds FROM events GROUP BY event_type")
+def median_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-MEDIAN of the values of events, by type, as seconds of runs."""
+    return S.median_seconds(_table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value").alias("seconds")))
+
+
 # --- text, groups and windows ------------------------------------------------------------------------------------
 
 
