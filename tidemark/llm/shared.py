@@ -67,10 +67,15 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows and BROADCAST_BYTES, else as it is; df must be a written table, so that counting is cheap."""
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most so many rows and BROADCAST_BYTES; it must be a written table, so that counting is cheap."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of a written table: that of its files
-    return F.broadcast(df) if size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows else df
+    return size <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table, with a broadcast hint if it fits, else as it is."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def tasks(df: DataFrame) -> int:
