@@ -65,7 +65,7 @@ def similar_pairs(functions: DataFrame, limits: dict[str, Column | float], carri
     return pairs.select("path", F.col("name_a").alias("a"), F.col("name_b").alias("b"), "line_a", "line_b", "idx_a", "ratio")
 
 
-@rule("SIMILAR-001", "similarity", "Functions of a file differ", on=False)
+@rule("SIMILAR-001", "similarity", "Functions of a file differ", on=False, reads=("functions.idx", "functions.name", "functions.line", "functions.n_body", "functions.boilerplate", "functions.shape", "functions.calls", "functions.strs", "functions.ops", "functions.attrs"))
 def similar(src: Source) -> DataFrame:
     get = lambda k, d: src.limit("similarity", k, d)
     path = F.col("path")

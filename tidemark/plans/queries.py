@@ -79,8 +79,9 @@ def _case_query(name: str, key: str, settings: Mapping[str, Any], cases: Sequenc
     check, _, code = key.partition(".")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        src = P.source(dealt_files(spark, sf_dir, cases), {check: settings})
-        return P.find(src, [RULES[(check, code)]]).select("file", "code", "severity", F.col("line").cast("long").alias("line"))
+        rules = [RULES[(check, code)]]
+        src = P.source(dealt_files(spark, sf_dir, cases), {check: settings}, rules)
+        return P.find(src, rules).select("file", "code", "severity", F.col("line").cast("long").alias("line"))
 
     run.__name__ = name
     expected = [(i, c.path, n, *f) for i, c in enumerate(cases) for n, f in enumerate(c.found)]

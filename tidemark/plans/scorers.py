@@ -34,7 +34,8 @@ class Scorer:
     def hits(self, files: DataFrame) -> DataFrame:
         """corpus, file, line of what the rule finds in the corpus' files."""
         own = files.filter(F.col("corpus") == self.corpus).select("path", "content")
-        found = P.find(P.source(own, {self.check: self.settings}), [RULES[(self.check, self.code)]])
+        rules = [RULES[(self.check, self.code)]]
+        found = P.find(P.source(own, {self.check: self.settings}, rules), rules)
         return found.select(F.lit(self.corpus).alias("corpus"), "file", (F.lit(0) if self.whole_files else F.col("line")).alias("line"))
 
 

@@ -101,16 +101,18 @@ class Rule:
     build: Callable[[Source], DataFrame]
     tree: bool = False  # looks at several files together
     configure: Callable[[Mapping[str, Any]], Mapping[str, Any]] | None = None  # makes of its check's settings those that it builds with
+    reads: tuple[str, ...] | None = None  # the facts that it looks at, or fields of their rows (functions.name); None: any
 
 
 RULES: dict[tuple[str, str], Rule] = {}
 
 
-def rule(code: str, check: str, description: str, on: bool = True, tree: bool = False, configure: Callable[[Mapping[str, Any]], Mapping[str, Any]] | None = None) -> Callable:
-    """Registers a table function under its check and code; plug-ins use it the same way. configure may complete a check's settings, or raise a ValueError about them."""
+def rule(code: str, check: str, description: str, on: bool = True, tree: bool = False, configure: Callable[[Mapping[str, Any]], Mapping[str, Any]] | None = None, reads: tuple[str, ...] | None = None) -> Callable:
+    """Registers a table function under its check and code; plug-ins use it the same way. configure may complete a check's settings, or raise a ValueError about them.
+    A rule that says what it reads may be given facts without the rest."""
 
     def put(build: Callable[[Source], DataFrame]) -> Callable[[Source], DataFrame]:
-        RULES[(check, code)] = Rule(code, check, on, description, build, tree, configure)
+        RULES[(check, code)] = Rule(code, check, on, description, build, tree, configure, reads)
         return build
 
     return put

@@ -35,20 +35,20 @@ def _sized(df: DataFrame) -> DataFrame:
     return df.filter(~X.name_of(F.col("path")).isin("__init__.py", "conftest.py") & ~_is_test() & ~X.in_any(F.col("path"), V.MIGRATIONS))
 
 
-@rule("SIZE-001", "file_limits", "Files stay below a number of effective lines")
+@rule("SIZE-001", "file_limits", "Files stay below a number of effective lines", reads=("error", "lines"))
 def size_file(src: Source) -> DataFrame:
     rows = _limited(_sized(src.facts.filter("error IS NULL")), X.effective_lines(F.col("lines")), src.limit("file_limits", "file_warn", 300), src.limit("file_limits", "file_error", 500))
     return findings(rows, "file_limits", "SIZE-001: file is too long", F.col("sev"), 1, F.format_string("File has %d effective lines", "value"), "Split the file")
 
 
-@rule("SIZE-002", "file_limits", "Functions stay below a number of effective lines")
+@rule("SIZE-002", "file_limits", "Functions stay below a number of effective lines", reads=("lines", "functions.idx", "functions.name", "functions.line", "functions.end"))
 def size_function(src: Source) -> DataFrame:
     rows = _sized(src.facts).select("path", *src.carried, "lines", F.explode("functions").alias("x")).select("path", *src.carried, F.slice("lines", F.col("x.line"), F.col("x.end") - F.col("x.line") + 1).alias("own"), "x.name", "x.line", "x.idx")
     rows = _limited(rows, X.effective_lines(F.col("own")), src.limit("file_limits", "func_warn", 50), src.limit("file_limits", "func_error", 80))
     return findings(rows, "file_limits", "SIZE-002: function is too long", F.col("sev"), "line", F.format_string("Function '%s' has %d effective lines", "name", "value"), "Split the function", "idx")
 
 
-@rule("SIZE-003", "file_limits", "Classes have few methods")
+@rule("SIZE-003", "file_limits", "Classes have few methods", reads=("classes.idx", "classes.name", "classes.line", "classes.n_methods"))
 def size_class(src: Source) -> DataFrame:
     rows = _sized(src.classes).filter(F.col("n_methods") > src.limit("file_limits", "class_method_warn", 10))
     return findings(rows, "file_limits", "SIZE-003: class has too many methods", "warning", "line", F.format_string("Class '%s' has %d methods", "name", "n_methods"), "Split the class", "idx")
@@ -212,7 +212,7 @@ def bool_names(src: Source) -> DataFrame:
     return findings(rows, "naming_consistency", "NAMING-004: bool function without a question", "warning", "line", F.format_string("'%s' returns bool", "name"), F.concat(F.lit("Name it is_"), plain), "idx")
 
 
-@rule("NAMING-005", "naming_scope", "Short names live shortly", on=False)
+@rule("NAMING-005", "naming_scope", "Short names live shortly", on=False, reads=("functions.idx", "functions.name", "functions.extents"))
 def short_names(src: Source) -> DataFrame:
     allowed = [*V.SHORT_NAMES_ALLOWED, *src.of("naming_scope", "allow", ())]
     rows = src.functions.filter(~X.in_any(F.col("path"), (*V.SKIP_DIRS, *V.MIGRATIONS))).select("path", *src.carried, "idx", "name", F.explode("extents").alias("e"))
@@ -222,7 +222,7 @@ def short_names(src: Source) -> DataFrame:
     return findings(rows, "naming_scope", "NAMING-005: short name over a long span", "error", F.col("e.first"), F.format_string("'%s' lives over %d lines of '%s'", "e.name", span, "name"), "Give it a name that reads", "idx")
 
 
-@rule("CMT-006", "docstrings", "Public definitions are described", on=False)
+@rule("CMT-006", "docstrings", "Public definitions are described", on=False, reads=("functions.idx", "functions.name", "functions.line", "functions.end", "functions.doc", "functions.owner", "functions.params", "classes.idx", "classes.name", "classes.line", "classes.end", "classes.doc"))
 def missing_docstring(src: Source) -> DataFrame:
     rows = _definitions(src).filter("doc IS NULL")
     return findings(rows, "docstrings", "CMT-006: docstring is missing", "error", "line", F.format_string("'%s' has no docstring", "name"), "Say what it is for", "idx")
@@ -240,7 +240,7 @@ def _definitions(src: Source) -> DataFrame:
     return functions.unionByName(classes).filter(~skip & described & long)
 
 
-@rule("CMT-007", "docstrings", "Docstrings say more than the name", on=False)
+@rule("CMT-007", "docstrings", "Docstrings say more than the name", on=False, reads=("functions.idx", "functions.name", "functions.line", "functions.end", "functions.doc", "functions.owner", "functions.params", "classes.idx", "classes.name", "classes.line", "classes.end", "classes.doc"))
 def vacuous_docstring(src: Source) -> DataFrame:
     stems = lambda c: F.transform(X.identifier_parts(c), lambda w: X.stem(w))
     rows = _definitions(src).filter("doc IS NOT NULL")
@@ -291,13 +291,16 @@ def test_prefixes(src: Source) -> DataFrame:
     return findings(rows, "test_style", "AAA-002: tests share their beginning", "error", F.col("x.line"), F.format_string("'%s' begins as %d tests do", "x.name", "n"), "Make a fixture of it", F.col("x.idx"))
 
 
-@rule("TERM-NNN", "domain_terms", "Terms of the domain are used", on=True)
+@rule("TERM-NNN", "domain_terms", "Terms of the domain are used", on=True, reads=("error", "lines", "names", "doc_lines"))
 def domain_terms(src: Source) -> DataFrame:
     from tidemark.rules.prose import term_matches
 
     exempt = X.in_any(F.col("path"), V.SKIP_DIRS)
-    names = src.facts.filter(~exempt).select("path", F.explode("names").alias("x")).select("path", "x.line", F.col("x.name").alias("text"))
-    hashes = src.facts.filter(~exempt & F.col("error").isNull()).select("path", F.posexplode("lines").alias("k", "t")).filter(F.col("t").contains("#") & ~F.ltrim("t").startswith("import ") & ~F.ltrim("t").startswith("from "))
-    hashes = hashes.select("path", (F.col("k") + 1).alias("line"), F.regexp_extract("t", "(#.*)$", 1).alias("text"))
-    docs = src.facts.filter(~exempt).select("path", F.explode("doc_lines").alias("x")).select("path", "x.line", "x.text")
-    return term_matches(names.unionByName(hashes).unionByName(docs), src.of("domain_terms", "rules", ()))
+    row = lambda line, text: F.struct(line.cast("int").alias("line"), text.alias("text"))
+    names = F.transform("names", lambda x: row(x["line"], x["name"]))
+    told = lambda t: t.contains("#") & ~F.ltrim(t).startswith("import ") & ~F.ltrim(t).startswith("from ")
+    lines = F.filter(F.transform("lines", lambda t, k: row(k + 1, t)), lambda x: told(x["text"]))
+    hashes = F.when(F.col("error").isNull(), F.transform(lines, lambda x: row(x["line"], F.regexp_extract(x["text"], "(#.*)$", 1)))).otherwise(F.array().cast("array<struct<line:int,text:string>>"))
+    docs = F.transform("doc_lines", lambda x: row(x["line"], x["text"]))
+    rows = src.facts.filter(~exempt).select("path", F.explode(F.concat(names, hashes, docs)).alias("x")).select("path", "x.*")
+    return term_matches(rows, src.of("domain_terms", "rules", ()))

@@ -17,20 +17,23 @@ from tidemark.rules.base import Source, findings, rule
 
 def term_matches(rows: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     """Findings of forbidden terms in rows (path, line, text); rules: id, canonical, forbidden."""
-    table = [(r["id"], r["canonical"], r"(?iU)\b(" + "|".join(map(X._quoted, r["forbidden"])) + r")\b") for r in rules if r.get("forbidden")]
-    out = None
-    for code, canonical, pattern in table:
-        hits = rows.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("term"))
-        one = findings(hits, "domain_terms", F.concat(F.lit(f"{code}: Use '{canonical}' instead of '"), F.col("term"), F.lit("'")), "error", "line", F.format_string("Forbidden term '%s'", "term"), f"Use '{canonical}'")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else findings(rows.limit(0), "domain_terms", "TERM-NNN", "error", "line", "", "")
+    table = [(r["id"], r["canonical"], "|".join(map(X._quoted, r["forbidden"]))) for r in rules if r.get("forbidden")]
+    if not table:
+        return findings(rows.limit(0), "domain_terms", "TERM-NNN", "error", "line", "", "")
+    whole = lambda words: rf"(?iU)\b({words})\b"
+    told = lambda code, canonical: lambda t: F.struct(F.lit(code).alias("id"), F.lit(canonical).alias("canonical"), t.alias("term"))
+    hits = [F.transform(F.regexp_extract_all("text", F.lit(whole(words)), F.lit(1)), told(code, canonical)) for code, canonical, words in table]
+    some = rows.filter(F.col("text").rlike(whole("|".join(words for *_, words in table))))  # rows are gone through once, and most hold none
+    hits = some.select("path", "line", F.explode(F.flatten(F.array(*hits))).alias("x")).select("path", "line", "x.*")
+    use = F.concat(F.lit("Use '"), F.col("canonical"), F.lit("'"))
+    return findings(hits, "domain_terms", F.concat("id", F.lit(": "), use, F.lit(" instead of '"), "term", F.lit("'")), "error", "line", F.format_string("Forbidden term '%s'", "term"), use)
 
 
 def _kept_comments(src: Source) -> DataFrame:
     return src.comments.filter(~X.in_any(F.col("path"), V.SKIP_DIRS))
 
 
-@rule("CMT-001", "comments", "Dead code is deleted")
+@rule("CMT-001", "comments", "Dead code is deleted", reads=("comments",))
 def dead_code(src: Source) -> DataFrame:
     rows = _kept_comments(src).filter("code AND NOT metadata")
     return findings(rows, "comments", "CMT-001: commented-out code", "error", "line", F.concat(F.lit("Commented-out code: "), F.substring("text", 1, 60)), "Delete it")
@@ -115,7 +118,7 @@ def _directives(src: Source) -> DataFrame:
     return rows.withColumn("blanket", F.coalesce(*tries)).filter("blanket IS NOT NULL").join(complete, "path", "left_semi")
 
 
-@rule("SUPPRESS-002", "suppressions", "Suppressions name their rule", on=False)
+@rule("SUPPRESS-002", "suppressions", "Suppressions name their rule", on=False, reads=("comments", "tok_complete"))
 def blanket(src: Source) -> DataFrame:
     rows = _directives(src).filter("blanket") if not src.of("suppressions", "allow_blanket", False) else _directives(src).limit(0)
     return findings(rows, "suppressions", "SUPPRESS-002: suppression of everything", "error", "line", F.concat(F.lit("Blanket directive "), F.col("raw")), "Name the codes")

@@ -85,7 +85,7 @@ def authentication(src: Source) -> DataFrame:
     return findings(rows, "security_patterns", "AUTHN-001: mutation without authentication", "error", "line", F.format_string("Endpoint '%s' does not ask who calls", "name"), "Depend on the current user", "idx")
 
 
-@rule("SQL-001", "security_patterns", "SQL is not put together")
+@rule("SQL-001", "security_patterns", "SQL is not put together", reads=("calls",))
 def raw_sql(src: Source) -> DataFrame:
     receiver = F.lower(F.coalesce("receiver", F.lit("")))
     foreign = receiver.rlike("|".join(V.NOT_DATABASES))
