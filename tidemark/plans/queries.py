@@ -508,11 +508,13 @@ SELECT doc_id, next, round(CASE WHEN min(greatest(n, m)) IS NULL THEN 1.0 ELSE C
 def weighted_jaccard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-WJACC of the words of a document and of the next one of its source."""
     docs = _table(spark, sf_dir, "documents").filter("source IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.translate("text", "\u0130", "i")), F.lit("[a-z]+"), F.lit(0))  # else its dot is a character of its own
     counted = docs.select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", "w").agg(F.count("*").cast("int").alias("n"))
     bags = counted.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("bag"))
-    follows = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("next")).filter("next IS NOT NULL")
-    pairs = follows.join(bags.withColumnRenamed("bag", "bag_a"), "doc_id").join(bags.select(F.col("doc_id").alias("next"), F.col("bag").alias("bag_b")), "next")
+    follows = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("next")).filter("next IS NOT NULL").distinct()
+    pairs = follows.join(bags.withColumnRenamed("bag", "bag_a"), "doc_id", "left").join(bags.select(F.col("doc_id").alias("next"), F.col("bag").alias("bag_b")), "next", "left").filter("bag_a IS NOT NULL OR bag_b IS NOT NULL")
+    none = F.create_map().cast("map<string,int>")
+    pairs = pairs.withColumns({c: F.coalesce(c, none) for c in ("bag_a", "bag_b")})
     return pairs.select("doc_id", "next", F.round(X.weighted_jaccard(F.col("bag_a"), F.col("bag_b")), 9).alias("jaccard"))
 
 
