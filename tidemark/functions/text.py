@@ -70,8 +70,7 @@ def split_lines(text: Column) -> Column:
 
 def effective_lines(lines: Column) -> Column:
     """How many are neither blank nor a comment."""
-    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+", ""))
-    return F.size(F.filter(bare, lambda x: (x != "") & ~x.startswith("#")))
+    return F.size(F.filter(lines, lambda x: x.rlike(r"(?U)^\s*[^\s#]")))
 
 
 def without_code(line: Column) -> Column:
