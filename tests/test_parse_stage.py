@@ -1,5 +1,6 @@
 """The parse stage: spread over tasks, by pieces of bounded size, equal texts once, no more facts than are read."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.plans import check as P
@@ -63,3 +64,16 @@ def test_terms_go_through_the_facts_once(spark):
     found = P.find(P.source(files, settings), [RULES[("domain_terms", "TERM-NNN")]])
     assert sorted((r["code"], r["line"]) for r in found.collect()) == [("TERM-0", 1), ("TERM-1", 1)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_later_pieces_and_batches_take_the_facts_of_equal_texts(monkeypatch):
+    kind, met, whole = S.T.StructType.fromDDL(S.FACTS), [], S.python_facts
+    monkeypatch.setattr(S, "python_facts", lambda path, text, *more: met.append(text) or whole(path, text, *more))
+    few = [TEXT, "x = 1\n", None, "def f("]
+    many = [f"x = {i}\n" + "# note\n" * 5000 for i in range(20)]  # more than is held at once
+    batches = [few * 3, few[::-1], many, [*few, many[-1]]]
+    got = list(S._parsed((pa.RecordBatch.from_pydict({"path": [f"{k}-{i}.py" for i in range(len(b))], "content": b}) for k, b in enumerate(batches)), kind))
+    assert sorted(map(str, met[: len(few)])) == sorted(map(str, few)) and met.count(TEXT) == 2 and met.count(many[0]) == 1
+    rows = {r["path"]: r for b in got for r in b.to_pylist()}
+    want = {f"{k}-{i}.py": whole("", t) for k, b in enumerate(batches) for i, t in enumerate(b)}
+    assert rows.keys() == want.keys() and all(rows[p]["error"] == f["error"] and rows[p]["lines"] == f["lines"] and len(rows[p]["functions"]) == len(f["functions"]) for p, f in want.items())

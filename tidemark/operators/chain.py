@@ -64,9 +64,14 @@ def silences(line: Column, word: str = "tidemark") -> Column:
     return out
 
 
+def silencing(text: Column, word: str = "tidemark") -> Column:
+    """Whether the text has a directive. A whole file without one has no line with one."""
+    return text.rlike(NOQA) | text.rlike(directive(word))
+
+
 def inline_ignores(found: DataFrame, lines: DataFrame, word: str = "tidemark") -> DataFrame:
     """lines: path, line, text. Findings that suppressions themselves cause cannot be suppressed."""
-    here = lines.filter(F.col("text").rlike(NOQA) | F.col("text").rlike(directive(word))).select(F.col("path").alias("file"), "line", "text")
+    here = lines.filter(silencing(F.col("text"), word)).select(F.col("path").alias("file"), "line", "text")
     rows = found.join(here, ["file", "line"], "left")
     quiet = silences(F.coalesce("text", F.lit("")), word) & (F.col("category") != "SUPPRESS")
     return rows.filter(~quiet).select(found.columns)

@@ -51,24 +51,34 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 # --- rules over cases --------------------------------------------------------------------------------------------
 
 
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k: each row's key once. The table is small and often one part, but much is made of a row, so rows are dealt out."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).repartition(tasks, "k").distinct()
+
+
+def _made_files(spark: SparkSession, sf_dir: str, made: Sequence[tuple[int, int, str, str, str]]) -> DataFrame:
+    """path, content, each once: of made (i, n, tag, path, source) those with i = key mod n for each row of supplier, tag and key for {k}.
+    Files are told apart by paths, the number of their source, and the key if that has it: sources are no part of the shuffle."""
+    sources = {s: t for t, s in enumerate(dict.fromkeys(m[-1] for m in made))}
+    dealt = spark.createDataFrame([(i, n, tag, path, sources[s], "{k}" in s) for i, n, tag, path, s in made], "i int, n int, tag string, path string, t int, keyed boolean")
+    texts = spark.createDataFrame([(t, s) for s, t in sources.items()], "t int, source string")
+    key = F.concat("tag", F.col("k").cast("string"))
+    rows = _keys(spark, sf_dir).join(F.broadcast(dealt), F.col("k") % F.col("n") == F.col("i"))
+    rows = rows.select(F.replace("path", F.lit("{k}"), key).alias("path"), "t", F.when(F.col("keyed"), key).otherwise("").alias("key")).distinct()
+    return rows.join(F.broadcast(texts), "t").select("path", F.when(F.col("key") == "", F.col("source")).otherwise(F.replace("source", F.lit("{k}"), F.col("key"))).alias("content"))
+
+
 def dealt_files(spark: SparkSession, sf_dir: str, cases: Sequence[Case]) -> DataFrame:
     """path, content: one case for each row of supplier, in turn."""
-    dealt = spark.createDataFrame([(i, *file) for i, c in enumerate(cases) for file in ((c.path, c.source), *c.beside)], "i int, path string, source string")
-    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("k"), (F.col("s_suppkey") % len(cases)).alias("i"))
-    put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("k")).alias(c)
-    return rows.join(F.broadcast(dealt), "i").select(put("path"), put("source").alias("content")).distinct()
+    return _made_files(spark, sf_dir, [(i, len(cases), "", *file) for i, c in enumerate(cases) for file in ((c.path, c.source), *c.beside)])
 
 
 def case_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: for each row of supplier, in turn, one case of every key; the key is part of {k}, or of the path where that has none."""
     tag = lambda key: "".join(c for c in key.lower() if c.isalnum()) + "x"
     under = lambda key, path: path if "{k}" in path else f"{tag(key)}/{path}"
-    cases = [(i, len(found), tag(key), under(key, path), source) for key, (_, found) in sorted(CASES.items()) for i, c in enumerate(found) for path, source in ((c.path, c.source), *c.beside)]
-    dealt = spark.createDataFrame(cases, "i int, n int, tag string, path string, source string")
-    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    dealt_out = rows.join(F.broadcast(dealt), F.col("k") % F.col("n") == F.col("i"))
-    put = lambda c: F.replace(F.col(c), F.lit("{k}"), F.concat("tag", F.col("k").cast("string"))).alias(c)
-    return dealt_out.select(put("path"), put("source").alias("content")).distinct()
+    return _made_files(spark, sf_dir, [(i, len(found), tag(key), under(key, path), source) for key, (_, found) in sorted(CASES.items()) for i, c in enumerate(found) for path, source in ((c.path, c.source), *c.beside)])
 
 
 def _quoted(text: str) -> str:
@@ -110,7 +120,7 @@ def labelled_files(spark: SparkSession, sf_dir: str, corpora: Iterable[str]) ->
     own = [(c, len(CORPORA[c]), i, x) for c in corpora for i, x in enumerate(CORPORA[c])]
     sources = spark.createDataFrame([(c, n, i, x.path, x.source) for c, n, i, x in own], "corpus string, n int, i int, path string, content string")
     labels = spark.createDataFrame([(c, n, i, x.path, line, EXPECTED[mark]) for c, n, i, x in own for line, mark in x.labels], "corpus string, n int, i int, path string, line int, expected boolean")
-    rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).distinct()
+    rows = _keys(spark, sf_dir)
 
     def dealt(table: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(table), F.col("k") % F.col("n") == F.col("i")).withColumn("path", F.replace("path", F.lit("{k}"), F.col("k").cast("string")))
