@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import scoring
+from tidemark.plans import queries as Q
 from tidemark.plans import scorers
 from tidemark.plans.corpora import CORPORA, EXPECTED, FOUND
 from tidemark.sources import labels
@@ -81,3 +82,11 @@ def test_events_and_their_rates(spark, tmp_path):
     assert len(rows) == 3 and rows["t1.a"]["overclaim"] and not rows["t2.a"]["in_code"] and rows["t1.b"]["note"] == "" and rows["t2.a"]["task"] == "t2"
     rates = {r["severity"]: r for r in scoring.handled_rates(labels.read_events(spark, events, verdicts)).collect()}
     assert (rates["critical"]["events"], rates["critical"]["handled"], rates["critical"]["in_code"], rates["minor"]["handled"]) == (2, 1.0, 0.5, 0.0)
+
+
+def test_files_of_a_small_table_are_made_by_many_tasks(spark, tmp_path):
+    spark.range(1, 60).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    for table in Q.labelled_files(spark, str(tmp_path), CORPORA):
+        tasks = table.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(tasks) > 2
+    assert Q.labelled_files(spark, str(tmp_path), CORPORA)[0].count() == 59 * len(CORPORA)
