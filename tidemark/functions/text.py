@@ -79,11 +79,11 @@ def without_code(line: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?U)\b\w+\b"))
+    return F.regexp_count(text, F.lit(r"(?U)\w+"))
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"(?U)\s+", "") != "")
+    return F.filter(F.split(text, r"(?U)\s(?<=[.!?]\s)\s*"), lambda s: s.rlike(r"(?U)\S"))
 
 
 def identifier_parts(name: Column) -> Column:

@@ -34,6 +34,11 @@ def findings(df: DataFrame, check: str, rule: str | Column, severity: str | Colu
     )
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with value, worked out once a row: conditions on a plain column would work it out again, each time that they name it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 @dataclass(frozen=True)
 class Source:
     """The facts of a tree. files: path and content of every text file; facts: a row a Python file.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import vocabulary as V
 from tidemark.operators.groups import shared
-from tidemark.rules.base import Source, findings, notices, rule
+from tidemark.rules.base import Source, findings, notices, once, rule
 
 
 
@@ -247,7 +247,7 @@ def vacuous_docstring(src: Source) -> DataFrame:
     filler = F.array(*map(F.lit, V.FILLER))
     content = F.transform(F.filter(X.identifier_parts(F.regexp_replace("doc", "[.,]", " ")), lambda w: ~F.array_contains(filler, w)), lambda w: X.stem(w))
     known = F.concat(stems(F.col("name")), F.flatten(F.transform("given", lambda p: stems(p))), stems(F.coalesce("owner", F.lit(""))))
-    rows = rows.withColumns({"content": content, "known": known})
+    rows = once(once(rows, "content", content), "known", known)
     covered = F.forall("content", lambda w: F.exists("known", lambda s: (w == s) | ((F.length(s) >= 3) & (w.startswith(s) | s.startswith(w)))))
     rows = rows.filter((F.size("content") == 0) | (~X.allowlisted(F.trim("doc")) & covered))
     return findings(rows, "docstrings", "CMT-007: docstring says nothing", "error", F.col("line"), F.format_string("The docstring of '%s' repeats its signature", "name"), "Say why, or drop it", "idx")

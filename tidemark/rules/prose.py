@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import vocabulary as V
 from tidemark.operators.groups import islands
-from tidemark.rules.base import Source, findings, rule
+from tidemark.rules.base import Source, findings, once, rule
 
 
 
@@ -71,13 +71,16 @@ def comment_emoji(src: Source) -> DataFrame:
     return findings(_comment_texts(src).filter(F.col("text").rlike(V.EMOJI)), "comments", "PROSE-003: emoji", "error", "line", "Emoji in a comment or docstring", "Remove it")
 
 
-@rule("CMT-005", "restating", "Comments say why", on=False)
+@rule("CMT-005", "restating", "Comments say why", on=False, reads=("comments",))
 def restating(src: Source) -> DataFrame:
-    alone = _kept_comments(src).withColumn("lines", F.collect_set(F.when(F.col("standalone"), F.col("line"))).over(W.partitionBy("path")))
-    lonely = ~(F.col("standalone") & (F.array_contains("lines", F.col("line") - 1) | F.array_contains("lines", F.col("line") + 1)))
+    row = src.facts.filter(~X.in_any(F.col("path"), V.SKIP_DIRS))
+    beside = lambda c, i, k: F.coalesce(F.get("comments", i + k)["standalone"] & (F.get("comments", i + k)["line"] == c["line"] + k), F.lit(False))
+    lonely = lambda c, i: ~(c["standalone"] & (beside(c, i, -1) | beside(c, i, 1)))
+    told = F.transform("comments", lambda c, i: F.when(lonely(c, i) & c["simple"], c))  # comments are in order, one a line at most
+    alone = row.select("path", *src.carried, F.explode(F.filter(told, lambda c: c.isNotNull())).alias("x")).select("path", *src.carried, "x.*")
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: ~w.isin(*V.STOPWORDS))
     verbs = F.create_map(*(F.lit(x) for kv in V.VERBS.items() for x in kv))
-    rows = alone.filter(lonely & F.col("simple") & ~X.allowlisted(F.col("text"))).withColumn("words", words).filter("size(words) BETWEEN 1 AND 4")
+    rows = once(alone.filter(~X.allowlisted(F.col("text"))), "words", words).filter("size(words) BETWEEN 1 AND 4")
     said = F.forall("words", lambda w: F.when(w.isin(*V.VERBS), F.array_contains("verbs", F.element_at(verbs, w))).otherwise(F.array_contains("tokens", X.stem(w))))
     return findings(rows.filter(said), "restating", "CMT-005: comment restates the code", "error", "line", F.concat(F.lit("Comment restates the code: "), F.substring("text", 1, 50)), "Say why, or remove it")
 
@@ -139,23 +142,31 @@ def _markdown(src: Source, suffixes: tuple[str, ...]) -> DataFrame:
     return src.files.filter(X.suffix_of(F.col("path")).isin(*suffixes) & ~X.in_any(F.col("path"), V.SKIP_DIRS)).select("path", X.split_lines(F.col("content")).alias("lines"))
 
 
-def outside_fences(pages: DataFrame) -> DataFrame:
-    """path, line, text of lines outside fenced blocks. A line is outside if it is no fence and an even number of fences
-    comes before it. Runs between fences are cut from the page's own lines, by the places of its fences: no state goes
-    from line to line, so a page takes time in proportion to its lines, and no window is needed."""
+def _free_runs(pages: DataFrame) -> DataFrame:
+    """path, runs (first, texts) of the lines between fences. A line is outside if it is no fence and an even number of fences
+    comes before it. Runs are cut from the page's own lines, by the places of its fences: no state goes from line to line,
+    so a page takes time in proportion to its lines, and no window is needed."""
     fence = lambda x: F.ltrim(x).startswith("```") | F.ltrim(x).startswith("~~~")
     marks = F.filter(F.transform("lines", lambda x, i: F.when(fence(x), i)), lambda i: i.isNotNull())
     bounds = F.concat(F.array(F.lit(-1)), F.col("marks"), F.array(F.size("lines")))
     even = F.filter(F.transform("bounds", lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("before"), F.get("bounds", i + 1).alias("next")))), lambda r: r.isNotNull() & r["next"].isNotNull())
     runs = F.transform("runs", lambda r: F.struct((r["before"] + 1).alias("first"), F.slice("lines", r["before"] + 2, r["next"] - r["before"] - 1).alias("texts")))
-    rows = pages.withColumn("marks", marks).withColumn("bounds", bounds).withColumn("runs", even)
-    rows = rows.select("path", F.explode(runs).alias("r")).select("path", "r.first", F.posexplode("r.texts").alias("k", "text"))
+    return pages.withColumn("marks", marks).withColumn("bounds", bounds).withColumn("runs", even).select("path", runs.alias("runs"))
+
+
+def outside_fences(pages: DataFrame) -> DataFrame:
+    """path, line, text of lines outside fenced blocks."""
+    rows = _free_runs(pages).select("path", F.explode("runs").alias("r")).select("path", "r.first", F.posexplode("r.texts").alias("k", "text"))
     return rows.select("path", (F.col("first") + F.col("k") + 1).alias("line"), "text")
 
 
-def _prose_lines(src: Source) -> DataFrame:
+def _prose_pages(src: Source) -> DataFrame:
     suffixes = tuple(e.lstrip(".") for e in src.of("prose", "extensions", (".md", ".markdown")))
-    return outside_fences(_markdown(src, suffixes)).withColumn("text", X.without_code(F.col("text")))
+    return _markdown(src, suffixes)
+
+
+def _prose_lines(src: Source) -> DataFrame:
+    return outside_fences(_prose_pages(src)).withColumn("text", X.without_code(F.col("text")))
 
 
 @rule("PROSE-001", "prose", "No em dashes", on=False)
@@ -178,17 +189,19 @@ def page_emoji(src: Source) -> DataFrame:
 
 
 def density(pages: DataFrame, limits: dict[str, float] = V.DENSITY) -> DataFrame:
-    """path, em, words, sentences, em_sentences of pages (path, text) whose em dashes are dense."""
+    """path, em, words, sentences, em_sentences of pages (path, text) whose em dashes are dense. Most pages have few, so these are counted first."""
     text, dash = F.col("text"), V.EM_DASH
-    found = X.sentences(text)
-    rows = pages.select("path", F.regexp_count("text", F.lit(dash)).alias("em"), X.word_count(text).alias("words"), F.size(found).alias("sentences"), F.size(F.filter(found, lambda s: s.contains(dash))).alias("em_sentences"))
-    enough = (F.col("em") >= limits["min_em"]) & (F.col("words") >= limits["min_words"]) & (F.col("sentences") >= limits["min_sentences"])
-    return rows.filter(enough).filter((F.col("em") * 1000.0 / F.col("words") >= limits["em_per_1000"]) & (F.col("em_sentences") / F.col("sentences") >= limits["em_sentence_fraction"]))
+    rows = pages.withColumn("em", F.regexp_count(text, F.lit(dash))).filter(F.col("em") >= limits["min_em"])
+    rows = once(rows.select("path", "em", X.word_count(text).alias("words"), X.sentences(text).alias("found")), "x", F.struct("words", F.size("found").alias("sentences"), F.size(F.filter("found", lambda s: s.contains(dash))).alias("em_sentences")))
+    rows = rows.select("path", "em", "x.*").filter((F.col("words") >= limits["min_words"]) & (F.col("sentences") >= limits["min_sentences"]))
+    return rows.filter((F.col("em") * 1000.0 / F.col("words") >= limits["em_per_1000"]) & (F.col("em_sentences") / F.col("sentences") >= limits["em_sentence_fraction"]))
 
 
 @rule("PROSE-004", "prose", "Em dashes are rare", on=False)
 def dash_density(src: Source) -> DataFrame:
-    pages = _prose_lines(src).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    """A page's text is joined from its own runs, so no lines are shuffled."""
+    lines = _free_runs(_prose_pages(src)).select("path", F.flatten(F.transform("runs", lambda r: r["texts"])).alias("lines")).filter("size(lines) > 0")
+    pages = once(lines, "text", F.array_join(F.transform("lines", X.without_code), "\n")).drop("lines")
     return findings(density(pages, V.DENSITY | dict(src.of("prose", "density", {}))), "prose", "PROSE-004: many em dashes", "warning", 1, F.format_string("%d em dashes in %d words", "em", "words"), "Rewrite some of them")
 
 

@@ -104,7 +104,7 @@ def sql_notice(src: Source) -> DataFrame:
     return notices(src, "security_patterns", "SQL-000")
 
 
-@rule("SECRETPY-001", "secrets", "No secrets in the source")
+@rule("SECRETPY-001", "secrets", "No secrets in the source", reads=("assigns",))
 def secrets(src: Source) -> DataFrame:
     name = X.name_of(F.col("path"))
     rows = src.assigns.filter((F.col("kind") == "str") & ~name.isin("conftest.py", "seed_dev.py") & ~name.startswith("test_") & ~X.in_any(F.col("path"), V.SKIP_DIRS))
