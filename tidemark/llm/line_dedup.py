@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import Scratch, small, tasks, whole_groups
+from tidemark.llm.shared import BROADCAST_ROWS, Scratch, fits, small, tasks, whole_groups
 
 MIN_CHARS = 20
 PARTS = 16
@@ -58,7 +58,8 @@ LINE = ["h1", "h2"]
 
 def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """doc_id, text_hash, pos, line, n, h1, h2: every line that may be dropped."""
-    rows = docs.filter("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))  # before lines are made, or it would be hashed for each of them
+    rows = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("n", F.char_length("line")).filter((F.col("n") >= min_chars) | (F.lit(short) & F.col("line").rlike(r"(?U)\S")))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
@@ -184,11 +185,11 @@ def _word_hashes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return _mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]]), np.diff(offsets)
 
 
-KEYS = "key long, id long, place long, parities long, at long"
+KEYS = "key long, id long, place long, parities long"
 
 
 def _first_words(batch: pa.RecordBatch, split: pa.ListArray, run: int) -> pa.RecordBatch:
-    """KEYS of up to 256 lines: words that come first, with their place (words of the line, and the word's number below them) and the parities of the line's words. batch: id, at; split: words without the white space after them."""
+    """KEYS of up to 256 lines: words that come first, with their place (words of the line, and the word's number below them) and the parities of the line's words. batch: id; split: words without the white space after them."""
     enough = pc.greater_equal(pc.list_value_length(split), 2 * run)  # a line that is longer by a word may have a bound of one
     batch, split = batch.filter(enough), split.filter(enough)
     count = pc.list_value_length(split).to_numpy().astype(np.int64)
@@ -201,7 +202,7 @@ def _first_words(batch: pa.RecordBatch, split: pa.ListArray, run: int) -> pa.Rec
     of = line[kept]
     place = (count[of] << 32) | (kept - first[of])
     rows = pa.array(of)
-    return pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), batch.column(0).take(rows), pa.array(place), pa.array(parities[of].view(np.int64)), batch.column(1).take(rows)], names=["key", "id", "place", "parities", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(key[kept].view(np.int64)), batch.column(0).take(rows), pa.array(place), pa.array(parities[of].view(np.int64))], names=["key", "id", "place", "parities"])
 
 
 def _splits(batch: pa.RecordBatch, lines: int) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
@@ -219,13 +220,13 @@ def _splits(batch: pa.RecordBatch, lines: int) -> Iterator[tuple[pa.RecordBatch,
 SIGNATURE = ("p0", "p1", "p2", "p3")
 
 
-def _signatures(ids: pa.Array, split: pa.ListArray) -> pa.RecordBatch:
-    """id, and 256 parities of the line's words. No line is without words."""
+def _signatures(batch: pa.RecordBatch, split: pa.ListArray) -> pa.RecordBatch:
+    """batch (id, at), and 256 parities of the line's words. No line is without words."""
     hashed, _ = _word_hashes(split.flatten())
     first = np.cumsum(count := pc.list_value_length(split).to_numpy().astype(np.int64)) - count
     bit, part = np.uint64(1) << ((hashed >> np.uint64(8)) & np.uint64(63)), (hashed >> np.uint64(14)) & np.uint64(3)
     columns = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), first).view(np.int64) for k in range(4)]
-    return pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["id", *SIGNATURE])
+    return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], names=["id", "at", *SIGNATURE])
 
 
 def _fit(x: np.ndarray, y: np.ndarray, words: np.ndarray, spot: np.ndarray, bound: np.ndarray, parities: np.ndarray, places: bool = True) -> np.ndarray:
@@ -269,6 +270,16 @@ def _meetings(key: np.ndarray, words: np.ndarray, bound: np.ndarray, x: np.ndarr
             yield np.full(len(j), i), j, True
 
 
+def _opened_groups(key: np.ndarray, ids: np.ndarray, place: np.ndarray, parities: np.ndarray, run: int) -> np.ndarray:
+    """As _opened, for rows in order of key alone. Rows that have their key to themselves are not looked at."""
+    out, new = np.zeros(len(key), bool), np.ones(len(key) + 1, bool)
+    new[1:-1] = key[1:] != key[:-1]
+    some = np.flatnonzero(~(new[1:] & new[:-1]))
+    some = some[np.lexsort((ids[some], place[some], key[some]))]
+    out[some] = _opened(key[some], ids[some], place[some], parities[some], run)
+    return out
+
+
 def _opened(key: np.ndarray, ids: np.ndarray, place: np.ndarray, parities: np.ndarray, run: int) -> np.ndarray:
     """The rows that have a partner under their key. Rows are in order of key, place. A row is through once it has one."""
     words, spot = place >> 32, place & 0xFFFFFFFF
@@ -304,23 +315,23 @@ def _put_forward(key: np.ndarray, ids: np.ndarray, place: np.ndarray, at: np.nda
 
 def key_sharers(docs: DataFrame, lines: DataFrame, scratch: Scratch, min_chars: int, run: int) -> DataFrame:
     """KEYS of the first occurrences of lines that may be near another one by words; a written table."""
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.lit(0).cast("long")
     again = scratch.save(lines.filter("times > 1").select(*LINE, "first"), "repeats")
     rows = _lines(docs, min_chars).join(small(again), LINE, "left").filter(F.col("first").isNull() | _at_first())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                for part, split in _splits(batch.slice(k, 256), 2):
-                    yield _first_words(part.select(["id", "at"]), split, run)
+                for part, split in _splits(batch.slice(k, 256), 1):
+                    yield _first_words(part.select(["id"]), split, run)
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in whole_groups(batches, ("key",)):
             key, ids, place, parities = (part.column(c).to_numpy() for c in ("key", "id", "place", "parities"))
-            yield from part.filter(pa.array(_opened(key, ids, place, parities.view(np.uint64)[:, None], run))).to_batches()
+            yield from part.filter(pa.array(_opened_groups(key, ids, place, parities.view(np.uint64)[:, None], run))).to_batches()
 
-    found = rows.select(F.col("h1").alias("id"), at.alias("at"), "line").mapInArrow(keys, KEYS)
-    return scratch.save(found.repartition(tasks(docs), "key").sortWithinPartitions("key", "place", "id").mapInArrow(opened, KEYS), "key-sharers")
+    found = rows.select(F.col("h1").alias("id"), "line").mapInArrow(keys, KEYS)
+    # one long to sort by, which Spark sorts by its digits; a key's rows are put in order by _opened_groups
+    return scratch.save(found.repartition(tasks(docs), "key").sortWithinPartitions("key").mapInArrow(opened, KEYS), "key-sharers")
 
 
 def near_by_words(sharers: DataFrame, texts: DataFrame, scratch: Scratch, run: int) -> DataFrame:
@@ -336,8 +347,8 @@ def near_by_words(sharers: DataFrame, texts: DataFrame, scratch: Scratch, run: i
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                for part, split in _splits(batch.slice(k, 256), 1):
-                    yield _signatures(part.column(0), split)
+                for part, split in _splits(batch.slice(k, 256), 2):
+                    yield _signatures(part.select(["id", "at"]), split)
 
     def rounds(most: int):
         def put_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,15 +360,19 @@ def near_by_words(sharers: DataFrame, texts: DataFrame, scratch: Scratch, run: i
         return put_forward
 
     side = lambda k: texts.select(F.col("h1").alias(k), F.struct("first", "line", *LINE).alias(f"of_{k}"))
-    signed = texts.select(F.col("h1").alias("id"), "line").mapInArrow(signatures, "id long, p0 long, p1 long, p2 long, p3 long")
-    sharers = sharers.join(small(scratch.save(signed, "signatures")), "id").drop("parities")
+    at = F.coalesce(F.col("first.doc_id").cast("long"), F.lit(-(2**63))) if isinstance(texts.schema["first"].dataType["doc_id"].dataType, T.IntegralType) else F.lit(0).cast("long")
+    signed = texts.select(F.col("h1").alias("id"), at.alias("at"), "line").mapInArrow(signatures, "id long, at long, p0 long, p1 long, p2 long, p3 long")
+    keyed, sharers = sharers.select("key", "id"), sharers.join(small(scratch.save(signed, "signatures")), "id").drop("parities")
     rows, near, tested, turn, most = sharers.withColumn("seeks", F.lit(True)), None, None, 0, CANDIDATES
     while True:
         found = rows.repartition(tasks(texts), "key").sortWithinPartitions("key", "place", "id").mapInArrow(rounds(most), "a long, b long")
         found = scratch.save(found.distinct(), f"put-forward-{turn}")
         pairs = found.filter("b IS NOT NULL")
-        new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        both = new.join(side("a"), "a").join(side("b"), "b")
+        new = pairs if tested is None else scratch.save(pairs.join(tested, ["a", "b"], "left_anti"), f"new-{turn}")
+        if fits(new):  # texts are looked up where they lie, and only those of pairs are shuffled
+            both = F.broadcast(new).join(side("a"), "a").join(F.broadcast(new).join(side("b"), "b"), ["a", "b"])
+        else:
+            both = new.join(side("a"), "a").join(side("b"), "b")
         later = F.when(F.col("of_a.first") > F.col("of_b.first"), F.col("of_a")).otherwise(F.col("of_b"))
         other = F.when(F.col("of_a.first") > F.col("of_b.first"), F.col("of_b")).otherwise(F.col("of_a"))
         both = both.select(later.alias("x"), other["line"].alias("other")).select("x.h1", "x.h2", "x.line", "other")
@@ -367,7 +382,9 @@ def near_by_words(sharers: DataFrame, texts: DataFrame, scratch: Scratch, run: i
         seekers = scratch.save(seekers.distinct().withColumn("seeks", F.lit(True)), f"seekers-{turn}")
         if seekers.isEmpty():
             return near.distinct()
-        rows = sharers.join(small(seekers), "id", "left").withColumn("seeks", F.coalesce("seeks", F.lit(False)))
+        # keys that no line seeks under have nothing more to put forward
+        sought = scratch.save(keyed.join(small(seekers), "id", "left_semi").select("key").distinct(), f"sought-{turn}")
+        rows = sharers.join(small(sought), "key", "left_semi").join(small(seekers), "id", "left").withColumn("seeks", F.coalesce("seeks", F.lit(False)))
         tested = pairs if tested is None else tested.unionByName(pairs)
         turn, most = turn + 1, most * MORE
 
@@ -404,7 +421,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_edits: int = 1,
     seen = seen.withColumn("equal", ~_at_first()).filter("equal OR near")
     drops = seen.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("pos", "equal")).alias("drops"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-null-")).alias("_id")
-    texts = docs.select("doc_id", "text", F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"), key, F.xxhash64("text").alias("text_hash")).join(drops.select(key, "text_hash", "drops"), ["_id", "text_hash"], "left")
+    drops = scratch.save(drops.select(key, "text_hash", "drops"), "drops")  # a row is a list, so fewer of them are broadcast
+    texts = docs.select("doc_id", "text", F.struct(*keep).alias("_keep") if keep else F.lit(None).alias("_keep"), key, F.xxhash64("text").alias("text_hash")).join(small(drops, BROADCAST_ROWS // 4), ["_id", "text_hash"], "left")
     texts = texts.withColumns({"_lines": F.split("text", "\n"), "_drop": F.col("drops.pos")})
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop"), lambda i: F.get("_lines", i))
     texts = texts.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
